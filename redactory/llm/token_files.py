@@ -61,8 +61,6 @@ class WordEncoder:
 
     def learn(self, pieces: set[str]) -> None:
         """Pieces follow a space; those without a boundary before that space become None."""
-        if len(self.known) + len(pieces) > REMEMBERED:
-            self.known.clear()
         plain = [p for p in pieces if p and not p[0].isspace()]
         self.known.update(dict.fromkeys(pieces - set(plain)))
         self.known.update(zip(plain, self.whole([f" {p}" for p in plain]), strict=True))
@@ -70,6 +68,8 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.split(" ") for t in texts]
         known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
         missing = {p for s in split for p in s[1:] if p not in known}
         if missing:
             self.learn(missing)
