@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, pii, quality, token_files
+from . import bpe, decontaminate, jaccard, neighbours, pii, quality, token_files, toxicity
 from .storage import Scratch
 
 
@@ -25,6 +25,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op4_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def op6_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     items = F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256")
@@ -35,6 +39,10 @@ def op7_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op8_string_kernel_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), cut=0.3)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = Scratch(spark, "token-files").root
     shards = token_files.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
@@ -55,7 +63,7 @@ def op10_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_importance_resampling, op3_byte_bpe, op6_positional_index, op7_partenum_join, op9_token_files, op10_skip_chain_pii)}
+    return {f.__name__: f for f in (op2_importance_resampling, op3_byte_bpe, op4_ivf_pq, op6_positional_index, op7_partenum_join, op8_string_kernel_svm, op9_token_files, op10_skip_chain_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
