@@ -2,8 +2,8 @@
 
 Method. Documents are dealt out by ranges of their id and sorted, so that file
 ``k`` holds the ids of the ``k``-th range. Each task encodes its documents and
-writes one flat file of little-endian unsigned 32-bit ids and one of document
-ids and lengths. The files' sizes give each file's base by a prefix sum; a second
+writes one flat file of little-endian unsigned ids (16 bits if the vocabulary has
+up to 65,536 of them, else 32) and one of document ids and lengths. The files' sizes give each file's base by a prefix sum; a second
 pass writes 64-bit offsets (base plus the lengths before) beside the ids. Readers
 map the files into memory and slice a document by its offsets.
 
@@ -32,8 +32,10 @@ from pyspark.sql import functions as F
 
 from .storage import small_batches
 
-#: Pieces of text whose ids a worker remembers; it starts anew when there are more.
-REMEMBERED = 400_000
+#: Pieces of text whose ids a worker remembers, twice: those of late and those before.
+REMEMBERED = 350_000
+#: Signs that a pre-token of letters never takes in.
+_SIGNS = ".,;:"
 
 _workers: dict = {}
 
@@ -54,22 +56,63 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.kind = "<u2" if max(vocabulary.values()) < 1 << 16 else "<u4"
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
         self.known: dict[str, bytes | None] = {}
+        self.before: dict[str, bytes | None] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, pieces: set[str]) -> None:
         """Pieces follow a space; those without a boundary before that space become None."""
-        plain = [p for p in pieces if p and not p[0].isspace()]
-        self.known.update(dict.fromkeys(pieces - set(plain)))
-        self.known.update(zip(plain, self.whole([f" {p}" for p in plain]), strict=True))
+        known, before = self.known, self.before
+        parts: dict[str, tuple[str, str]] = {}
+        todo = set()
+        for p in pieces:
+            if p in before:
+                known[p] = before[p]
+            elif not p or p[0].isspace():
+                known[p] = None
+            elif p[-1] in _SIGNS and (word := p[:-1]).isalpha():
+                parts[p] = word, p[-1]
+                if word not in known:
+                    todo.add(word)
+            elif p.count("\n") == 1 and all(w.isalpha() or w[-1:] in _SIGNS and w[:-1].isalpha() for w in p.split("\n")):
+                word, _, rest = p.partition("\n")
+                parts[p] = word, f"\n{rest}"
+                if word not in known:
+                    todo.add(word)
+            else:
+                todo.add(p)
+        words = [w for w in todo if w not in before]
+        known.update((w, before[w]) for w in todo if w in before)
+        known.update(zip(words, self.together(words), strict=True))
+        tails = {tail for _, tail in parts.values()}
+        ends = dict(zip(tails, self.whole(list(tails)), strict=True))
+        known.update((p, known[word] + ends[tail]) for p, (word, tail) in parts.items())
+
+    def together(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that each follow a space and hold none: many are one text, as each begins with an id that begins with a space."""
+        out: list[bytes] = []
+        for at in range(0, len(pieces), 1000):
+            part = pieces[at : at + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {' '.join(part)}"], add_special_tokens=False)[0].ids, self.kind)
+            first = [*(np.flatnonzero(self.begins[ids]) * ids.itemsize).tolist(), ids.nbytes]
+            if len(first) != len(part) + 1:
+                out += self.whole([f" {p}" for p in part])
+                continue
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip(first, first[1:], strict=False)]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.split(" ") for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known, self.before = {}, self.known
         known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
         missing = {p for s in split for p in s[1:] if p not in known}
         if missing:
             self.learn(missing)
@@ -120,7 +163,7 @@ class _File:
 
 
 def write(df: DataFrame, folder: str, vocabulary: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", files: int | None = None) -> DataFrame:
-    """Write the files below ``folder``; return ``(shard int, base long, n_docs long, n_ids long)``, a row a file.
+    """Write the files below ``folder``; return ``(shard int, width int, base long, n_docs long, n_ids long)``, a row a file; ``width`` is bytes an id.
 
     ``files`` defaults to the number of shuffle partitions. The rows returned are
     as many as there are files, not documents.
@@ -133,7 +176,7 @@ def write(df: DataFrame, folder: str, vocabulary: str, end_id: int = 0, id_col:
     def write_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker(vocabulary)
         task = TaskContext.get()
-        shard, attempt, end = task.partitionId(), str(task.taskAttemptId()), np.array([end_id], "<u4").tobytes()
+        shard, attempt, end = task.partitionId(), str(task.taskAttemptId()), np.array([end_id], encoder.kind).tobytes()
         ids = lengths = None
         n_docs = n_ids = 0
         for b in batches:
@@ -143,21 +186,21 @@ def write(df: DataFrame, folder: str, vocabulary: str, end_id: int = 0, id_col:
                 ids, lengths = (_File(folder, f"{kind}-{shard:06d}", attempt) for kind in ("ids", "docs"))
             coded = [x + end for x in encoder.encode(b.column(1).to_pylist())]
             ids.out.write(b"".join(coded))
-            size = np.fromiter((len(x) // 4 for x in coded), np.int64, len(coded))
+            size = np.fromiter((len(x) // len(end) for x in coded), np.int64, len(coded))
             lengths.out.write(np.stack([b.column(0).to_numpy(zero_copy_only=False), size], 1).astype("<i8").tobytes())
             n_docs, n_ids = n_docs + len(coded), n_ids + int(size.sum())
         if ids is not None:
             ids.close()
             lengths.close()
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([n_ids], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "width": pa.array([len(end)], pa.int32()), "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([n_ids], pa.int64())})
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id IS NOT NULL")
-    sizes = rows.repartitionByRange(files, "id").sortWithinPartitions("id", "text").mapInArrow(write_shard, "shard int, n_docs long, n_ids long").collect()
+    sizes = rows.repartitionByRange(files, "id").sortWithinPartitions("id", "text").mapInArrow(write_shard, "shard int, width int, n_docs long, n_ids long").collect()
     base, table = 0, []
     for r in sorted(sizes):
-        table.append((r.shard, base, r.n_docs, r.n_ids))
+        table.append((r.shard, r.width, base, r.n_docs, r.n_ids))
         base += r.n_ids
-    shards = spark.createDataFrame(table, "shard int, base long, n_docs long, n_ids long").repartition(max(1, len(table)), "shard")
+    shards = spark.createDataFrame(table, "shard int, width int, base long, n_docs long, n_ids long").repartition(max(1, len(table)), "shard")
     shards.foreachPartition(_offsets_writer(folder))
     return shards
 
@@ -190,14 +233,14 @@ def read(shards: DataFrame, folder: str) -> DataFrame:
 
     def read_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for shard, base in zip(b["shard"].to_pylist(), b["base"].to_pylist(), strict=True):
-                ids, docs, at = _map(folder, f"ids-{shard:06d}", "<u4"), _map(folder, f"docs-{shard:06d}", "<i8").reshape(-1, 2), _map(folder, f"offsets-{shard:06d}", "<u8").astype(np.int64)
+            for shard, width, base in zip(*(b[c].to_pylist() for c in ("shard", "width", "base")), strict=True):
+                ids, docs, at = _map(folder, f"ids-{shard:06d}", f"<u{width}"), _map(folder, f"docs-{shard:06d}", "<i8").reshape(-1, 2), _map(folder, f"offsets-{shard:06d}", "<u8").astype(np.int64)
                 for lo in range(0, len(docs), 10_000):
                     hi = min(lo + 10_000, len(docs))
-                    crc = [zlib.crc32(ids[at[i] - base : at[i + 1] - base]) for i in range(lo, hi)]
+                    crc = [zlib.crc32(ids[at[i] - base : at[i + 1] - base].astype("<u4")) for i in range(lo, hi)]
                     yield pa.RecordBatch.from_pydict({"doc_id": pa.array(docs[lo:hi, 0]), "start": pa.array(at[lo:hi]), "n_tokens": pa.array(np.diff(at[lo : hi + 1])), "ids_crc32": pa.array(crc, pa.int64())})
 
-    return shards.select("shard", "base").mapInArrow(read_shard, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.select("shard", "width", "base").mapInArrow(read_shard, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _make(spark: SparkSession, folder: str) -> None:
