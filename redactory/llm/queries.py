@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, neighbours, pii, quality, token_files, toxicity
+from . import bpe, decontaminate, jaccard, neighbours, pii, quality, repeats, token_files, toxicity
 from .storage import Scratch
 
 
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sparse_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated(table(spark, sf_dir, "documents"), passage=50)
+
+
 def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -63,7 +67,7 @@ def op10_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_importance_resampling, op3_byte_bpe, op4_ivf_pq, op6_positional_index, op7_partenum_join, op8_string_kernel_svm, op9_token_files, op10_skip_chain_pii)}
+    return {f.__name__: f for f in (op1_sparse_suffix_array, op2_importance_resampling, op3_byte_bpe, op4_ivf_pq, op6_positional_index, op7_partenum_join, op8_string_kernel_svm, op9_token_files, op10_skip_chain_pii)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -93,18 +93,33 @@ def each_subsequence(codes: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.n
             yield (codes[:, :n] << 10) | (codes[:, a : a + n] << 5) | codes[:, b:], np.arange(n) < (size - b)[:, None], DECAY ** (b + 1)
 
 
-def features(words: list[str]) -> np.ndarray:
-    """Normed feature rows, one a word (its first piece): words x 32768."""
+def profiles(words: list[str]) -> np.ndarray:
+    """Normed weights of all subsequences, 32768 x words (first pieces): for landmarks, which are few."""
     codes, size, of = matrix(words)
     first = np.concatenate([[True], of[1:] != of[:-1]]) if len(of) else np.zeros(0, bool)
-    out = np.zeros((len(words), 1 << 15), np.float32)
+    out = np.zeros((1 << 15, len(words)), np.float32)
     for index, there, weight in each_subsequence(codes, size):
         row = np.broadcast_to(of[:, None], index.shape)
         keep = there & first[:, None]
-        np.add.at(out, (row[keep], index[keep]), weight)
+        np.add.at(out, (index[keep], row[keep]), weight)
     norm = np.ones(len(words), np.float32)
     norm[of[first]] = _NORM[size[first]]
-    return out / norm[:, None]
+    return out / norm
+
+
+def kernel(words: list[str], base: np.ndarray, block: int = 500) -> np.ndarray:
+    """The normed kernel of words (first pieces) with the landmarks of ``base`` (:func:`profiles`)."""
+    out = np.zeros((len(words), base.shape[1]), np.float32)
+    for at in range(0, len(words), block):
+        codes, size, of = matrix(words[at : at + block])
+        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+        codes, size, of = codes[first], size[first], of[first]
+        for index, there, weight in each_subsequence(codes, size):
+            for column in range(index.shape[1]):
+                keep = there[:, column]
+                out[at + of[keep]] += np.float32(weight) * base[index[keep, column]]
+        out[at + of] /= _NORM[size, None].astype(np.float32)
+    return out
 
 
 @dataclass
@@ -218,17 +233,18 @@ def _varied(words: list[str], rng: np.random.Generator) -> list[str]:
     return out
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 400, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
-    """A linear machine with squared hinge loss, by Adam."""
-    w, b = np.zeros(x.shape[1]), 0.0
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 300, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
+    """A linear machine with squared hinge loss, by Adam; ``x`` stays in single precision."""
+    x, y, weight = x.astype(np.float32, copy=False), y.astype(np.float32), weight.astype(np.float32)
+    w, b = np.zeros(x.shape[1], np.float32), np.float32(0)
     first, second = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
     for step in range(1, rounds + 1):
         slack = np.maximum(0, 1 - y * (x @ w + b)) * y * weight
-        grad = np.append(-(x.T @ slack) + ridge * w, -slack.sum())
+        grad = np.append(ridge * w - slack @ x, -slack.sum())
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
-        move = 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
+        move = (0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)).astype(np.float32)
         w, b = w - move[:-1], b - move[-1]
-    return w, float(b)
+    return w.astype(float), float(b)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -244,24 +260,24 @@ def _machine(marking: pd.DataFrame, plain: pd.DataFrame, landmarks: int, rng: np
     """Choose landmarks, whiten their kernel, train; returns a weight for each subsequence, and the bias."""
     yes, no = marking["word"].to_list(), plain["word"].to_list()
     third = landmarks // 3
-    like = np.concatenate([(features(no[at : at + 2000]) @ features(yes[:third]).T).max(1) for at in range(0, len(no), 2000)])
+    like = kernel(no, profiles(yes[:third])).max(1)
     near = [no[i] for i in np.argsort(-like, kind="stable")[:third]]
-    base = features(list(dict.fromkeys(yes[:third] + near + no[: landmarks - 2 * third])))
-    value, vector = np.linalg.eigh(base @ base.T)
+    chosen = list(dict.fromkeys(yes[:third] + near + no[: landmarks - 2 * third]))
+    base = profiles(chosen)
+    value, vector = np.linalg.eigh(kernel(chosen, base).astype(float))
     white = (vector * (1 / np.sqrt(np.maximum(value, 1e-3)))) @ vector.T
     varied = _varied(yes, rng)
-    train = yes + varied + no
-    kernel = np.concatenate([features(train[at : at + 2000]) @ base.T for at in range(0, len(train), 2000)]) @ white
+    features = kernel(yes + varied + no, base) @ white.astype(np.float32)
     y = np.repeat([1.0, -1.0], [len(yes) + len(varied), len(no)])
     heavy = np.concatenate([np.tile(np.log1p(marking["toxic"].to_numpy(float)), 2) * np.repeat([1.0, 0.3], len(yes)), np.log1p(plain["other"].to_numpy(float))])
     heavy[y > 0] *= 0.3 / heavy[y > 0].sum()
     heavy[y < 0] *= 0.7 / heavy[y < 0].sum()
-    w, bias = _svm(kernel, y, heavy)
-    return ((white @ w) @ base).astype(np.float32), bias
+    w, bias = _svm(features, y, heavy)
+    return (base @ (white @ w)).astype(np.float32), bias
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labels: int = 30_000, landmarks: int = 384, mining: int = 2, seed: int = 7) -> Model:
-    """Train on the folds that are not held out. What reaches the driver: at most 32,000 words and a few numbers for each of ``max_labels`` documents."""
+    """Train on the folds that are not held out. What reaches the driver: at most 17,000 words and a few numbers for each of ``max_labels`` documents."""
     small_batches(docs.sparkSession)
     rows = _labelled(docs, labels, id_col, text_col, label_col, max_labels)
     n = rows.groupBy("toxic").count().collect()
@@ -272,8 +288,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     words = rows.mapInArrow(_count_words, "word string, toxic long, other long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     lift = (F.col("toxic") / bad) / ((F.col("other") + 0.5) / good)
     words = words.withColumn("lift", lift).withColumn("marks", (F.col("toxic") >= 3) & (lift >= 4)).cache()
-    marking = words.where("marks").orderBy(F.desc(F.col("toxic") * F.log("lift")), "word").limit(2000).toPandas()
-    plain = words.where("NOT marks AND lift < 2").orderBy(F.desc(F.col("toxic") + F.col("other")), "word").limit(10_000).toPandas()
+    marking = words.where("marks").orderBy(F.desc(F.col("toxic") * F.log("lift")), "word").limit(1000).toPandas()
+    plain = words.where("NOT marks AND lift < 2").orderBy(F.desc(F.col("toxic") + F.col("other")), "word").limit(6000).toPandas()
     if not len(marking) or not len(plain):
         words.unpersist()
         return nothing
@@ -283,7 +299,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for turn in range(1 + mining):
         if turn:  # words of clean documents that the machine takes for toxic ones
             hard = words.where("NOT marks AND lift < 2 AND other > 0").withColumn("margin", model.margin_column(F.col("word"))).where("margin > -0.5")
-            hard = hard.orderBy(F.desc("margin"), "word").limit(10_000).drop("margin").toPandas()
+            hard = hard.orderBy(F.desc("margin"), "word").limit(5000).drop("margin").toPandas()
             plain = pd.concat([plain, hard]).drop_duplicates("word")
         weight, bias = _machine(marking, plain, landmarks, rng)
         model = Model(weight, bias, np.zeros(TOP + 2), nothing.share)
