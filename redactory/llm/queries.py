@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, neighbours, pii, quality, repeats, token_files, toxicity
+from . import bpe, decontaminate, html_tree, jaccard, neighbours, pii, quality, repeats, token_files, toxicity
 from .storage import Scratch
 
 
@@ -33,6 +33,10 @@ def op4_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
 
+def op5_tree_model_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_tree.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op6_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     items = F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256")
@@ -67,7 +71,7 @@ def op10_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sparse_suffix_array, op2_importance_resampling, op3_byte_bpe, op4_ivf_pq, op6_positional_index, op7_partenum_join, op8_string_kernel_svm, op9_token_files, op10_skip_chain_pii)}
+    return {f.__name__: f for f in (op1_sparse_suffix_array, op2_importance_resampling, op3_byte_bpe, op4_ivf_pq, op5_tree_model_html, op6_positional_index, op7_partenum_join, op8_string_kernel_svm, op9_token_files, op10_skip_chain_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
