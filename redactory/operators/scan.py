@@ -103,14 +103,7 @@ def scan_events(df: DataFrame, engine: Engine, where: Filter | None = None, salt
     def of_cell(c: Column) -> Column:
         return F.when(c["value"].isNotNull() & ~c["type_name"].isin(*events.NOT_SCANNED), c["value"])
 
-    def scoped(matches: Column, name: Column) -> Column:
-        out = matches
-        for r in engine.rules:
-            if r.scope:
-                out = _in_scope(out, r, name)
-        return _named(out, name)
-
-    native = F.flatten(F.transform("columns", lambda c: scoped(engine.matches(of_cell(c)), c["name"])))
+    native = F.flatten(F.transform("columns", lambda c: _scoped(engine, engine.matches(of_cell(c)), c["name"])))
     return _findings(kept.withColumn("matches", native).where(F.size("matches") > 0), salt)
 
 
@@ -118,12 +111,19 @@ def scan_cells(df: DataFrame, engine: Engine, where: Filter | None = None, salt:
     """As :func:`scan_events`, for any rules: cells become rows, and an event's findings meet again by ``(database, commit_lsn, primary_keys, table_name)``."""
     kept = (where or Filter()).apply(events.changes(df))
     cells = kept.select("*", F.posexplode("columns").alias("at", "c")).where(F.col("c.value").isNotNull() & ~F.col("c.type_name").isin(*events.NOT_SCANNED))
-    found = cells.withColumn("found", _named(engine.matches(F.col("c.value")), F.col("c.name"))).where(F.size("found") > 0)
+    found = cells.withColumn("found", _scoped(engine, engine.matches(F.col("c.value")), F.col("c.name"))).where(F.size("found") > 0)
     event = ["database", "schema_name", "table_name", "primary_keys", "commit_lsn"]
     rows = found.groupBy(*event).agg(F.array_sort(F.collect_list(F.struct("at", "found"))).alias("all"))
     return _findings(rows.select(*event, F.flatten("all.found").alias("matches")), salt)
 
 
+def _scoped(engine: Engine, matches: Column, name: Column) -> Column:
+    for r in engine.rules:
+        if r.scope:
+            matches = _in_scope(matches, r, name)
+    return _named(matches, name)
+
+
 def _in_scope(matches: Column, rule, name: Column) -> Column:
     inside = rule.scope.column(F.col("schema_name"), F.col("table_name"), name)
     return F.filter(matches, lambda m: (m["rule_id"] != rule.id) | inside)
