@@ -13,8 +13,10 @@ span. Base spans always stay.
 
 The field is trained on the base spans of about ``train_docs`` documents, picked
 by a hash of their text (a bound on the fit alone; every whole text is searched):
-local potentials by multinomial logistic regression, chain and skip potentials by
-the association of the labels at both ends.
+local potentials by multinomial logistic regression, chain potentials by the
+association of the labels at both ends, and the skip potential by how often the ends
+agree, one of them being in a span. As the labels come from the patterns, which
+miss what the field is to find, agreement starts from ``AGREE`` pairs.
 
 Defined results: null and empty texts have no spans; positions are code points,
 ends exclusive; repeated rows have equal spans; a corpus without any base span
@@ -39,6 +41,8 @@ KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
 LABELS = len(KINDS) + 1
 FEATURES = 1 << 12
+#: Agreeing pairs that are taken as seen beforehand.
+AGREE = 20
 SPANS = "array<struct<kind: string, start: int, end: int, base: boolean>>"
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -234,7 +238,7 @@ class Field:
         return out
 
 
-def fit(docs: DataFrame, text_col: str = "text", train_docs: int = 4000, least: float = 0.8, rounds: int = 150) -> Field:
+def fit(docs: DataFrame, text_col: str = "text", train_docs: int = 4000, least: float = 0.7, rounds: int = 150) -> Field:
     """Train on the base spans of about ``train_docs`` documents that have a digit or ``@``."""
     small_batches(docs.sparkSession)
     some = docs.where(F.col(text_col).rlike("[0-9@]"))
@@ -253,15 +257,16 @@ def fit(docs: DataFrame, text_col: str = "text", train_docs: int = 4000, least:
 
     # Equal rows are counted on the executors, so that repeated tokens do not come one by one.
     rows = some.select(text_col).mapInArrow(gather, "kind int, label int, other int, features array<long>").groupBy("kind", "label", "other", "features").count().toPandas()
-    local, ends = rows[rows["kind"] == 0], {}
+    local = rows[rows["kind"] == 0]
     if not len(local) or (local["label"] == OTHER).all():
         return Field(np.zeros((FEATURES, LABELS)), np.zeros((LABELS, LABELS)), np.zeros((LABELS, LABELS)), least)
-    for kind in (1, 2):
-        c = np.full((LABELS, LABELS), 0.1)
-        own = rows[rows["kind"] == kind]
-        np.add.at(c, (own["label"].to_numpy(), own["other"].to_numpy()), own["count"].to_numpy())
-        c = (c + c.T) / 2 if kind == 2 else c
-        ends[kind] = np.clip(np.log(c * c.sum() / (c.sum(1, keepdims=True) * c.sum(0, keepdims=True))), -3, 3) / 2
+    chain, skip = (rows[rows["kind"] == kind] for kind in (1, 2))
+    c = np.full((LABELS, LABELS), 2.0)
+    np.add.at(c, (chain["label"].to_numpy(), chain["other"].to_numpy()), chain["count"].to_numpy())
+    pair = np.clip(np.log(c * c.sum() / (c.sum(1, keepdims=True) * c.sum(0, keepdims=True))), -3, 3) / 2
+    named = skip[(skip["label"] != OTHER) | (skip["other"] != OTHER)]
+    agree = named["label"] == named["other"]
+    same = np.clip(np.log((named.loc[agree, "count"].sum() + AGREE) / (named.loc[~agree, "count"].sum() + 1)), 0, 3)
     x, y, weight = np.stack(local["features"].to_list()), local["label"].to_numpy(), np.log1p(local["count"].to_numpy())
     w, first, second = np.zeros((FEATURES, LABELS)), np.zeros((FEATURES, LABELS)), np.zeros((FEATURES, LABELS))
     for step in range(1, rounds + 1):
@@ -273,7 +278,7 @@ def fit(docs: DataFrame, text_col: str = "text", train_docs: int = 4000, least:
         grad = np.stack([np.bincount(x.ravel(), np.repeat(p[:, k], x.shape[1]), FEATURES) for k in range(LABELS)], 1) + 1e-4 * w
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         w -= 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    return Field(w, ends[1], ends[2], least)
+    return Field(w, pair, same * np.eye(LABELS), least)
 
 
 def spans(text: Column, field: Field) -> Column:
