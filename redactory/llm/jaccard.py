@@ -10,10 +10,15 @@ empty partitions that this may happen also gives signatures of another partition
 of the domain, in which the same can only happen to sets that give them too; the
 last of these also counts empty partitions as signatures. No pair is lost.
 
-Sets that share a signature are compared exactly, first with the least set of each
-signature. Links make components. A signature whose sets are all in one component
-needs no more comparisons; in the others every two sets of different components
-and fitting sizes are compared, so that the components are those of all links.
+Sets that share signatures, directly or over others, are a family; its least set is
+the root, and each set is compared exactly with the root of its family. What a set has
+and the root lacks, and the other way round, is its difference. Two sets that are
+linked have a distance of at most ``k``, so either both are linked with the root, or
+their differences overlap; by how much at least is known from their sizes, and so
+is the number of elements (those that the root lacks first) of which two linked
+sets must share one. Sets that share one are compared exactly by their differences.
+So a group of thousands of near copies gives as many comparisons as it has links
+to prove, not one for every two copies of one text.
 
 Copies have one set and one node; a task sends a set's signatures once, so that
 even a third of all rows being copies gives a row for each task and signature.
@@ -28,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles
@@ -62,26 +67,30 @@ class PartEnum:
             self.band(self.bands[-1][1] + 1)
         return 2 * self.bands[band][1] * (100 - self.percent) // (100 + self.percent)
 
-    def signatures(self, s: np.ndarray) -> np.ndarray:
+    def signatures(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Signatures, and for each twice the number of signatures of its band that a linked set must share, plus one in the upper band."""
         if not len(s):
-            return np.zeros(0, np.uint64)
+            return np.zeros(0, np.uint64), np.zeros(0, np.int32)
         band = self.band(len(s))
-        return np.concatenate([x for b in (band, band + 1) for x in self.of_band(s, b)])
+        parts = [(x, 2 * need + up) for up in (0, 1) for x, need in self.of_band(s, band + up)]
+        return np.concatenate([x for x, _ in parts]), np.repeat(np.array([n for _, n in parts], np.int32), [len(x) for x, _ in parts])
 
-    def of_band(self, s: np.ndarray, band: int) -> Iterator[np.ndarray]:
+    def of_band(self, s: np.ndarray, band: int) -> list[tuple[np.ndarray, int]]:
         k = self.differ(band)
         parts = k + 1 + (1 + min(k, 8) // 4 + k // 12 if k else 0)
         edges = (np.arange(1, parts, dtype=np.uint64) * np.uint64(2**64 // parts)) if parts > 1 else np.zeros(0, np.uint64)
+        out = []
         for turn in range(TRIES):
             own = s if not turn else np.sort(shingles.mix(s + np.uint64(turn)))
             cut = np.concatenate([[0], np.searchsorted(own, edges), [len(own)]])
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(shingles.mix(own ^ np.uint64(0xA5A5A5A5)), dtype=np.uint64)])
             each = shingles.mix(total[cut[1:]] - total[cut[:-1]] + shingles.mix(np.arange(parts, dtype=np.uint64) + np.uint64((band << 40) + (turn << 32) + 1)))
             full = cut[1:] > cut[:-1]
-            if parts - int(full.sum()) < parts - k:
-                yield each[full]
-                return
-            yield each if turn == TRIES - 1 else each[full]
+            spare = int(full.sum()) - k  # partitions that a linked set shares and that are not empty
+            if spare > 0:
+                return [*out, (each[full], 1 if out else spare)]
+            out.append((each if turn == TRIES - 1 else each[full], 1))
+        return out
 
 
 def _arrow(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -105,42 +114,131 @@ def members(df: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
 
 
 def signatures(df: DataFrame, words: int, percent: int, text_col: str) -> DataFrame:
-    """``(sig long, node long, n int)``; a task gives the signatures of equal sets once."""
+    """``(sig long, node long, need int)``; a task gives the signatures of equal sets once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         method, seen = PartEnum(percent), set()
         for b in batches:
-            sigs, nodes, sizes = [], [], []
+            sigs, nodes, needs = [], [], []
             for s in shingles.sets(b.column(0).to_pylist(), words):
                 if len(s) and (node := _node(s)) not in seen:
                     seen.add(node)
-                    sigs.append(method.signatures(s).view(np.int64))
+                    sig, need = method.signatures(s)
+                    sigs.append(sig.view(np.int64))
+                    needs.append(need)
                     nodes.append(node)
-                    sizes.append(len(s))
             if sigs:
                 count = [len(x) for x in sigs]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.repeat(np.array(nodes, np.int64), count)), pa.array(np.repeat(np.array(sizes, np.int32), count))], ["sig", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.repeat(np.array(nodes, np.int64), count)), pa.array(np.concatenate(needs))], ["sig", "node", "need"])
 
-    return df.select(F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8").alias("text")).mapInArrow(run, "sig long, node long, n int")
+    return df.select(F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8").alias("text")).mapInArrow(run, "sig long, node long, need int")
 
 
-def element_sets(df: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """``(node long, elements array<long>)`` of the given rows."""
+def _sketch(s: np.ndarray) -> np.ndarray:
+    odd = np.bincount((shingles.mix(s) & np.uint64(1023)).astype(np.int64), minlength=1024) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def element_sets(rows: DataFrame, words: int) -> DataFrame:
+    """``(root long, node long, elements array<long>, sketch array<long>)`` of rows ``(root, node, text binary)``; rows of other sets than their node's are left out.
+
+    The sketch holds, for each of 1024 classes of elements, whether their number is
+    odd: two sets differ in at least as many elements as their sketches in bits.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = shingles.sets(b.column(1).to_pylist(), words)
-            yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["node", "elements"])
+            found = shingles.sets(b.column(2).to_pylist(), words)
+            keep = [i for i, (s, node) in enumerate(zip(found, b.column(1).to_pylist(), strict=True)) if len(s) and _node(s) == node]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), b.column(1).take(pa.array(keep, pa.int64())), pa.array([found[i].view(np.int64) for i in keep], pa.list_(pa.int64())), pa.array([_sketch(found[i]) for i in keep], pa.list_(pa.int64()))], ["root", "node", "elements", "sketch"])
 
-    return _arrow(df, id_col, text_col).mapInArrow(run, "node long, elements array<long>")
+    return rows.mapInArrow(run, "root long, node long, elements array<long>, sketch array<long>")
 
 
-def _verified(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets are similar enough."""
-    left, right = (known.select(F.col("node").alias(x), F.col("elements").alias(f"set_{x}")) for x in ("a", "b"))
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    joined = pairs.join(left, "a").join(right, "b")
-    return joined.where(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
+def _linked(common: Column, size_a: str, size_b: str, percent: int) -> Column:
+    return (100 + percent) * common >= percent * (F.col(size_a) + F.col(size_b))
+
+
+def differences(known: DataFrame, percent: int) -> DataFrame:
+    """``(root, own, node, n, near, sketch, plus, minus)`` for each set but the roots: its size, whether it is linked with the root, what it has more and less.
+
+    A set that differs from the root in more than it has elements is described by
+    itself (``own``: all of it is ``plus``). Linked sets differ little in what
+    they differ from the root; so in a middle range, wide enough that two linked
+    sets always have a description of one kind, sets have both.
+    """
+    base = known.where("node = root").select("root", F.col("elements").alias("root_elements"))
+    both = known.where("node <> root").join(base, "root")
+    both = both.select("root", "node", F.size("elements").alias("n"), F.size("root_elements").alias("n_root"), "elements", "root_elements", "sketch", F.array_except("elements", "root_elements").alias("plus"))
+    common = F.col("n") - F.size("plus")
+    ratio = (F.col("n") + F.col("n_root") - 2 * common) / F.col("n")
+    least = max(0.0, percent / 100 - (100 - percent) / percent - 0.01)
+    near = _linked(common, "n", "n_root", percent)
+    of_root = F.when(ratio <= 1, F.struct(F.lit(False).alias("own"), "plus", F.array_except("root_elements", "elements").alias("minus")))
+    of_own = F.when((ratio >= least) & ~near, F.struct(F.lit(True).alias("own"), F.col("elements").alias("plus"), F.array().cast("array<long>").alias("minus")))
+    out = both.select("root", "node", "n", near.alias("near"), "sketch", F.explode(F.array_compact(F.array(of_root, of_own))).alias("d"))
+    return out.select("root", "d.own", "node", "n", "near", "sketch", "d.plus", "d.minus")
+
+
+#: Numbers of 64 bits of a whole sketch, and of a folded one.
+WHOLE, FOLDED = 16, 4
+
+
+def _elements(apart: DataFrame, percent: int) -> DataFrame:
+    """A row for each element of which two linked sets, not both near the root, must share one; sketches are folded."""
+    d = F.size("plus") + F.size("minus")
+    far = F.floor(F.col("n") * (100 - percent) / percent) + 1
+    near = F.floor(d * (100 / (100 + percent)) + 0.5) + 1
+    few = F.least(d, F.when(F.col("near"), near).otherwise(far)).cast("int")
+    said = [c for c in apart.columns if c not in ("plus", "minus", "sketch")]
+    folded = [F.expr(" ^ ".join(f"sketch[{i}]" for i in range(k, WHOLE, FOLDED))).alias(f"s{k}") for k in range(FOLDED)] if "sketch" in apart.columns else []
+    return apart.select(*said, d.alias("d"), *folded, F.explode(F.slice(F.concat(F.sort_array("plus"), F.sort_array("minus")), 1, few)).alias("element"))
+
+
+def _fits(a, b, percent: int) -> Column:
+    """``a`` and ``b`` give a field's column: not both near the root, and sizes that links can have."""
+    return ~(a("near") & b("near")) & (100 * F.least(a("n"), b("n")) >= percent * F.greatest(a("n"), b("n")))
+
+
+def _few_bits(bits: Column, a, b, percent: int) -> Column:
+    """Whether the sketches differ in no more bits than linked sets in elements."""
+    return (100 + percent) * bits <= (100 - percent) * (a("n") + b("n"))
+
+
+def likeliest(apart: DataFrame, percent: int) -> DataFrame:
+    """``(a, b, own)``: for each set not near the root one that it may be linked with, out of its neighbours among the sets that share an element."""
+    fields = ["node", "n", "near", *[f"s{k}" for k in range(FOLDED)]]
+    me = F.struct(*fields)
+    group = Window.partitionBy("root", "own", "element")
+    others = {f"o{i}": f(me).over(group.orderBy(*o)) for i, (o, f) in enumerate((o, f) for o in (("d", "node"), ("node",)) for f in (F.lag, F.lead))}
+    rows = _elements(apart, percent).withColumns(others).where("NOT near")
+    pairs = rows.select(*fields, "own", F.explode(F.array_compact(F.array(*others))).alias("o"))
+    other = lambda c: F.col(f"o.{c}")
+    bits = F.expr(" + ".join(f"bit_count(s{k} ^ o.s{k})" for k in range(FOLDED)))
+    pairs = pairs.where((F.col("node") != other("node")) & _fits(F.col, other, percent) & _few_bits(bits, F.col, other, percent))
+    best = pairs.groupBy("node").agg(F.min_by(F.struct(other("node").alias("b"), "own"), bits).alias("best"))
+    return best.select(F.col("node").alias("a"), "best.b", "best.own")
+
+
+def overlapping(apart: DataFrame, percent: int) -> DataFrame:
+    """``(a, b, own)``: all pairs of one family and of different ``label`` that may be linked."""
+    group = Window.partitionBy("root", "own", "element")
+    rows = _elements(apart.drop("sketch"), percent).drop("d").withColumns({"low": F.min("label").over(group), "high": F.max("label").over(group)}).where("low < high")
+    rows = rows.drop("low", "high").join(apart.select("node", "own", "sketch"), ["node", "own"])
+    one, two = (rows.select("root", "own", "element", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n", "near", "sketch")]) for x in ("a", "b"))
+    a, b = (lambda c: F.col(f"{c}_a")), (lambda c: F.col(f"{c}_b"))
+    bits = F.expr(" + ".join(f"bit_count(sketch_a[{i}] ^ sketch_b[{i}])" for i in range(WHOLE)))
+    fit = (a("node") < b("node")) & (a("label") != b("label")) & _fits(a, b, percent) & _few_bits(bits, a, b, percent)
+    return one.join(two, ["root", "own", "element"]).where(fit).select(a("node").alias("a"), b("node").alias("b"), "own").distinct()
+
+
+def _verified(pairs: DataFrame, apart: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose sets are similar enough, by their differences from the root."""
+    left, right = (apart.select(F.col("node").alias(x), "own", *[F.col(c).alias(f"{c}_{x}") for c in ("n", "plus", "minus")]) for x in ("a", "b"))
+    joined = pairs.join(left, ["a", "own"]).join(right, ["b", "own"])
+    same = F.size(F.array_intersect("plus_a", "plus_b")) + F.size(F.array_intersect("minus_a", "minus_b"))
+    apart_by = F.size("plus_a") + F.size("minus_a") + F.size("plus_b") + F.size("minus_b") - 2 * same
+    return joined.where(_linked((F.col("n_a") + F.col("n_b") - apart_by) / 2, "n_a", "n_b", percent)).select("a", "b")
 
 
 def classes(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,35 +251,24 @@ def classes(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc
     rows = scratch.keep(members(df, words, id_col, text_col), "members")
 
     by_sig = Window.partitionBy("sig")
-    shared = (
-        signatures(df, words, percent, text_col)
-        .select("sig", "node", "n", F.min("node").over(by_sig).alias("least"), F.max("node").over(by_sig).alias("most"))
-        .where("least < most").select("sig", "node", "n", "least")
-    )
+    shared = signatures(df, words, percent, text_col).withColumns({"least": F.min("node").over(by_sig), "most": F.max("node").over(by_sig)}).where("least < most").select("sig", "node", "need").distinct()
     shared = scratch.keep(shared, "shared")
-    sized = shared.select("node", "n").distinct()
-    first = (
-        shared.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"), F.col("n").alias("n_b")).distinct()
-        .join(sized.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a")
-        .where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b")
-    )
-    first = scratch.keep(first, "first-pairs")
-    wanted = shared.select("node").distinct()
-    known = scratch.keep(element_sets(_rows_of(df, rows, wanted, id_col), words, id_col, text_col), "sets")
-    links = scratch.keep(_verified(first, known, percent), "first-links")
-    labels = scratch.keep(components(links, scratch, "first"), "first-labels")
-
-    labelled = shared.join(labels, "node", "left").select("sig", "node", "n", F.coalesce("label", "node").alias("label"))
-    mixed = labelled.withColumn("low", F.min("label").over(by_sig)).withColumn("high", F.max("label").over(by_sig)).where("low < high").select("sig", "node", "n", "label").distinct()
-    mixed = scratch.keep(mixed, "mixed")
-    one, two = (mixed.select("sig", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "label")]) for x in ("a", "b"))
-    rest = (
-        one.join(two, "sig").where(f"label_a < label_b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-        .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-        .join(first, ["a", "b"], "left_anti")
-    )
-    more = scratch.keep(_verified(scratch.keep(rest, "rest-pairs"), known, percent), "rest-links")
-    labels = components(links.unionByName(more), scratch, "all")
+    enough = shared.groupBy("node", "need").count().where("count >= need DIV 2").select("node", "need")
+    shared = shared.join(enough, ["node", "need"], "left_semi").select("node", F.min("node").over(by_sig).alias("least")).where("node <> least").distinct()
+    shared = shared.withColumn("first", F.min("least").over(Window.partitionBy("node")))
+    # One link a set, to the first of the least sets it shares a signature with, and those to each other.
+    family = shared.select("node", F.col("first").alias("to")).unionByName(shared.where("least <> first").select(F.col("least").alias("node"), F.col("first").alias("to"))).distinct()
+    roots = scratch.keep(components(family, scratch, "families").select("node", F.col("label").alias("root")), "roots")
+    known = scratch.keep(element_sets(_rows_of(df, rows, roots, id_col, text_col), words).dropDuplicates(["node"]), "sets")
+    apart = scratch.keep(differences(known, percent), "differences")
+    scratch.drop("sets")
+    links = apart.where("near").select(F.col("root").alias("a"), F.col("node").alias("b")).distinct()
+    links = scratch.keep(links.unionByName(_verified(scratch.keep(likeliest(apart, percent), "likeliest"), apart, percent)), "links")
+    labels = scratch.keep(components(links, scratch, "first"), "labels")
+    labelled = apart.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    pairs = scratch.keep(overlapping(labelled, percent), "pairs")
+    if not pairs.isEmpty():
+        labels = components(scratch.keep(links.unionByName(_verified(pairs, apart, percent)), "more-links"), scratch)
 
     placed = rows.join(labels, "node", "left").select("id", "n_shingles", F.coalesce("label", "node").alias("label"))
     placed = scratch.keep(placed, "placed")
@@ -189,9 +276,9 @@ def classes(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc
     return placed.join(least, "label", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
 
-def _rows_of(df: DataFrame, rows: DataFrame, wanted: DataFrame, id_col: str) -> DataFrame:
-    """One row of ``df`` for each wanted node (more where an id repeats)."""
-    ids = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("id").alias(id_col)).select(id_col)
-    if wanted.count() <= BROADCAST_ROWS:
+def _rows_of(df: DataFrame, rows: DataFrame, roots: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(root, node, text)`` of one row of ``df`` for each node (more where an id repeats)."""
+    ids = rows.join(roots, "node").groupBy("node", "root").agg(F.min("id").alias("id"))
+    if roots.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
-    return df.join(ids, id_col, "left_semi")
+    return _arrow(df, id_col, text_col).join(ids, "id").select("root", "node", "text")
