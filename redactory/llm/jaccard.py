@@ -71,19 +71,26 @@ class PartEnum:
         """Signatures, and for each twice the number of signatures of its band that a linked set must share, plus one in the upper band."""
         if not len(s):
             return np.zeros(0, np.uint64), np.zeros(0, np.int32)
-        band = self.band(len(s))
-        parts = [(x, 2 * need + up) for up in (0, 1) for x, need in self.of_band(s, band + up)]
+        parts = self.parts(s)
         return np.concatenate([x for x, _ in parts]), np.repeat(np.array([n for _, n in parts], np.int32), [len(x) for x, _ in parts])
 
-    def of_band(self, s: np.ndarray, band: int) -> list[tuple[np.ndarray, int]]:
+    def parts(self, s: np.ndarray) -> list[tuple[np.ndarray, int]]:
+        """:meth:`signatures` of a set that is not empty, by how many must be shared."""
+        band, sums = self.band(len(s)), {}
+        return [(x, 2 * need + up) for up in (0, 1) for x, need in self.of_band(s, band + up, sums)]
+
+    def of_band(self, s: np.ndarray, band: int, sums: dict[int, tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, int]]:
+        """Signatures of one band; ``sums`` holds, for each partition of the domain, the order of the elements and their running sums."""
         k = self.differ(band)
         parts = k + 1 + (1 + min(k, 8) // 4 + k // 12 if k else 0)
         edges = (np.arange(1, parts, dtype=np.uint64) * np.uint64(2**64 // parts)) if parts > 1 else np.zeros(0, np.uint64)
         out = []
         for turn in range(TRIES):
-            own = s if not turn else np.sort(shingles.mix(s + np.uint64(turn)))
+            if turn not in sums:
+                own = s if not turn else np.sort(shingles.mix(s + np.uint64(turn)))
+                sums[turn] = own, np.concatenate([np.zeros(1, np.uint64), np.cumsum(shingles.mix(own ^ np.uint64(0xA5A5A5A5)), dtype=np.uint64)])
+            own, total = sums[turn]
             cut = np.concatenate([[0], np.searchsorted(own, edges), [len(own)]])
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(shingles.mix(own ^ np.uint64(0xA5A5A5A5)), dtype=np.uint64)])
             each = shingles.mix(total[cut[1:]] - total[cut[:-1]] + shingles.mix(np.arange(parts, dtype=np.uint64) + np.uint64((band << 40) + (turn << 32) + 1)))
             full = cut[1:] > cut[:-1]
             spare = int(full.sum()) - k  # partitions that a linked set shares and that are not empty
@@ -102,36 +109,35 @@ def _node(s: np.ndarray) -> int:
     return int(shingles.mix(np.array([np.sum(shingles.mix(s), dtype=np.uint64) + np.uint64(len(s))]))[0] >> np.uint64(1))
 
 
-def members(df: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """``(id, n_shingles long, node long)``: the node is null for texts without words."""
+#: Signatures of one number of needed ones.
+PARTS = "array<struct<need: int, sigs: array<long>>>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = shingles.sets(b.column(1).to_pylist(), words)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([_node(s) if len(s) else None for s in found], pa.int64())], ["id", "n_shingles", "node"])
 
-    return _arrow(df, id_col, text_col).mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, n_shingles long, node long")
+def described(df: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """``(id, n_shingles long, node long, parts)``: the node is null for texts without words; a task gives the signatures of equal sets once.
 
-
-def signatures(df: DataFrame, words: int, percent: int, text_col: str) -> DataFrame:
-    """``(sig long, node long, need int)``; a task gives the signatures of equal sets once."""
+    Texts are cut into shingles once: sets and signatures come from one pass.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         method, seen = PartEnum(percent), set()
         for b in batches:
-            sigs, nodes, needs = [], [], []
-            for s in shingles.sets(b.column(0).to_pylist(), words):
-                if len(s) and (node := _node(s)) not in seen:
+            found = shingles.sets(b.column(1).to_pylist(), words)
+            nodes = [_node(s) if len(s) else None for s in found]
+            count, needs, sigs = [0], [], []
+            for s, node in zip(found, nodes, strict=True):
+                if node is not None and node not in seen:
                     seen.add(node)
-                    sig, need = method.signatures(s)
-                    sigs.append(sig.view(np.int64))
-                    needs.append(need)
-                    nodes.append(node)
-            if sigs:
-                count = [len(x) for x in sigs]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.repeat(np.array(nodes, np.int64), count)), pa.array(np.concatenate(needs))], ["sig", "node", "need"])
+                    for sig, need in method.parts(s):
+                        sigs.append(sig.view(np.int64))
+                        needs.append(need)
+                count.append(len(needs))
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sigs])]), pa.int32())
+            values = pa.array(np.concatenate([np.zeros(0, np.int64), *sigs]))
+            parts = pa.StructArray.from_arrays([pa.array(needs, pa.int32()), pa.ListArray.from_arrays(ends, values)], ["need", "sigs"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(count, pa.int32()), parts)], ["id", "n_shingles", "node", "parts"])
 
-    return df.select(F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8").alias("text")).mapInArrow(run, "sig long, node long, need int")
+    return _arrow(df, id_col, text_col).mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, n_shingles long, node long, parts {PARTS}")
 
 
 def _sketch(s: np.ndarray) -> np.ndarray:
@@ -248,11 +254,14 @@ def classes(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc
     """
     small_batches(df.sparkSession)
     scratch = Scratch(df.sparkSession, "jaccard")
-    rows = scratch.keep(members(df, words, id_col, text_col), "members")
+    passed = scratch.keep(described(df, words, percent, id_col, text_col), "described")
+    rows = scratch.keep(passed.select("id", "n_shingles", "node"), "members")
 
     by_sig = Window.partitionBy("sig")
-    shared = signatures(df, words, percent, text_col).withColumns({"least": F.min("node").over(by_sig), "most": F.max("node").over(by_sig)}).where("least < most").select("sig", "node", "need").distinct()
+    signatures = passed.select("node", F.explode("parts").alias("part")).select("node", "part.need", F.explode("part.sigs").alias("sig"))
+    shared = signatures.withColumns({"least": F.min("node").over(by_sig), "most": F.max("node").over(by_sig)}).where("least < most").select("sig", "node", "need").distinct()
     shared = scratch.keep(shared, "shared")
+    scratch.drop("described")
     enough = shared.groupBy("node", "need").count().where("count >= need DIV 2").select("node", "need")
     shared = shared.join(enough, ["node", "need"], "left_semi").select("node", F.min("node").over(by_sig).alias("least")).where("node <> least").distinct()
     shared = shared.withColumn("first", F.min("least").over(Window.partitionBy("node")))

@@ -71,13 +71,21 @@ def grams(h: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     return mix(out)
 
 
+def distinct(h: np.ndarray) -> np.ndarray:
+    """The different values of ``h``, sorted."""
+    h = np.sort(h)
+    new = np.ones(len(h), bool)
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    return h[new]
+
+
 def sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     """Each text's set of ``n``-word shingles as sorted hashes: A-Z count as a-z; with fewer words the whole sequence is one."""
     _, _, h, first = joined([t.lower() for t in texts])
     every, out = grams(h, n), []
     for a, b in zip(first[:-1], first[1:], strict=True):
         if b - a >= n:
-            out.append(np.unique(every[a : b - n + 1]))
+            out.append(distinct(every[a : b - n + 1]))
         elif b > a:
             out.append(grams(h[a:b], int(b - a), seed=int(b - a)))
         else:
