@@ -198,7 +198,10 @@ def _elements(apart: DataFrame, percent: int) -> DataFrame:
     few = F.least(d, F.when(F.col("near"), near).otherwise(far)).cast("int")
     said = [c for c in apart.columns if c not in ("plus", "minus", "sketch")]
     folded = [F.expr(" ^ ".join(f"sketch[{i}]" for i in range(k, WHOLE, FOLDED))).alias(f"s{k}") for k in range(FOLDED)] if "sketch" in apart.columns else []
-    return apart.select(*said, d.alias("d"), *folded, F.explode(F.slice(F.concat(F.sort_array("plus"), F.sort_array("minus")), 1, few)).alias("element"))
+    rows = apart.select(*said, "plus", "minus", d.alias("d"), *folded, F.explode(F.slice(F.concat(F.sort_array("plus"), F.sort_array("minus")), 1, few)).alias("element"))
+    # Another order of all elements for each element: sets that differ in much the same often have the same least.
+    least = F.array_min(F.transform(F.concat("plus", "minus"), lambda x: F.xxhash64(x, "element")))
+    return rows.select(*said, "d", *[f"s{k}" for k in range(len(folded))], "element", least.alias("least"))
 
 
 def _fits(a, b, percent: int) -> Column:
@@ -211,25 +214,30 @@ def _few_bits(bits: Column, a, b, percent: int) -> Column:
     return (100 + percent) * bits <= (100 - percent) * (a("n") + b("n"))
 
 
-def likeliest(apart: DataFrame, percent: int) -> DataFrame:
-    """``(a, b, own)``: for each set not near the root one that it may be linked with, out of its neighbours among the sets that share an element."""
+def neighbouring(apart: DataFrame, percent: int) -> DataFrame:
+    """``(a, b, own)``: pairs that may be linked, of a set not near the root and its neighbours among the sets that share an element.
+
+    Neighbours are looked for in two orders: by distance from the root, and by the
+    least of what a set differs in, in an order of its own for each element, so that
+    sets with much the same differences stand together in some of them. Each set has
+    at most four neighbours an element.
+    """
     fields = ["node", "n", "near", *[f"s{k}" for k in range(FOLDED)]]
     me = F.struct(*fields)
     group = Window.partitionBy("root", "own", "element")
-    others = {f"o{i}": f(me).over(group.orderBy(*o)) for i, (o, f) in enumerate((o, f) for o in (("d", "node"), ("node",)) for f in (F.lag, F.lead))}
+    others = {f"o{i}": f(me).over(group.orderBy(*o)) for i, (o, f) in enumerate((o, f) for o in (("d", "node"), ("least", "node")) for f in (F.lag, F.lead))}
     rows = _elements(apart, percent).withColumns(others).where("NOT near")
     pairs = rows.select(*fields, "own", F.explode(F.array_compact(F.array(*others))).alias("o"))
     other = lambda c: F.col(f"o.{c}")
     bits = F.expr(" + ".join(f"bit_count(s{k} ^ o.s{k})" for k in range(FOLDED)))
     pairs = pairs.where((F.col("node") != other("node")) & _fits(F.col, other, percent) & _few_bits(bits, F.col, other, percent))
-    best = pairs.groupBy("node").agg(F.min_by(F.struct(other("node").alias("b"), "own"), bits).alias("best"))
-    return best.select(F.col("node").alias("a"), "best.b", "best.own")
+    return pairs.select(F.least("node", other("node")).alias("a"), F.greatest("node", other("node")).alias("b"), "own").distinct()
 
 
 def overlapping(apart: DataFrame, percent: int) -> DataFrame:
     """``(a, b, own)``: all pairs of one family and of different ``label`` that may be linked."""
     group = Window.partitionBy("root", "own", "element")
-    rows = _elements(apart.drop("sketch"), percent).drop("d").withColumns({"low": F.min("label").over(group), "high": F.max("label").over(group)}).where("low < high")
+    rows = _elements(apart.drop("sketch"), percent).drop("d", "least").withColumns({"low": F.min("label").over(group), "high": F.max("label").over(group)}).where("low < high")
     rows = rows.drop("low", "high").join(apart.select("node", "own", "sketch"), ["node", "own"])
     one, two = (rows.select("root", "own", "element", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n", "near", "sketch")]) for x in ("a", "b"))
     a, b = (lambda c: F.col(f"{c}_a")), (lambda c: F.col(f"{c}_b"))
@@ -272,7 +280,7 @@ def classes(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc
     apart = scratch.keep(differences(known, percent), "differences")
     scratch.drop("sets")
     links = apart.where("near").select(F.col("root").alias("a"), F.col("node").alias("b")).distinct()
-    links = scratch.keep(links.unionByName(_verified(scratch.keep(likeliest(apart, percent), "likeliest"), apart, percent)), "links")
+    links = scratch.keep(links.unionByName(_verified(scratch.keep(neighbouring(apart, percent), "neighbouring"), apart, percent)), "links")
     labels = scratch.keep(components(links, scratch, "first"), "labels")
     labelled = apart.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     pairs = scratch.keep(overlapping(labelled, percent), "pairs")
