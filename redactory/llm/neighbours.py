@@ -1,15 +1,20 @@
 """Approximate nearest neighbours: an inverted file with product-quantised residuals.
 
-Method. K-means over a bounded sample gives coarse centroids and, over the
-residuals, a codebook for each part of the vector. Every row is indexed: its list
-and its codes. A query looks at the lists whose centroids give the largest inner
-products, at least as many as hold ``least_rows`` rows. Asymmetric distance tables
-(the query against every code) score the rows of a list; the best of each query
-are ranked again by the exact inner product of the original vectors.
+Method. Rows of one vector are one entry. K-means over a bounded sample gives coarse
+centroids and, over the residuals, a codebook for each part of the vector. Every
+entry is indexed: its list and its codes. A query looks at the lists whose centroids
+give the largest inner products; the codes score their entries; the best of each
+query are ranked again by the exact inner product of the original vectors.
 
-Lists and the queries that look at them are cut into blocks of bounded size, one
-task's work each, so that a vector with very many copies fills more blocks, not a
-larger one. Only counts a list reach the driver.
+How many lists and how long a shortlist is measured, not fixed: for some of the
+queries the true neighbours are found by comparing them with every vector, and both
+numbers are the least that keep the share ``recall`` of them (``probes``,
+``least_rows`` and ``shortlist`` are lower bounds). Where lists say little about
+nearness, as with vectors of no direction, most lists are looked at.
+
+The index is packed into rows of up to ``block`` entries, in order of the lists, and
+queries into rows of up to ``query_block``, in order of their first list. A task has
+some queries and goes over the packed index, keeping a shortlist a query.
 
 Nearness is the inner product in double precision; ties go to the smaller id.
 Defined results: vectors that are null, zero, or of other than the usual length, or
@@ -25,7 +30,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,28 +90,90 @@ class Index:
         """Queries x parts x codes: each part of a query against each code."""
         return np.einsum("qpd,pcd->qpc", q.reshape(len(q), len(self.books), -1), self.books)
 
-    def probes(self, q: np.ndarray, sizes: np.ndarray, lists: int, rows: int) -> list[np.ndarray]:
-        out = []
-        for order in np.argsort(-(q @ self.coarse.T), 1, kind="stable"):
-            enough = int(np.searchsorted(np.cumsum(sizes[order]), min(rows, sizes.sum()))) + 1
-            some = order[: max(lists, enough)]
-            out.append(some[sizes[some] > 0])
+    def decoded(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The vectors that stand for entries: their inner products are the scores of the codes."""
+        return self.coarse[lists] + np.concatenate([b[codes[:, p]] for p, b in enumerate(self.books)], 1)
+
+    def probed(self, q: np.ndarray, sizes: np.ndarray, lists: int, rows: int) -> np.ndarray:
+        """Queries x lists: whether the query looks at the list."""
+        order = np.argsort(-(q @ self.coarse.T), 1, kind="stable")
+        before = np.cumsum(sizes[order], 1) - sizes[order]
+        wanted = (np.arange(order.shape[1]) < lists) | (before < min(rows, sizes.sum()))
+        out = np.zeros(order.shape, bool)
+        np.put_along_axis(out, order, wanted, 1)
         return out
 
 
+def best(ids: np.ndarray, scores: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``n`` of the largest scores; ties go to the smaller id, minus infinity is no score."""
+    fine = np.flatnonzero(scores > -np.inf)
+    if len(fine) > n:
+        least = np.partition(scores[fine], len(fine) - n)[len(fine) - n]
+        fine = fine[scores[fine] >= least]
+        fine = fine[np.lexsort((ids[fine], -scores[fine]))[:n]]
+    return ids[fine], scores[fine]
+
+
+def _vectors(column: pa.Array, n: int) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(n, -1)
+
+
 def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def measure(entries: DataFrame, placed: DataFrame, index: Index, asked: DataFrame, k: int, share: float, queries: int) -> tuple[int, int]:
+    """How many lists, and how long a shortlist, keep ``share`` of the ``k`` true neighbours each."""
+    some = asked.orderBy(F.xxhash64("vec"), "vec").limit(queries).select("vec", "v").toPandas()
+    own, q = some["vec"].to_numpy(np.int64), np.array(some["v"].to_list(), np.float64)
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, scores = [np.zeros(0, np.int64)] * len(q), [np.zeros(0)] * len(q)
+        for b in batches:
+            if b.num_rows:
+                of = b.column(0).to_numpy()
+                near = q @ _vectors(b.column(1), b.num_rows).T
+                near[own[:, None] == of] = -np.inf
+                for i, s in enumerate(near):
+                    new = best(of, s, k)
+                    ids[i], scores[i] = best(np.concatenate([ids[i], new[0]]), np.concatenate([scores[i], new[1]]), k)
+        at = np.repeat(np.arange(len(q)), [len(i) for i in ids])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(np.concatenate(ids)), pa.array(np.concatenate(scores))], ["at", "vec", "near"])
+
+    order = Window.partitionBy("at").orderBy(F.desc("near"), "vec")
+    near = entries.select("vec", "v").mapInArrow(exact, "at int, vec long, near double").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    true = F.broadcast(near.select("at", "vec")).join(placed, "vec").toPandas()  # k rows a measured query
+    if not len(true):
+        return 1, 1
+    at, lists = true["at"].to_numpy(), true["list"].to_numpy()
+    place = np.argsort(np.argsort(-(q @ index.coarse.T), 1, kind="stable"), 1)[at, lists] + 1
+    codes = np.frombuffer(b"".join(true["codes"]), np.uint8).reshape(len(true), -1)
+    coded = (q[at] * index.decoded(lists, codes)).sum(1)
+
+    def above(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(at), np.int64)
+        for b in batches:
+            if b.num_rows:
+                c = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+                s = np.sort(q @ index.decoded(b.column(1).to_numpy(), c).T, 1)
+                for i in range(len(q)):
+                    n[at == i] += b.num_rows - np.searchsorted(s[i], coded[at == i] - 1e-12)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n)), pa.int32()), pa.array(n)], ["at", "n"])
+
+    ranks = placed.select("vec", "list", "codes").mapInArrow(above, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()["n"]
+    least = [int(np.sort(x)[min(len(x) - 1, int(np.ceil(share * len(x))) - 1)]) for x in (place, ranks.to_numpy())]
+    return least[0], least[1]
+
+
 def search(
     df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", train_rows: int = 20_000, lists: int | None = None,
-    probes: int = 24, parts: int = 16, shortlist: int = 100, least_rows: int = 2000, block: int = 4096, query_block: int = 512,
+    probes: int = 24, parts: int = 16, shortlist: int = 100, least_rows: int = 2000, block: int = 4096, query_block: int = 512, recall: float = 0.98, measured: int = 256,
 ) -> DataFrame:
     """``(query_id, rank, id_col, score)``: for each row of ``df`` with ``queries`` true its ``k`` nearest others.
 
     ``queries`` is a condition on the column ``id``. ``lists`` defaults to the root
-    of the number of rows, up to 4096. The index is trained on about ``train_rows``
-    rows picked by a hash of the id.
+    of the number of vectors, up to 4096. The index is trained on about ``train_rows``
+    vectors picked by a hash of the id; ``measured`` queries set what ``recall`` needs.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "neighbours")
@@ -117,67 +183,102 @@ def search(
     if usual is None:
         return spark.createDataFrame([], empty).withColumnRenamed("id", id_col)
     rows = rows.where(F.size("v") == usual.d)
-    n = usual["count"]
-    sample = rows if n <= train_rows else rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(train_rows / n * (1 << 30)))
-    x = np.array(sample.orderBy("id").select("v").toPandas()["v"].to_list(), np.float64)
+    # An entry a distinct vector; its k + 1 least ids are all that an answer can hold.
+    few = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1)
+    entries = scratch.keep(few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("vec"), "v", "ids"), "entries")
+    n = entries.count()
+    sample = entries if n <= train_rows else entries.where(F.pmod(F.xxhash64("vec"), F.lit(1 << 30)) < int(train_rows / n * (1 << 30)))
+    x = np.array(sample.orderBy("vec").select("v").toPandas()["v"].to_list(), np.float64)
     index = Index.train(x, lists or int(min(4096, max(1, n**0.5))), parts)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                at, codes = index.place(b.column(1).flatten().to_numpy().reshape(b.num_rows, -1))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], ["id", "list", "codes"])
+                at, codes = index.place(_vectors(b.column(1), b.num_rows))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec", "list", "codes"])
 
-    placed = scratch.keep(rows.mapInArrow(place, "id long, list int, codes binary"), "index")
+    placed = scratch.keep(entries.select("vec", "v").mapInArrow(place, "vec long, list int, codes binary"), "index")
     sizes = np.zeros(len(index.coarse), np.int64)
     for r in placed.groupBy("list").count().collect():
         sizes[r.list] = r["count"]
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    who = scratch.keep(rows.where(queries).select(F.col("id").alias("query_id"), "v").join(entries.select("vec", "v"), "v").select("query_id", "vec"), "who")
+    asked = scratch.keep(who.select("vec").distinct().join(entries, "vec").select("vec", "v"), "asked")
+    n_asked = asked.count()
+    if not n_asked:
+        return spark.createDataFrame([], empty).withColumnRenamed("id", id_col)
+    wanted, length = measure(entries, placed, index, asked, k, 1 - (1 - recall) / 2, measured)
+    wanted, length = max(wanted, probes), max(length, shortlist)
+
+    def first_list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                found = index.probes(b.column(1).flatten().to_numpy().reshape(b.num_rows, -1), sizes, probes, least_rows)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([f.astype(np.int32) for f in found], pa.list_(pa.int32()))], ["query_id", "q", "lists"])
-
-    asked = scratch.keep(rows.where(queries).select("id", "v").mapInArrow(probe, "query_id long, q array<double>, lists array<int>"), "asked")
-    asking = np.zeros(len(sizes), np.int64)
-    for r in asked.select(F.explode("lists").alias("list")).groupBy("list").count().collect():
-        asking[r.list] = r["count"]
-    cut = spark.createDataFrame([(i, int(-(-s // block)), int(-(-a // query_block))) for i, (s, a) in enumerate(zip(sizes.tolist(), asking.tolist(), strict=True)) if s and a], "list int, blocks int, query_blocks int")
-    cut = F.broadcast(cut)  # a row a list, 4096 at most
-    left = placed.join(cut, "list").select("list", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("turn"), "id", "codes")
-    right = asked.select("query_id", "q", F.explode("lists").alias("list")).join(cut, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("query_id"), F.col("query_blocks")).cast("int").alias("turn"), "query_id", "q")
-
-    def score(of_list: pd.DataFrame, of_queries: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "id": [], "near": []}
-        if len(of_list) and len(of_queries):
-            of_list = of_list.sort_values("id")
-            ids = of_list["id"].to_numpy()
-            codes = np.frombuffer(b"".join(of_list["codes"]), np.uint8).reshape(len(ids), -1)
-            base = index.coarse[int(of_list["list"].iloc[0])]
-            for at in range(0, len(of_queries), 64):
-                part = of_queries.iloc[at : at + 64]
-                q = np.stack(part["q"].to_list())
-                tables = index.tables(q)
-                near = np.repeat((q @ base)[:, None], len(ids), 1)
-                for p in range(codes.shape[1]):
-                    near += tables[:, p, codes[:, p]]
-                near[part["query_id"].to_numpy()[:, None] == ids] = -np.inf
-                for query, s in zip(part["query_id"], near, strict=True):
-                    best = np.arange(len(s))
-                    if len(s) > shortlist:
-                        least = np.partition(s, len(s) - shortlist)[len(s) - shortlist]
-                        over = np.flatnonzero(s > least)
-                        best = np.concatenate([over, np.flatnonzero(s == least)[: shortlist - len(over)]])
-                    best = best[s[best] > -np.inf]
-                    out["query_id"] += [query] * len(best)
-                    out["id"] += ids[best].tolist()
-                    out["near"] += s[best].tolist()
-        return pd.DataFrame(out).astype({"query_id": "int64", "id": "int64", "near": "float64"})
-
-    keys = ["list", "block", "turn"]
-    scored = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, "query_id long, id long, near double")
-    best = scored.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "id"))).where(F.col("place") <= shortlist)
-    exact = best.select("query_id", "id").join(rows, "id").join(asked.select("query_id", "q"), "query_id").select("query_id", "id", dot("q", "v").alias("score"))
-    ranked = exact.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), F.col("id").alias(id_col), "score")
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array((_vectors(b.column(1), b.num_rows) @ index.coarse.T).argmax(1), pa.int32())], ["vec", "v", "list"])
+
+    def pack(size: int):
+        """Rows of one task as rows of up to ``size`` of them: ids, lists, and codes or vectors, as bytes."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, n = [], 0
+
+            def packed() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([b"".join(h[c] for h in held)], pa.binary()) for c in range(3)], ["vecs", "lists", "what"])
+
+            for b in batches:
+                for at in range(0, b.num_rows, size):
+                    part = b.slice(at, size)
+                    if n and n + part.num_rows > size:
+                        yield packed()
+                        held, n = [], 0
+                    what = part.column(2).to_pylist() if pa.types.is_binary(part.column(2).type) else [_vectors(part.column(2), part.num_rows).tobytes()]
+                    held.append((part.column(0).to_numpy().tobytes(), part.column(1).to_numpy().tobytes(), b"".join(what)))
+                    n += part.num_rows
+            if n:
+                yield packed()
+
+        return run
+
+    def in_order(df: DataFrame, size: int) -> DataFrame:
+        dealt = df.repartitionByRange(max(1, -(-df.count() // size)), "list", "vec").sortWithinPartitions("list", "vec")
+        return dealt.mapInArrow(pack(size), "vecs binary, lists binary, what binary")
+
+    packed = scratch.keep(in_order(placed.select("vec", "list", "codes"), block), "packed")
+    turns = scratch.keep(in_order(asked.mapInArrow(first_list, "vec long, v array<double>, list int").select("vec", "list", "v"), query_block), "turns")
+    # No shuffle and no broadcast: a task has a part of the queries and reads a part of the packed index, a million entries or all.
+    together = turns.select(F.col("vecs").alias("q_vecs"), F.col("what").alias("q")).hint("shuffle_replicate_nl").crossJoin(packed.coalesce(max(1, n // 1_000_000)))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, list] = {}
+        for b in batches:
+            for q_vecs, q_bytes, vecs, lists, what in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if q_vecs not in held:
+                    q = np.frombuffer(q_bytes).reshape(len(q_vecs) // 8, -1)
+                    held[q_vecs] = [q, index.probed(q, sizes, wanted, least_rows), [(np.zeros(0, np.int64), np.zeros(0))] * len(q)]
+                q, probed, top = held[q_vecs]
+                own, ids, at = np.frombuffer(q_vecs, np.int64), np.frombuffer(vecs, np.int64), np.frombuffer(lists, np.int32)
+                some = probed.any(0)[at]
+                if not some.any():
+                    continue
+                ids, at, codes = ids[some], at[some], np.frombuffer(what, np.uint8).reshape(len(some), -1)[some]
+                near = q @ index.decoded(at, codes).T
+                near[~probed[:, at] | (own[:, None] == ids)] = -np.inf
+                for i, s in enumerate(near):
+                    if len(top[i][1]) == length:
+                        s = np.where(s >= top[i][1].min(), s, -np.inf)
+                    new = best(ids, s, length)
+                    if len(new[0]):
+                        top[i] = best(np.concatenate([top[i][0], new[0]]), np.concatenate([top[i][1], new[1]]), length)
+        for q_vecs, (_, _, top) in held.items():
+            query = np.repeat(np.frombuffer(q_vecs, np.int64), [len(t[0]) for t in top])
+            yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(np.concatenate([t[0] for t in top])), pa.array(np.concatenate([t[1] for t in top]))], ["query", "vec", "near"])
+
+    scored = scratch.keep(together.select("q_vecs", "q", "vecs", "lists", "what").mapInArrow(score, "query long, vec long, near double"), "scored")
+    short = scored.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near"), "vec"))).where(F.col("place") <= length)
+    pairs = short.select("query", "vec").unionByName(asked.select(F.col("vec").alias("query"), "vec"))  # its copies
+    exact = pairs.join(entries, "vec").join(asked.select(F.col("vec").alias("query"), F.col("v").alias("q")), "query").select("query", "vec", "ids", dot("q", "v").alias("score"))
+    ranked = exact.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec"))).where(F.col("place") <= k + 1)
+    ranked = ranked.select("query", "score", F.explode("ids").alias("id")).withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("place") <= k + 1)
+    answers = ranked.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("place", "id", "score"))).alias("found"))
+    found = who.join(answers, who["vec"] == answers["query"]).select("query_id", F.slice(F.filter("found", lambda x: x["id"] != F.col("query_id")), 1, k).alias("found"))
+    out = found.select("query_id", F.posexplode("found").alias("rank", "x"))
+    return out.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("x.id").alias(id_col), F.col("x.score").alias("score"))

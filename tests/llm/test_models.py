@@ -98,6 +98,23 @@ def test_neighbours_against_brute_force(spark):
     assert found / total >= 0.9
 
 
+def test_neighbours_of_many_vectors_without_direction(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(20_000, 64)).astype(np.float32).astype(float)
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    x[1::50] = x[1]  # copies must not fill a shortlist
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.search(df, F.col("id") % 100 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    found = 0
+    for q in range(0, 20_000, 100):
+        s = x @ x[q]
+        s[q] = -np.inf
+        found += len(got[q] & set(np.lexsort((np.arange(len(s)), -s.round(12)))[:20].tolist()))
+    assert found / 200 / 20 >= 0.95
+
+
 def test_neighbours_of_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [1.0]), (9, []), (20, [0.5, 0.5]), (None, [1.0, 1.0])]
