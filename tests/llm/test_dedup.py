@@ -119,6 +119,26 @@ def test_repeated_passages(docs_of):
     assert cleaned[1] is None and cleaned[4] == "same " * 300 and cleaned[110].split() == [] and len(cleaned) == len(rows)
 
 
+def test_repeated_passages_around_a_common_line(spark, docs_of):
+    """Pairs share words of their own beside a line that very many documents have."""
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(100_000)}"
+    line, rows = [word() for _ in range(30)], []
+    for k in range(40):
+        before, after = [[word() for _ in range(n)] for n in ((22, 0), (0, 22), (11, 11))[k % 3]]
+        for i in (1000 + k, 5000 + k):
+            rows.append((i, " ".join([*(word() for _ in range(40)), *before, *line, *after, *(word() for _ in range(40))])))
+    rows += [(10_000 + i, " ".join([*(word() for _ in range(40)), *line, *(word() for _ in range(40))])) for i in range(2500)]
+    # Best matches to either side are with documents of no passage; the one of both is the neighbour of neither order.
+    left, right = [word() for _ in range(34)], [word() for _ in range(34)]
+    for i, (a, z) in enumerate(((20, 20), (20, 20), (30, 0), (0, 30), (30, 3), (3, 30))):
+        rows.append((90_000 + i, " ".join([*(word() for _ in range(9)), *left[34 - a :], *line[:16], *right[:z], *(word() for _ in range(9))])))
+    got = collections.defaultdict(set)
+    for r in repeats.repeated(docs_of(rows), passage=50).collect():
+        got[r.doc_id].update(range(r.start_word, r.end_word))
+    assert dict(got) == repeated_words(rows, 50)
+
+
 def test_repeated_passages_of_nothing(docs_of):
     assert repeats.repeated(docs_of([])).count() == 0
 
