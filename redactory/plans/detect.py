@@ -124,6 +124,16 @@ def phone_candidates_nanp(spark, sf):
     return _found(_calls(spark, sf, "(212) 234-"), phone.nanp_candidates)
 
 
+@query()
+def phone_candidates_intl_cells(spark, sf):
+    return _found(cells(spark, sf), phone.intl_candidates)
+
+
+@query()
+def phone_candidates_nanp_cells(spark, sf):
+    return _found(cells(spark, sf), phone.nanp_candidates)
+
+
 def _keyed(spark, sf, value):
     return table(spark, sf, "orders").select("o_orderkey", value.alias("value"))
 
