@@ -117,7 +117,8 @@ def sort_desc(spark, sf):
 def placed(df, *order):
     """All rows with ``place`` from 1 on: ranges of the order are numbered by themselves, after the counts of those before."""
     by_range = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__range", F.spark_partition_id())
-    by_range = by_range.localCheckpoint()  # a second run could draw other ranges
+    # A second run could draw other ranges; without a shared folder (a laptop) the copy is local.
+    by_range = by_range.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else by_range.localCheckpoint()
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     counts = by_range.groupBy("__range").count().select("__range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
     inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
