@@ -15,7 +15,7 @@ the root, and each set is compared exactly with the root of its family. What a s
 and the root lacks, and the other way round, is its difference. Two sets that are
 linked have a distance of at most ``k``, so either both are linked with the root, or
 their differences overlap; by how much at least is known from their sizes, and so
-is the number of elements (those that the root lacks first) of which two linked
+is the number of elements (those rarest in the family first) of which two linked
 sets must share one. Sets that share one are compared exactly by their differences.
 So a group of thousands of near copies gives as many comparisons as it has links
 to prove, not one for every two copies of one text.
@@ -24,7 +24,8 @@ Copies have one set and one node; a task sends a set's signatures once, so that
 even a third of all rows being copies gives a row for each task and signature.
 Null and empty texts have no set and are linked with nothing; texts of fewer words
 than a shingle have one element, the whole sequence; repeated rows are copies; an
-empty table gives an empty table; other columns are ignored.
+empty table gives an empty table; other columns are ignored. Shingles are compared as
+64-bit hashes, and equal sets are known by a 64-bit sum of them.
 """
 
 from __future__ import annotations
@@ -188,20 +189,34 @@ def differences(known: DataFrame, percent: int) -> DataFrame:
 
 #: Numbers of 64 bits of a whole sketch, and of a folded one.
 WHOLE, FOLDED = 16, 4
+#: Orders in which sets with much the same differences stand together.
+ORDERS = 16
+#: An element of fewer sets of a family than this counts as one of none.
+COMMON = 32
 
 
-def _elements(apart: DataFrame, percent: int) -> DataFrame:
-    """A row for each element of which two linked sets, not both near the root, must share one; sketches are folded."""
-    d = F.size("plus") + F.size("minus")
+def elements(apart: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """``(root, own, node, n, near, d, s0.., element, least)``: a row for each element of which two linked sets, not both near the root, must share one.
+
+    Any order of elements that a whole family keeps will do; the rarest come first, so
+    that an element that most of a family has is used by few sets. ``least`` is the
+    set's least element in one of some orders, which the element picks. The work for a set
+    is in proportion to its difference.
+    """
+    each = apart.select("root", "own", "node", F.explode(F.concat("plus", "minus")).alias("element"))
+    common = scratch.keep(each.groupBy("root", "own", "element").count().where(F.col("count") >= COMMON), "common")
+    if common.count() <= BROADCAST_ROWS:
+        common = F.broadcast(common)
+    leasts = [F.min(F.xxhash64("element", F.lit(k))).alias(f"l{k}") for k in range(ORDERS)]
+    ranked = each.join(common, ["root", "own", "element"], "left").groupBy("node", "own").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "element"))).alias("ranked"), *leasts)
+    d = F.size("ranked")
     far = F.floor(F.col("n") * (100 - percent) / percent) + 1
     near = F.floor(d * (100 / (100 + percent)) + 0.5) + 1
     few = F.least(d, F.when(F.col("near"), near).otherwise(far)).cast("int")
-    said = [c for c in apart.columns if c not in ("plus", "minus", "sketch")]
-    folded = [F.expr(" ^ ".join(f"sketch[{i}]" for i in range(k, WHOLE, FOLDED))).alias(f"s{k}") for k in range(FOLDED)] if "sketch" in apart.columns else []
-    rows = apart.select(*said, "plus", "minus", d.alias("d"), *folded, F.explode(F.slice(F.concat(F.sort_array("plus"), F.sort_array("minus")), 1, few)).alias("element"))
-    # Another order of all elements for each element: sets that differ in much the same often have the same least.
-    least = F.array_min(F.transform(F.concat("plus", "minus"), lambda x: F.xxhash64(x, "element")))
-    return rows.select(*said, "d", *[f"s{k}" for k in range(len(folded))], "element", least.alias("least"))
+    folded = [F.expr(" ^ ".join(f"sketch[{i}]" for i in range(k, WHOLE, FOLDED))).alias(f"s{k}") for k in range(FOLDED)]
+    rows = apart.select("root", "own", "node", "n", "near", *folded).join(ranked, ["node", "own"])
+    rows = rows.select("root", "own", "node", "n", "near", d.alias("d"), *[f"s{k}" for k in range(FOLDED)], F.array(*[f"l{k}" for k in range(ORDERS)]).alias("leasts"), F.explode(F.slice("ranked.element", 1, few)).alias("element"))
+    return scratch.keep(rows.withColumn("least", F.element_at("leasts", (F.pmod("element", F.lit(ORDERS)) + 1).cast("int"))).drop("leasts"), "elements")
 
 
 def _fits(a, b, percent: int) -> Column:
@@ -214,36 +229,51 @@ def _few_bits(bits: Column, a, b, percent: int) -> Column:
     return (100 + percent) * bits <= (100 - percent) * (a("n") + b("n"))
 
 
-def neighbouring(apart: DataFrame, percent: int) -> DataFrame:
-    """``(a, b, own)``: pairs that may be linked, of a set not near the root and its neighbours among the sets that share an element.
+def neighbouring(rows: DataFrame, percent: int) -> DataFrame:
+    """``(a, b, own)``: pairs that may be linked, of neighbours among the sets that share one of :func:`elements`.
 
-    Neighbours are looked for in two orders: by distance from the root, and by the
-    least of what a set differs in, in an order of its own for each element, so that
-    sets with much the same differences stand together in some of them. Each set has
-    at most four neighbours an element.
+    Neighbours are looked for in two orders: by distance from the root, and by
+    ``least``. Rows are dealt out by ranges of element and order, so that an element
+    of very many sets is cut up too; a pair on both sides of a cut is left to
+    :func:`overlapping`, as all that these orders do not bring together.
     """
-    fields = ["node", "n", "near", *[f"s{k}" for k in range(FOLDED)]]
-    me = F.struct(*fields)
-    group = Window.partitionBy("root", "own", "element")
-    others = {f"o{i}": f(me).over(group.orderBy(*o)) for i, (o, f) in enumerate((o, f) for o in (("d", "node"), ("least", "node")) for f in (F.lag, F.lead))}
-    rows = _elements(apart, percent).withColumns(others).where("NOT near")
-    pairs = rows.select(*fields, "own", F.explode(F.array_compact(F.array(*others))).alias("o"))
-    other = lambda c: F.col(f"o.{c}")
-    bits = F.expr(" + ".join(f"bit_count(s{k} ^ o.s{k})" for k in range(FOLDED)))
-    pairs = pairs.where((F.col("node") != other("node")) & _fits(F.col, other, percent) & _few_bits(bits, F.col, other, percent))
-    return pairs.select(F.least("node", other("node")).alias("a"), F.greatest("node", other("node")).alias("b"), "own").distinct()
-
-
-def overlapping(apart: DataFrame, percent: int) -> DataFrame:
-    """``(a, b, own)``: all pairs of one family and of different ``label`` that may be linked."""
-    group = Window.partitionBy("root", "own", "element")
-    rows = _elements(apart.drop("sketch"), percent).drop("d", "least").withColumns({"low": F.min("label").over(group), "high": F.max("label").over(group)}).where("low < high")
-    rows = rows.drop("low", "high").join(apart.select("node", "own", "sketch"), ["node", "own"])
-    one, two = (rows.select("root", "own", "element", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n", "near", "sketch")]) for x in ("a", "b"))
+
+    def adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for b in batches:
+            now = {c: b.column(c).to_numpy(zero_copy_only=False) for c in b.schema.names}
+            if last is not None:
+                now = {c: np.concatenate([last[c], x]) for c, x in now.items()}
+            last = {c: x[-1:] for c, x in now.items()}
+            one, two = ({c: x[at] for c, x in now.items()} for at in (slice(None, -1), slice(1, None)))
+            keep = (one["root"] == two["root"]) & (one["own"] == two["own"]) & (one["element"] == two["element"]) & (one["node"] != two["node"]) & ~(one["near"] & two["near"])
+            n, m = one["n"].astype(np.int64), two["n"].astype(np.int64)
+            keep &= 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+            bits = sum(np.bitwise_count(one[f"s{k}"] ^ two[f"s{k}"]).astype(np.int64) for k in range(FOLDED))
+            keep &= (100 + percent) * bits <= (100 - percent) * (n + m)
+            x, y = one["node"][keep], two["node"][keep]
+            yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(x, y), pa.int64()), "b": pa.array(np.maximum(x, y), pa.int64()), "own": pa.array(one["own"][keep], pa.bool_())})
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = []
+    for order in ("d", "least"):
+        key = ["root", "own", "element", order, "node"]
+        dealt = rows.select(*key, "n", "near", *[f"s{k}" for k in range(FOLDED)]).repartitionByRange(parts, *key).sortWithinPartitions(*key)
+        found.append(dealt.mapInArrow(adjacent, "a long, b long, own boolean"))
+    return found[0].unionByName(found[1]).distinct()
+
+
+def overlapping(rows: DataFrame, labels: DataFrame, apart: DataFrame, percent: int) -> DataFrame:
+    """``(a, b, own)``: all pairs that share one of :func:`elements`, have different labels and may be linked."""
+    group = ["root", "own", "element"]
+    rows = rows.select(*group, "node", "n", "near").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = rows.groupBy(*group).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select(*group)
+    rows = rows.join(mixed, group).join(apart.select("node", "own", "sketch"), ["node", "own"])
+    one, two = (rows.select(*group, *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n", "near", "sketch")]) for x in ("a", "b"))
     a, b = (lambda c: F.col(f"{c}_a")), (lambda c: F.col(f"{c}_b"))
     bits = F.expr(" + ".join(f"bit_count(sketch_a[{i}] ^ sketch_b[{i}])" for i in range(WHOLE)))
     fit = (a("node") < b("node")) & (a("label") != b("label")) & _fits(a, b, percent) & _few_bits(bits, a, b, percent)
-    return one.join(two, ["root", "own", "element"]).where(fit).select(a("node").alias("a"), b("node").alias("b"), "own").distinct()
+    return one.join(two, group).where(fit).select(a("node").alias("a"), b("node").alias("b"), "own").distinct()
 
 
 def _verified(pairs: DataFrame, apart: DataFrame, percent: int) -> DataFrame:
@@ -280,10 +310,10 @@ def classes(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc
     apart = scratch.keep(differences(known, percent), "differences")
     scratch.drop("sets")
     links = apart.where("near").select(F.col("root").alias("a"), F.col("node").alias("b")).distinct()
-    links = scratch.keep(links.unionByName(_verified(scratch.keep(neighbouring(apart, percent), "neighbouring"), apart, percent)), "links")
+    some = elements(apart, percent, scratch)
+    links = scratch.keep(links.unionByName(_verified(scratch.keep(neighbouring(some, percent), "neighbouring"), apart, percent)), "links")
     labels = scratch.keep(components(links, scratch, "first"), "labels")
-    labelled = apart.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    pairs = scratch.keep(overlapping(labelled, percent), "pairs")
+    pairs = scratch.keep(overlapping(some, labels, apart, percent), "pairs")
     if not pairs.isEmpty():
         labels = components(scratch.keep(links.unionByName(_verified(pairs, apart, percent)), "more-links"), scratch)
 
