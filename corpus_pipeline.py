@@ -2,24 +2,41 @@
 
 Each stage takes ``(spark, docs, sf_dir)``, works on all that the one before it
 kept, and returns a DataFrame; all but the last return the columns of ``docs``.
+
+Stages tell rows apart by id and text, so that an id may repeat or be null. Null and
+empty texts are documents without words: they are no duplicates, are not
+contaminated, and pass. Of rows with one id and one text one stays (the second stage
+drops the others). Columns besides ``doc_id`` and ``text`` are passed on, whatever
+their names; ``n_chars`` follows the text where there is such a column. An empty
+table gives an empty table.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redactory.llm import bpe, decontaminate, jaccard, pii, quality
 from redactory.llm.storage import Scratch
 
-#: A table of ids up to this many rows may be broadcast.
+#: A table of keys of up to this many rows may be broadcast.
 BROADCAST_ROWS = 2_000_000
 
 
-def _without(docs: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
-    """``docs`` without the rows named in ``gone``."""
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, on, "left_anti")
+def _key() -> Column:
+    """What tells rows apart; ids come before no id."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("of"))
+
+
+def _with_key(docs: DataFrame) -> DataFrame:
+    """``(key, row)``: names of columns cannot clash inside ``row``."""
+    return docs.select(_key().alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def _those(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """``rows`` with or without the ``keys``."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, "key", how)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,21 +46,29 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each class of near duplicates (five words, 0.8)."""
-    classes = Scratch(spark, "stage-jaccard").keep(jaccard.classes(docs, words=5, percent=80), "classes")
-    return _without(docs, classes.where("doc_id <> component_id").select("doc_id"), ["doc_id"])
+    rows, scratch = _with_key(docs), Scratch(spark, "stage-jaccard")
+    classes = jaccard.classes(docs.select(_key().alias("key"), "text"), words=5, percent=80, id_col="key")
+    keys = scratch.keep(classes.groupBy("key").agg(F.count("*").alias("n"), F.max(F.col("key") == F.col("component_id")).alias("stays")), "keys")
+    kept = _those(rows, keys.where("NOT stays").select("key"), "left_anti")
+    repeated = keys.where("stays AND n > 1").select("key")
+    if not repeated.isEmpty():
+        kept = _those(kept, repeated, "left_anti").unionByName(_those(kept, repeated, "left_semi").dropDuplicates(["key"]))
+    return kept.select("row.*")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in which no benchmark window occurs."""
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated")
-    gone = Scratch(spark, "stage-decontaminate").keep(found.select("doc_id", F.col("of").alias("__of")).distinct(), "gone")
-    return _without(docs.withColumn("__of", F.xxhash64("text")), gone, ["doc_id", "__of"]).select(*docs.columns)
+    found = decontaminate.contamination(docs.select(_key().alias("key"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="key")
+    gone = Scratch(spark, "stage-decontaminate").keep(found.where("contaminated").select("key").distinct(), "gone")
+    return _those(_with_key(docs), gone, "left_anti").select("row.*")
 
 
 def pii_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data masked; ``n_chars`` follows the text."""
     out = pii.redact(docs)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
