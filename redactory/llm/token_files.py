@@ -11,17 +11,20 @@ A task writes under a name of its own attempt and renames the file when it is
 complete, and a repeated task writes the same bytes: a lost executor or a second
 attempt changes nothing.
 
-Defined results: a null text counts as empty, whose only id is the end id;
-repeated rows are kept, rows of one doc_id in the order of their texts; an empty
+Defined results: a null text counts as empty, whose only id is the end id; rows without
+an id come before all others and are read back without one; repeated rows are kept, rows of one doc_id in the order of their texts; an empty
 table gives no files and no rows; other columns are ignored. Texts that look like
 special tokens are ordinary text.
 """
 
 from __future__ import annotations
 
+import gc
+import json
 import os
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +35,12 @@ from pyspark.sql import functions as F
 
 from .storage import small_batches
 
-#: Pieces of text whose ids a worker remembers, twice: those of late and those before.
+#: Stands for no id in files.
+NO_ID = -(2**63)
+#: Pieces of text whose ids a worker remembers, twice: those of late and those before. As many words and ends of pieces.
 REMEMBERED = 350_000
-#: Signs that a pre-token of letters never takes in.
-_SIGNS = ".,;:"
+#: A word of Latin letters and what follows it, from a character on that certainly is no letter.
+_WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([\x00-@\[-`{-\x7f].*)?", re.DOTALL)
 
 _workers: dict = {}
 
@@ -47,7 +52,10 @@ class WordEncoder:
     with the visible character after it, so ``text.split(" ")`` gives pieces that
     are encoded apart. A piece that is empty or begins with white space (several
     spaces in a row, a space before a line break) has no such boundary; it is
-    encoded together with its neighbours.
+    encoded together with its neighbours. The same pre-tokenizer ends a word where its
+    letters end, so that the rest of a piece is encoded apart from its first word.
+
+    Texts for other kinds of tokenizers are encoded whole.
     """
 
     def __init__(self, vocabulary: str):
@@ -56,43 +64,49 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
+        said = json.loads(self.tokenizer.to_str())
+        before, model = said.get("pre_tokenizer") or {}, said.get("model") or {}
+        usual = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        plain = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+        special = all(t.get("special") for t in said.get("added_tokens") or [])
+        self.apart = usual.items() <= before.items() and said.get("normalizer") is None and model.get("type") == "BPE" and plain and special
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.kind = "<u2" if max(vocabulary.values()) < 1 << 16 else "<u4"
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
         self.begins[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
         self.known: dict[str, bytes | None] = {}
         self.before: dict[str, bytes | None] = {}
+        self.words: dict[str, bytes] = {}
+        self.ends: dict[str, bytes] = {"": b""}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, pieces: set[str]) -> None:
         """Pieces follow a space; those without a boundary before that space become None."""
-        known, before = self.known, self.before
-        parts: dict[str, tuple[str, str]] = {}
-        todo = set()
+        known, before, words, ends = self.known, self.before, self.words, self.ends
+        for kept in (words, ends):
+            if len(kept) > REMEMBERED:
+                kept.clear()
+                ends[""] = b""
+        some, first, rest, others = [], [], [], []
         for p in pieces:
             if p in before:
                 known[p] = before[p]
             elif not p or p[0].isspace():
                 known[p] = None
-            elif p[-1] in _SIGNS and (word := p[:-1]).isalpha():
-                parts[p] = word, p[-1]
-                if word not in known:
-                    todo.add(word)
-            elif p.count("\n") == 1 and all(w.isalpha() or w[-1:] in _SIGNS and w[:-1].isalpha() for w in p.split("\n")):
-                word, _, rest = p.partition("\n")
-                parts[p] = word, f"\n{rest}"
-                if word not in known:
-                    todo.add(word)
+            elif m := _WORD.fullmatch(p):
+                some.append(p)
+                first.append(m[1])
+                rest.append(m[2] or "")
             else:
-                todo.add(p)
-        words = [w for w in todo if w not in before]
-        known.update((w, before[w]) for w in todo if w in before)
-        known.update(zip(words, self.together(words), strict=True))
-        tails = {tail for _, tail in parts.values()}
-        ends = dict(zip(tails, self.whole(list(tails)), strict=True))
-        known.update((p, known[word] + ends[tail]) for p, (word, tail) in parts.items())
+                others.append(p)
+        new = list(set(first).difference(words))
+        words.update(zip(new, self.together(new), strict=True))
+        new = list(set(rest).difference(ends))
+        ends.update(zip(new, self.whole(new), strict=True))
+        known.update(zip(some, [words[w] + ends[e] if e else words[w] for w, e in zip(first, rest, strict=True)], strict=True))
+        known.update(zip(others, self.whole([f" {p}" for p in others]), strict=True))
 
     def together(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces that each follow a space and hold none: many are one text, as each begins with an id that begins with a space."""
@@ -109,22 +123,27 @@ class WordEncoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.apart:
+            return self.whole(texts)
+        gc.disable()  # nothing here is cyclic, and there are very many small objects to look through
+        try:
+            return self.by_pieces(texts)
+        finally:
+            gc.enable()
+
+    def by_pieces(self, texts: list[str]) -> list[bytes]:
         split = [t.split(" ") for t in texts]
+        heads = self.whole([s.pop(0) for s in split])
         if len(self.known) > REMEMBERED:
             self.known, self.before = {}, self.known
-        known = self.known
-        missing = {p for s in split for p in s[1:] if p not in known}
-        if missing:
+        if missing := set().union(*split).difference(self.known):
             self.learn(missing)
-        first = self.whole([s[0] for s in split])
-        out = []
-        for s, head in zip(split, first, strict=True):
-            parts = [known[p] for p in s[1:]]
-            if None in parts:
-                parts = self.joined(s, parts)
-                out.append(b"".join(parts))
-            else:
-                out.append(head + b"".join(parts))
+        of, out = self.known.__getitem__, []
+        for s, head, text in zip(split, heads, texts, strict=True):
+            try:
+                out.append(head + b"".join(map(of, s)))
+            except TypeError:  # a piece without a boundary before it
+                out.append(b"".join(self.joined(text.split(" "), list(map(of, s)))))
         return out
 
     def joined(self, pieces: list[str], parts: list[bytes | None]) -> list[bytes]:
@@ -146,7 +165,14 @@ def worker(vocabulary: str) -> WordEncoder:
 
 
 def _store(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
+    """A file system of tasks for a folder. Hadoop's names of S3 are known too; other schemes must be ones that Arrow knows."""
+    scheme, _, rest = uri.partition("://")
+    if not rest and not uri.startswith("file:"):
+        return pafs.LocalFileSystem(), uri
+    try:
+        return pafs.FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") else uri)
+    except pa.ArrowInvalid as e:
+        raise ValueError(f"token files cannot be written to {uri}: a scheme of Arrow's file systems is needed (file, hdfs, s3, s3a, gs, abfs)") from e
 
 
 class _File:
@@ -194,14 +220,15 @@ def write(df: DataFrame, folder: str, vocabulary: str, end_id: int = 0, id_col:
             lengths.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "width": pa.array([len(end)], pa.int32()), "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([n_ids], pa.int64())})
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id IS NOT NULL")
-    sizes = rows.repartitionByRange(files, "id").sortWithinPartitions("id", "text").mapInArrow(write_shard, "shard int, width int, n_docs long, n_ids long").collect()
+    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    sizes = rows.repartitionByRange(files, "id", "text").sortWithinPartitions("id", "text").mapInArrow(write_shard, "shard int, width int, n_docs long, n_ids long").collect()
     base, table = 0, []
     for r in sorted(sizes):
         table.append((r.shard, r.width, base, r.n_docs, r.n_ids))
         base += r.n_ids
     shards = spark.createDataFrame(table, "shard int, width int, base long, n_docs long, n_ids long").repartition(max(1, len(table)), "shard")
     shards.foreachPartition(_offsets_writer(folder))
+    _tidy(spark, folder)
     return shards
 
 
@@ -219,28 +246,42 @@ def _offsets_writer(folder: str):
     return write_offsets
 
 
-def _map(folder: str, name: str, kind: str) -> np.ndarray:
-    """A file's numbers: mapped into memory where the store is a file system of this machine, else read."""
+def _opened(folder: str, name: str, kind: str) -> Callable[[int, int], np.ndarray]:
+    """A file's numbers from one place to another: mapped into memory where the store is a file system of this machine, else read piece by piece."""
     fs, path = _store(folder)
     if isinstance(fs, pafs.LocalFileSystem):
-        return np.memmap(f"{path}/{name}", kind, "r")
-    with fs.open_input_file(f"{path}/{name}") as f:
-        return np.frombuffer(f.read(), kind)
+        whole = np.memmap(f"{path}/{name}", kind, "r")
+        return lambda a, b: whole[a:b]
+    f, width = fs.open_input_file(f"{path}/{name}"), np.dtype(kind).itemsize
+    return lambda a, b: np.frombuffer(f.read_at((b - a) * width, a * width), kind)
 
 
-def read(shards: DataFrame, folder: str) -> DataFrame:
+def read(shards: DataFrame, folder: str, block: int = 10_000) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32)`` for each document, from the files alone."""
 
     def read_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for shard, width, base in zip(*(b[c].to_pylist() for c in ("shard", "width", "base")), strict=True):
-                ids, docs, at = _map(folder, f"ids-{shard:06d}", f"<u{width}"), _map(folder, f"docs-{shard:06d}", "<i8").reshape(-1, 2), _map(folder, f"offsets-{shard:06d}", "<u8").astype(np.int64)
-                for lo in range(0, len(docs), 10_000):
-                    hi = min(lo + 10_000, len(docs))
-                    crc = [zlib.crc32(ids[at[i] - base : at[i + 1] - base].astype("<u4")) for i in range(lo, hi)]
-                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(docs[lo:hi, 0]), "start": pa.array(at[lo:hi]), "n_tokens": pa.array(np.diff(at[lo : hi + 1])), "ids_crc32": pa.array(crc, pa.int64())})
-
-    return shards.select("shard", "width", "base").mapInArrow(read_shard, "doc_id long, start long, n_tokens long, ids_crc32 long")
+            for shard, width, base, n in zip(*(b[c].to_pylist() for c in ("shard", "width", "base", "n_docs")), strict=True):
+                ids, docs, offsets = _opened(folder, f"ids-{shard:06d}", f"<u{width}"), _opened(folder, f"docs-{shard:06d}", "<i8"), _opened(folder, f"offsets-{shard:06d}", "<u8")
+                for lo in range(0, n, block):
+                    hi = min(lo + block, n)
+                    at = offsets(lo, hi + 1).astype(np.int64)
+                    crc = [zlib.crc32(ids(i - base, j - base).astype("<u4")) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                    doc = docs(2 * lo, 2 * hi)[::2]
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64(), mask=doc == NO_ID), "start": pa.array(at[:-1]), "n_tokens": pa.array(np.diff(at)), "ids_crc32": pa.array(crc, pa.int64())})
+
+    return shards.select("shard", "width", "base", "n_docs").mapInArrow(read_shard, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def _tidy(spark: SparkSession, folder: str) -> None:
+    """Delete what failed attempts of tasks left."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/.*.*")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in fs.globStatus(path) or []:
+        name = found.getPath().getName()
+        if name.split("-")[0] in (".ids", ".docs", ".offsets"):
+            fs.delete(found.getPath(), False)
 
 
 def _make(spark: SparkSession, folder: str) -> None:
