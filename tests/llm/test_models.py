@@ -22,11 +22,51 @@ def test_hashed_words_are_the_same_in_any_segment(monkeypatch):
 
 
 def test_quality_parts_good_from_bad(spark):
-    sf = "/root/testdata/sf0.01"
-    labels = spark.read.parquet(f"{sf}/labels.parquet")
-    got = queries.op2_importance_resampling(spark, sf).join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
+    """On labels that neither the model nor the threshold has seen."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 1
+    got = quality.classify(docs, labels.where(~held)).join(labels.where(held), "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
     kept = {r.quality: r.kept for r in got}
-    assert kept[1] > 0.98 and kept[0] < 0.1
+    assert kept[1] > 0.97 and kept[0] < 0.15
+
+
+def test_sampling_follows_the_weights(spark):
+    """The first of many samples of four, and the second in it, come as often as drawing in proportion to weights without replacement says."""
+    w, temperature, n = np.array([1.0, 2.0, 4.0, 8.0]), 2.0, 20_000
+    rows = spark.range(4 * n).select((F.col("id") / 4).cast("long").alias("sample"), "id", F.concat(F.lit("text "), "id").alias("text"), (F.col("id") % 4).alias("which"))
+    rows = rows.withColumn("key", F.log(F.pow(F.lit(2.0), F.col("which"))) / temperature + quality.gumbel(1, "id", "text"))
+    drawn = rows.groupBy("sample").agg(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("key", "which")))), lambda x: x["which"]).alias("order"))
+    count = {(r.a, r.b): r["count"] for r in drawn.groupBy(F.col("order")[0].alias("a"), F.col("order")[1].alias("b")).count().collect()}
+    p = w ** (1 / temperature)
+    for a in range(4):
+        for b in range(4):
+            if a != b:
+                assert abs(count[a, b] / n - p[a] / p.sum() * p[b] / (p.sum() - p[a])) < 0.015
+
+
+def test_sample_by_hand(spark, docs_of):
+    """Kept documents are those of the largest keys, and scores are sums over n-grams counted by hand."""
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(rng.choice(words[:7] if i % 2 else words[1:], 1 + i % 4))) for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int")
+    out = {r.doc_id: r for r in quality.classify(docs_of(rows), labels).collect()}
+    counts = np.zeros((2, quality.BUCKETS + 1))
+    for i, t in rows:
+        for codes in quality.buckets([t.encode()])[:2]:
+            np.add.at(counts[1], codes, 1)
+            if i % 2:
+                np.add.at(counts[0], codes, 1)
+    target, raw = (np.log((c[:-1] + 1) / (c[:-1].sum() + quality.BUCKETS)) for c in counts)
+    for i, t in rows:
+        codes = np.concatenate(quality.buckets([t.encode()])[:2])
+        codes = codes[codes != quality.NONE]
+        assert abs(out[i].log_weight - (target - raw)[codes].sum()) < 1e-5 and out[i].n_grams == len(codes)
+    kept = sorted((r.key for r in out.values()), reverse=True)[: sum(r.kept for r in out.values())]
+    assert all(r.kept == (r.key >= kept[-1]) for r in out.values()) and 0 < len(kept) < 80
+    plain = sorted(out.values(), key=lambda r: -r.log_weight)[: len(kept)]
+    assert any(not r.kept for r in plain), "noise must have a part in the sample"
 
 
 def test_quality_of_odd_rows(spark, docs_of):
@@ -35,7 +75,7 @@ def test_quality_of_odd_rows(spark, docs_of):
     out = quality.classify(docs_of(rows), labels).collect()
     assert len(out) == len(rows) and all(math.isfinite(r.score) for r in out)
     by = {r.doc_id: r for r in out}
-    assert by[1].kept and not by[2].kept and by[3].score == by[4].score == 0 and by[3].n_grams == 0
+    assert by[1].log_weight > by[2].log_weight and by[3].score == by[4].score == 0 and by[3].n_grams == 0
     assert quality.resample(docs_of(rows), labels).columns == docs_of(rows).columns
     assert quality.classify(docs_of([]), labels).count() == 0
     assert all(r.kept for r in quality.classify(docs_of(rows), labels.limit(0)).collect())
