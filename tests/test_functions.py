@@ -159,3 +159,15 @@ def test_scripts():
     assert guarded(fn, "x" * 10_001) is None
     assert guarded(lambda v: 1 / 0, "a") is None
     assert guarded(lambda v: ["a"] * 1001, "a") is None
+
+
+@pytest.mark.parametrize(
+    ("value", "found"),
+    [
+        ("(2122345678", []), ("2122345678", []), ("(212)2345678", ["(212)2345678"]), ("+880 1712 345678", ["+880 1712 345678"]), ("+256 772 123456", ["+256 772 123456"]), ("+216 71 123 456", ["+216 71 123 456"]),
+        ("+43 1234567890123 4", ["+43 1234567890123"]), ("+43 12345678901234", []), ("+12122345678999", []), ("00 44 20 7946 0958", ["20 7946 0958"]), ("+44 (20) 7946-0958.", ["+44 (20) 7946-0958"]), ("x212-234-5678", []), ("212-234-5678x", []),
+        ("(555) 234-5678", []), ("+999 1234567", []), ("+1 2 1 2 2 3 4 5 6 7 8", ["+1 2 1 2 2 3 4 5 6 7 8"]), ("312-456-7890 212-234-5678", ["312-456-7890", "212-234-5678"]), (None, []), ("", []), ("+" * 50 + "9" * 5000, []),
+    ],
+)
+def test_phone_vectors(spark, value, found):
+    assert spark.createDataFrame([(value,)], "v string").select(phone.detect(F.col("v"))).first()[0] == found
