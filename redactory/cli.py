@@ -1,4 +1,4 @@
-"""``python -m redactory rules list|test|bench``, ``scan`` and ``validate``."""
+"""``python -m redactory rules list|test|bench``, ``scan`` (a table once), ``run`` (streams by settings) and ``validate``."""
 
 from __future__ import annotations
 
@@ -11,12 +11,13 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .config import Config, validate
+from .config import Config, probe, validate
 from .functions.text import duration
 from .operators.metrics import percentiles
 from .operators.rules import Engine, load
 from .operators.scan import scan_table, scan_values
 from .sources.events import lines, synthetic
+from .streaming.job import run_all
 
 SHIPPED = Path(__file__).parent / "rules.toml"
 
@@ -61,8 +62,11 @@ def bench_rules(path: Path, values, iterations: int, as_json: bool) -> int:
     return 0
 
 
-def check(path: Path) -> int:
-    report = validate(Config.load(path))
+def check(path: Path, connect: bool = False) -> int:
+    config = Config.load(path)
+    report = validate(config)
+    if connect and not any(phase == "alerts" and state == "error" for phase, state, _ in report):
+        report += probe(config, session())
     for phase, state, message in report:
         print(f"[{state}] {phase}: {message}")
     errors, warnings = (sum(s == x for _, s, _ in report) for x in ("error", "warning"))
@@ -70,6 +74,18 @@ def check(path: Path) -> int:
     return int(errors > 0)
 
 
+def run(path: Path, once: bool) -> int:
+    """The streams that settings describe, until they end; ``once``: what there is now."""
+    config = Config.load(path)
+    config.logging()
+    if any(state == "error" for _, state, _ in validate(config)):
+        return check(path)
+    ended = run_all(session(), config, {"availableNow": True} if once else None)
+    for name, how in sorted(ended.items()):
+        print(f"{name}: {how}")
+    return int("failed" in ended.values())
+
+
 def scan(args) -> int:
     """A table of a file or folder, scanned once; findings go to the output as JSON or Parquet."""
     df = session().read.format(args.format).load(args.input)
@@ -95,6 +111,10 @@ def main(argv: list[str] | None = None) -> int:
             sub.add_argument("--json", action="store_true")
     sub = verbs.add_parser("validate")
     sub.add_argument("--config", type=Path, required=True)
+    sub.add_argument("--connect", action="store_true")
+    sub = verbs.add_parser("run")
+    sub.add_argument("--config", type=Path, required=True)
+    sub.add_argument("--once", action="store_true")
     sub = verbs.add_parser("scan")
     sub.add_argument("--rules", type=Path, default=SHIPPED)
     sub.add_argument("--format", default="parquet")
@@ -103,7 +123,9 @@ def main(argv: list[str] | None = None) -> int:
     sub.add_argument("--key", action="append", default=[])
     args = p.parse_args(argv)
     if args.verb == "validate":
-        return check(args.config)
+        return check(args.config, args.connect)
+    if args.verb == "run":
+        return run(args.config, args.once)
     if args.verb == "scan":
         return scan(args)
     if args.what == "list":

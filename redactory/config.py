@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import logging
 import os
+import sys
 import tomllib
+import urllib.error
+import urllib.request
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -11,7 +16,7 @@ from .operators.rules import RuleError, load
 from .operators.scan import Filter
 from .streaming.sinks import Channel, Chat, Jsonl, Log, Stdout, Table, Webhook, numbered
 
-DEFAULTS = {"rules": "rules.toml", "databases": [], "filter": {}, "store": {"type": "memory"}, "alerts": {"dedup_window_secs": 300, "log": {"enabled": True}}, "profiling": False}
+DEFAULTS = {"rules": "rules.toml", "databases": [], "filter": {}, "store": {"type": "memory"}, "alerts": {"dedup_window_secs": 300, "log": {"enabled": True}}, "profiling": False, "log": {"level": "info", "format": "console", "output": "stderr"}, "server": {"enabled": False}, "pipeline": {"max_files_per_trigger": 1000, "retry_delay_ms": 10_000, "retry_max_attempts": 5}}
 
 
 def secret(value: str | dict) -> str:
@@ -56,6 +61,15 @@ class Config:
         """A database's own filter replaces the common one as a whole."""
         return Filter(**(database["filter"] if "filter" in database else self.raw["filter"]))
 
+    def logging(self) -> None:
+        """Set up the library's log: level, lines for people or JSON, and where they go."""
+        said = self.raw["log"]
+        handler = logging.FileHandler(said["output"]) if said["output"] not in ("stderr", "stdout") else logging.StreamHandler(getattr(sys, said["output"]))
+        handler.setFormatter(JsonLines() if said["format"] == "json" else logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+        log = logging.getLogger("redactory")
+        log.handlers, log.propagate = [handler], False
+        log.setLevel({"trace": "DEBUG", "warn": "WARNING"}.get(said["level"], said["level"].upper()))
+
     @property
     def rules_path(self) -> Path:
         return self.folder / self.raw["rules"]
@@ -73,6 +87,47 @@ class Config:
         return numbered(out)
 
 
+class JsonLines(logging.Formatter):
+    def format(self, record: logging.LogRecord) -> str:
+        said = {"time": self.formatTime(record), "level": record.levelname.lower(), "logger": record.name, "message": record.getMessage()}
+        return json.dumps(said | ({"error": self.formatException(record.exc_info)} if record.exc_info else {}))
+
+
+def probe(config: Config, spark=None, timeout: float = 5.0) -> list[tuple[str, str, str]]:
+    """Whether channels and databases can be reached: a HEAD request, the smallest query, or the source's columns. Nothing stops at the first error."""
+    out: list[tuple[str, str, str]] = []
+
+    def attempt(phase: str, name: str, f) -> None:
+        try:
+            out.append((phase, "ok", f"{name}: {f()}"))
+        except Exception as e:
+            out.append((phase, "error", f"{name}: {str(e).splitlines()[0] if str(e) else type(e).__name__}"))
+
+    def head(url: str) -> str:
+        try:
+            with urllib.request.urlopen(urllib.request.Request(url, method="HEAD"), timeout=timeout) as r:
+                return f"answered {r.status}"
+        except urllib.error.HTTPError as e:
+            return f"answered {e.code}"
+
+    def query(options: dict) -> str:
+        spark.read.format("jdbc").options(**{k: v for k, v in options.items() if k != "dbtable"}, query="SELECT 1 AS one").load().collect()
+        return "SELECT 1 succeeded"
+
+    for c in config.channels():
+        if isinstance(c, Webhook | Chat):
+            attempt("alerts", c.name, lambda c=c: head(c.url))
+        elif isinstance(c, Table) and c.options and spark:
+            attempt("alerts", c.name, lambda c=c: query(c.options))
+    for d in config.raw["databases"] if spark else []:
+        name, said = f"{d.get('host')}/{d.get('name')}", d.get("source")
+        if said and "jdbc" in said:
+            attempt("databases", name, lambda s=said: query(s["jdbc"]))
+        elif said and "path" in said:
+            attempt("databases", name, lambda s=said: f"{len(spark.read.format(s.get('format', 'parquet')).load(s['path']).columns)} columns")
+    return out
+
+
 def _is_url(value: object) -> bool:
     return isinstance(value, str) and value.strip() == value and value.startswith(("http://", "https://"))
 
@@ -97,6 +152,11 @@ def validate(config: Config) -> list[tuple[str, str, str]]:
         add("store", "error", f"no store {raw['store'].get('type')!r}")
     elif raw["store"]["type"] == "memory":
         add("store", "warning", "places in the streams are lost when the job ends")
+    if raw["store"].get("type") == "checkpoint" and not str(raw["store"].get("path", "")).strip():
+        add("store", "error", "path is blank")
+    level, shape = raw["log"].get("level"), raw["log"].get("format")
+    if level not in ("trace", "debug", "info", "warn", "error") or shape not in ("console", "json"):
+        add("log", "error", f"no level {level!r}" if shape in ("console", "json") else f"no format {shape!r}")
     a = raw["alerts"]
     for kind in ("webhook", "slack"):
         for n, w in enumerate(a.get(kind, []), 1):

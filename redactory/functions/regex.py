@@ -61,3 +61,97 @@ def to_java(pattern: str) -> str:
     except re.error as e:
         raise PatternError(str(e)) from e
     return FLAGS + "".join(out)
+
+
+def _alternatives(pattern: str) -> list[str]:
+    """The pattern cut at the ``|`` outside of groups and classes."""
+    out, depth, start, i = [], 0, 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif c == "[":
+            i = _class_end(pattern, i)
+        elif c == "|" and not depth:
+            out.append(pattern[start:i])
+            start = i + 1
+        else:
+            depth += (c == "(") - (c == ")")
+        i += 1
+    return [*out, pattern[start:]]
+
+
+def _class_end(pattern: str, at: int) -> int:
+    i = at + 1 + (pattern[at + 1 : at + 2] == "^")
+    i += pattern[i : i + 1] == "]"
+    depth = 1
+    while i < len(pattern):
+        if pattern[i] == "\\":
+            i += 1
+        else:
+            depth += (pattern[i] == "[") - (pattern[i] == "]")
+            if not depth:
+                return i
+        i += 1
+    return i
+
+
+def _group_end(pattern: str, at: int) -> int:
+    depth, i = 0, at
+    while i < len(pattern):
+        if pattern[i] == "\\":
+            i += 1
+        elif pattern[i] == "[":
+            i = _class_end(pattern, i)
+        else:
+            depth += (pattern[i] == "(") - (pattern[i] == ")")
+            if not depth:
+                return i
+        i += 1
+    return i
+
+
+def literals(pattern: str) -> list[str]:
+    """Texts of at least two characters of which every match holds one; empty where none can be told.
+
+    A cheap search for them comes before the pattern. Patterns with flags have none.
+    """
+    if re.search(r"\(\?[a-zA-Z-]*[ix]|\\[^bBdDwWsSAz\W_]", pattern):
+        return []
+    out: list[str] = []
+    for part in _alternatives(pattern):
+        found: list[list[str]] = [[]]
+        run, i = "", 0
+        while i <= len(part):
+            c = part[i : i + 1]
+            plain = c and (c.isalnum() or c in "_-/ ,:;=@#%&<>~'\"!")
+            if c == "\\" and i + 1 < len(part) and not part[i + 1].isalnum():
+                c, plain, i = part[i + 1], True, i + 1
+            more = part[i + 1 : i + 2]
+            if plain and more not in ("?", "*", "{"):
+                run += c
+                if more == "+":
+                    found.append([run])
+                    run = ""
+                i += 1
+                continue
+            found.append([run])
+            run = ""
+            if c == "\\":
+                i += 1
+            elif c == "[":
+                i = _class_end(part, i)
+            elif c == "{":
+                i = part.find("}", i)
+            elif c == "(":
+                end = _group_end(part, i)
+                inside = part[i + 1 : end].removeprefix("?:")
+                if part[end + 1 : end + 2] not in ("?", "*", "{") and not inside.startswith("?") and (inner := literals(inside)):
+                    found.append(inner)
+                i = end
+            i += 1
+        best = max(found, key=lambda x: min(map(len, x), default=0))
+        if min(map(len, best), default=0) < 2:
+            return []
+        out += best
+    return sorted(set(out))

@@ -43,6 +43,7 @@ def gravest(df: DataFrame, *by: str) -> DataFrame:
 
 
 def exposition(df: DataFrame, name: str, labels: list[str], value: str = "n") -> DataFrame:
-    """Lines of the text format that metric collectors read."""
-    said = F.concat_ws(",", *[F.concat(F.lit(f'{x}="'), F.regexp_replace(F.col(x).cast("string"), r'([\\"])', r"\\$1"), F.lit('"')) for x in labels])
+    """Lines of the text format that metric collectors read; ``streaming/server.py`` writes the lines that describe a metric."""
+    safe = lambda x: F.replace(F.regexp_replace(F.col(x).cast("string"), r'([\\"])', r"\\$1"), F.lit("\n"), F.lit("\\n"))
+    said = F.concat_ws(",", *[F.concat(F.lit(f'{x}="'), safe(x), F.lit('"')) for x in labels])
     return df.select(F.concat(F.lit(f"{name}{{"), said, F.lit("} "), F.col(value).cast("string")).alias("line"))

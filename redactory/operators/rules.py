@@ -20,12 +20,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.globs import Names
-from ..functions.regex import to_java
+from ..functions.regex import literals, to_java
 from ..functions.text import SEVERITIES
 from .detectors import DETECTORS, VALIDATORS
 
 KINDS = ("regex", "builtin", "script")
-#: What a function may get and give.
+#: What a function given as source may get and give. Functions of Python code are trusted with texts of any length. What goes over a bound gives nothing and is counted.
 MAX_TEXT, MAX_ITEMS, MAX_STEPS = 10_000, 1000, 100_000
 
 
@@ -112,11 +112,20 @@ class Rule:
         if self.kind == "regex":
             to_java(self.pattern)
 
+    def allowed(self, found: Column) -> Column:
+        return F.filter(found, lambda m: ~self.allowlist.column(m)) if self.allowlist else found
+
     def matches(self, text: Column) -> Column:
         """``array<string>`` of what the rule finds in a cell, checked and without allowed values."""
         if self.kind == "regex":
             java = to_java(self.pattern)
-            first = F.when(text.rlike(java), F.regexp_extract(text, java, 0))
+            looks = text.rlike(java)
+            if some := literals(self.pattern):
+                held = text.contains(some[0])
+                for x in some[1:]:
+                    held = held | text.contains(x)
+                looks = held & looks
+            first = F.when(looks, F.regexp_extract(text, java, 0))
             keep = first.isNotNull()
             if self.validate:
                 keep = keep & VALIDATORS[self.validate](first)
@@ -124,7 +133,7 @@ class Rule:
                 keep = keep & ~self.allowlist.column(first)
             return F.when(keep, F.array(first)).otherwise(F.array().cast("array<string>"))
         found = DETECTORS[self.builtin](text) if self.kind == "builtin" else _run(self.script)(text)
-        return F.filter(found, lambda m: ~self.allowlist.column(m)) if self.allowlist else found
+        return self.allowed(found)
 
 
 class _Bounded(ast.NodeTransformer):
@@ -180,6 +189,7 @@ def load_script(source: Callable[[str], list[str]] | str) -> Callable[[str], lis
         if not callable(fn):
             raise RuleError("a script needs a function detect")
         checked = _limited(fn)
+        checked.bounded = True
     else:
         fn = checked = source
     if len(inspect.signature(fn).parameters) != 1:
@@ -198,10 +208,11 @@ def guarded(script: Callable[[str], list[str]], value: str | None) -> list[str]
     if value is None:
         return []
     try:
-        if len(value) > MAX_TEXT:
+        bounded = getattr(script, "bounded", False)
+        if bounded and len(value) > MAX_TEXT:
             return None
         out = script(value)
-        fine = isinstance(out, list) and len(out) <= MAX_ITEMS and all(isinstance(x, str) and len(x) <= MAX_TEXT for x in out)
+        fine = isinstance(out, list) and len(out) <= MAX_ITEMS and all(isinstance(x, str) and not (bounded and len(x) > MAX_TEXT) for x in out)
         return out if fine else None
     except Exception:
         return None
@@ -216,6 +227,28 @@ def _run(script: Callable[[str], list[str]]) -> Callable[[Column], Column]:
     return found
 
 
+def of_cells(script: Callable[[str], list[str]], cells: Column) -> Column:
+    """What a function finds in each of an array of cells: ``array<array<string>>``, an event at a time."""
+
+    @F.arrow_udf("array<array<string>>")
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            yield pa.array([None if row is None else [guarded(script, t) or [] for t in row] for row in b.to_pylist()], pa.list_(pa.list_(pa.string())))
+
+    return found(cells)
+
+
+def cells_failed(script: Callable[[str], list[str]], cells: Column) -> Column:
+    """For how many of an array of cells a function fails or goes over its bounds."""
+
+    @F.arrow_udf("long")
+    def failed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            yield pa.array([sum(guarded(script, t) is None for t in row or []) for row in b.to_pylist()], pa.int64())
+
+    return failed(cells)
+
+
 def script_failed(rule: Rule, text: Column) -> Column:
     """Whether a rule's function fails for a text, to be counted by rule."""
     script = rule.script
@@ -249,11 +282,15 @@ class Engine:
 
     def matches(self, text: Column, rules: list[Rule] | None = None) -> Column:
         """``array<MATCH>`` in order of kinds, rules and places; empty for null."""
+        return self.tagged(text, [(r, None) for r in (self.rules if rules is None else rules)])
+
+    def tagged(self, text: Column, rules: list[tuple[Rule, Column | None]]) -> Column:
+        """The same of rules some of which come with what they have found."""
         found = []
-        for r in self.rules if rules is None else rules:
+        for r, own in rules:
             channels = F.array(*map(F.lit, r.channels)).cast("array<string>") if r.channels is not None else F.lit(None).cast("array<string>")
             said = [F.lit(x).alias(n) for n, x in (("rule_id", r.id), ("description", r.description), ("category", r.category), ("severity", r.severity))]
-            found.append(_tagged(r.matches(text), said, channels))
+            found.append(_tagged(r.matches(text) if own is None else r.allowed(own), said, channels))
         none = F.array().cast(f"array<{MATCH}>")
         return F.coalesce(F.when(text.isNotNull(), F.concat(none, *found)), none) if found else none
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.globs import Names
 from ..functions.text import mask
 from ..sources import events
-from .rules import Engine
+from .rules import Engine, cells_failed, of_cells
 
 FINDING = (
     "database string, rule_id string, description string, category string, severity string, schema_name string, table_name string, column_name string, "
@@ -38,6 +38,11 @@ class Filter:
         by_schema = ~self.schemas.column(schema) if self.schemas else F.lit(False)
         return F.when(by_schema, "schema").when(self.tables.column(table), "table")
 
+    def counts(self, df: DataFrame) -> DataFrame:
+        """``(reason, n)`` of the changes that are skipped."""
+        reason = self.skipped(F.col("schema_name"), F.col("table_name")).alias("reason")
+        return events.changes(df).select(reason).where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"))
+
     def has(self, schema: str, table: str) -> bool:
         return (not self.schemas or self.schemas.has(schema)) and not self.tables.has(table)
 
@@ -59,8 +64,9 @@ def redacted_keys(keys: Column, found: Column) -> Column:
 
 def _findings(df: DataFrame, salt: str) -> DataFrame:
     """From rows with ``matches`` (an array of structs ``column_name, m, place``) and the event's fields."""
-    keys = redacted_keys(F.col("primary_keys"), F.array_distinct(F.col("matches.column_name")))
-    rows = df.select("database", "schema_name", "table_name", keys.alias("primary_keys"), F.col("commit_lsn").alias("lsn"), F.posexplode("matches").alias("place", "f"))
+    # An outer generator, then a filter on what it made: a filter on the array itself would run all rules twice.
+    rows = df.select("database", "schema_name", "table_name", "primary_keys", F.col("commit_lsn").alias("lsn"), "matches", F.posexplode_outer("matches").alias("place", "f")).where("place IS NOT NULL")
+    rows = rows.withColumn("primary_keys", redacted_keys(F.col("primary_keys"), F.array_distinct(F.col("matches.column_name"))))
     return rows.select(
         "database", "f.m.rule_id", "f.m.description", "f.m.category", "f.m.severity", "schema_name", "table_name", "f.column_name", mask(F.col("f.m.matched")).alias("masked_sample"),
         value_hash(F.col("f.m.matched"), salt).alias("value_hash"), "primary_keys", "lsn", "f.m.channels", "place",
@@ -89,32 +95,50 @@ def scan_table(df: DataFrame, engine: Engine, database: str, schema: str, table:
         F.lit(database).alias("database"), F.lit(schema).alias("schema_name"), F.lit(table).alias("table_name"), events.keys(df, key).alias("primary_keys"),
         (F.lit(0) if lsn is None else lsn).cast("bigint").alias("commit_lsn"), F.concat(none, *parts).alias("matches"),
     )
-    return _findings(rows.where(F.size("matches") > 0), salt)
+    return _findings(rows, salt)
 
 
 def _named(matches: Column, name: Column) -> Column:
     return F.transform(matches, lambda m: F.struct(name.alias("column_name"), m.alias("m")))
 
 
+def of_cell(c: Column) -> Column:
+    """The text of a cell of an event that rules look at, else null."""
+    return F.when(c["value"].isNotNull() & ~c["type_name"].isin(*events.NOT_SCANNED), c["value"])
+
+
 def scan_events(df: DataFrame, engine: Engine, where: Filter | None = None, salt: str = "") -> DataFrame:
-    """Findings of events whose columns are data. Detectors in Python cannot run inside an array; use :func:`scan_cells` for rules with them."""
+    """Findings of events whose columns are data, for all rules.
+
+    An event stays one row until its findings are known, so that events that look alike
+    are not mixed up and nothing is shuffled. Functions of rules get an event's cells as one array.
+    """
     kept = (where or Filter()).apply(events.changes(df))
+    cells = F.transform("columns", of_cell)
+    scripts = [r for r in engine.rules if r.kind == "script"]
+    together = F.arrays_zip(F.col("columns").alias("c"), *[of_cells(r.script, cells).alias(f"s{i}") for i, r in enumerate(scripts)])
 
-    def of_cell(c: Column) -> Column:
-        return F.when(c["value"].isNotNull() & ~c["type_name"].isin(*events.NOT_SCANNED), c["value"])
+    def matches(z: Column) -> Column:
+        rules = [(r, z[f"s{scripts.index(r)}"] if r.kind == "script" else None) for r in engine.rules]
+        return _scoped(engine, engine.tagged(of_cell(z["c"]), rules), z["c"]["name"])
 
-    native = F.flatten(F.transform("columns", lambda c: _scoped(engine, engine.matches(of_cell(c)), c["name"])))
-    return _findings(kept.withColumn("matches", native).where(F.size("matches") > 0), salt)
+    return _findings(kept.withColumn("matches", F.flatten(F.transform(together, matches))), salt)
 
 
 def scan_cells(df: DataFrame, engine: Engine, where: Filter | None = None, salt: str = "") -> DataFrame:
-    """As :func:`scan_events`, for any rules: cells become rows, and an event's findings meet again by ``(database, commit_lsn, primary_keys, table_name)``."""
+    """The older name of :func:`scan_events`."""
+    return scan_events(df, engine, where, salt)
+
+
+def failures(df: DataFrame, engine: Engine, where: Filter | None = None) -> DataFrame:
+    """``(rule_id, n)``: cells for which functions of rules fail or go over their bounds; rules without failures are left out."""
     kept = (where or Filter()).apply(events.changes(df))
-    cells = kept.select("*", F.posexplode("columns").alias("at", "c")).where(F.col("c.value").isNotNull() & ~F.col("c.type_name").isin(*events.NOT_SCANNED))
-    found = cells.withColumn("found", _scoped(engine, engine.matches(F.col("c.value")), F.col("c.name"))).where(F.size("found") > 0)
-    event = ["database", "schema_name", "table_name", "primary_keys", "commit_lsn"]
-    rows = found.groupBy(*event).agg(F.array_sort(F.collect_list(F.struct("at", "found"))).alias("all"))
-    return _findings(rows.select(*event, F.flatten("all.found").alias("matches")), salt)
+    cells = F.transform("columns", of_cell)
+    scripts = [r for r in engine.rules if r.kind == "script"]
+    if not scripts:
+        return df.sparkSession.createDataFrame([], "rule_id string, n bigint")
+    counts = kept.select(*[F.sum(cells_failed(r.script, cells)).alias(f"n{i}") for i, r in enumerate(scripts)])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(r.id).alias("rule_id"), F.col(f"n{i}").alias("n")) for i, r in enumerate(scripts)])).alias("r")).select("r.*").where("n > 0")
 
 
 def _scoped(engine: Engine, matches: Column, name: Column) -> Column:
@@ -131,5 +155,5 @@ def _in_scope(matches: Column, rule, name: Column) -> Column:
 
 def scan_values(df: DataFrame, engine: Engine, value_col: str = "value") -> DataFrame:
     """Matches of single values, without scopes: ``df`` with ``place`` and the fields of a match, the sample masked."""
-    rows = df.select("*", F.posexplode(engine.matches(F.col(value_col))).alias("place", "m"))
+    rows = df.select("*", F.posexplode_outer(engine.matches(F.col(value_col))).alias("place", "m")).where("place IS NOT NULL")
     return rows.select(*df.columns, "place", "m.rule_id", "m.severity", "m.category", mask(F.col("m.matched")).alias("masked_sample"))

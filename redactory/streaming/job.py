@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import logging
+import tempfile
+import threading
+import time
 from collections import Counter
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -13,8 +17,10 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.dedup import KEY
 from ..operators.metrics import count_by
 from ..operators.rules import Engine, RuleError, load
-from ..operators.scan import Filter, scan_cells
+from ..operators.scan import Filter, failures, scan_events
+from ..sources.events import EVENT
 from .dedup import passing
+from .server import Server
 from .sinks import Channel, dispatch
 
 log = logging.getLogger("redactory")
@@ -46,57 +52,162 @@ class Rules:
         return self.engine
 
 
-def run(events: DataFrame, rules: Rules, channels: list[Channel], checkpoint: str, where: Filter | None = None, window_ms: int = 300_000, trigger: dict | None = None, metrics: Counter | None = None) -> StreamingQuery:
-    """Scan a stream of events. Offsets are kept at ``checkpoint``: a restarted query goes on where it was.
+def run(
+    events: DataFrame, rules: Rules, channels: list[Channel], checkpoint: str, where: Filter | None = None, window_ms: int = 300_000, trigger: dict | None = None, metrics: Counter | None = None, profiling: bool = False, database: str = "",
+) -> StreamingQuery:
+    """Scan a stream of events. Offsets and the dedup window are kept at ``checkpoint``: a restarted query goes on where it was.
 
     Each micro-batch is scanned with the rules of its time; findings are let through
-    by the dedup window of this query and sent.
+    by the dedup window of this query and sent. A micro-batch that is done again after a
+    failure is sent again. The trigger's interval is the time after which a message of few findings goes out.
     """
-    state = Memory(window_ms)
+    window = Window(events.sparkSession, f"{checkpoint.rstrip('/')}/window", window_ms)
     counts = metrics if metrics is not None else Counter()
 
     def batch(df: DataFrame, number: int) -> None:
-        found = scan_cells(df, rules.current(), where).persist()
+        engine = rules.current()
+        counts["rules",] = len(engine)
+        for status in ("ok", "error"):
+            counts["reloads", status] = rules.reloads[status]
+        df = df.persist()
         try:
-            for r in count_by(found, "database", "category", "severity").collect():
-                counts["findings", r.database, r.category, r.severity] += r.n
-            fresh = state.passing(found)
-            for key, n in dispatch(fresh, channels).items():
-                counts["alerts", *key] += n
+            counts["queue", database] = n = df.count()
+            counts["events", database] += n
+            for r in (where or Filter()).counts(df).collect():
+                counts["skipped", r.reason] += r.n
+            for r in failures(df, engine, where).collect():
+                counts["script_errors", r.rule_id] += r.n
+            if profiling:
+                profile(df, engine, where, counts)
+            found = scan_events(df, engine, where).persist()
+            try:
+                total = 0
+                for r in count_by(found, "database", "category", "severity").collect():
+                    counts["findings", r.database, r.category, r.severity] += r.n
+                    total += r.n
+                fresh = window.passing(found, number)
+                sent = dispatch(fresh, channels)
+                for key, n in sent.items():
+                    counts["alerts", *key] += n
+                if window_ms > 0:
+                    counts["suppressed", database] += total - fresh.count()
+            finally:
+                found.unpersist()
         finally:
-            found.unpersist()
+            df.unpersist()
 
     writer = events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(**trigger) if trigger else writer).start()
 
 
-class Memory:
-    """The dedup window between micro-batches of a query whose rules change: last times by key, as a table held by Spark."""
+def profile(df: DataFrame, engine: Engine, where: Filter | None, counts: Counter) -> None:
+    """Seconds of each rule alone over a micro-batch; costs as many scans as there are rules."""
+    for rule in engine.rules:
+        start = time.perf_counter()
+        scan_events(df, Engine([rule]), where).write.format("noop").mode("overwrite").save()
+        counts["rule_seconds", rule.id] += time.perf_counter() - start
 
-    def __init__(self, window_ms: int):
-        self.window_ms, self.last = window_ms, None
 
-    def passing(self, found: DataFrame) -> DataFrame:
+class Window:
+    """The dedup window between micro-batches of a query whose rules change.
+
+    What a micro-batch lets through is a table of its own below ``folder``, named by its
+    number and time; those of the last ``window_ms`` are the window. So it outlives the query and lost
+    executors, no plan grows with the number of micro-batches, and one that is done again
+    replaces what it wrote.
+    """
+
+    def __init__(self, spark, folder: str, window_ms: int):
+        self.spark, self.folder, self.window_ms = spark, folder, window_ms
+        self.path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        self.fs = self.path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _tables(self) -> list[tuple[int, int, str]]:
+        """Number, time and path of each."""
+        if not self.fs.exists(self.path):
+            return []
+        return sorted((*map(int, f.getPath().getName().split("-")), f.getPath().toString()) for f in self.fs.listStatus(self.path) if f.isDirectory())
+
+    def passing(self, found: DataFrame, number: int) -> DataFrame:
         if self.window_ms <= 0:
             return found
-        now = F.unix_millis(F.current_timestamp())
-        first = found.orderBy("lsn", "place").dropDuplicates(KEY)
-        if self.last is not None:
-            recent = self.last.where(now - F.col("at") < self.window_ms)
-            first = first.join(recent.select(*KEY), KEY, "left_anti")
-        fresh = first.persist()
-        kept = fresh.select(*KEY, now.alias("at"))
-        held = kept if self.last is None else recent.unionByName(kept)
-        before, self.last = self.last, held.persist()
-        self.last.count()
-        if before is not None:
-            before.unpersist()
-        return fresh
-
-
-def alerts(findings: DataFrame, channels: list[Channel], checkpoint: str, window_ms: int = 300_000, time: str | None = None, trigger: dict | None = None) -> StreamingQuery:
+        now, recent = time.time_ns() // 1_000_000, []
+        for n, at, path in self._tables():
+            if n >= number or now - at >= self.window_ms:
+                self.fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), True)
+            else:
+                recent.append(path)
+        columns = F.struct(*found.columns)
+        fresh = found.groupBy(*KEY).agg(F.min_by(columns, F.struct("lsn", "place")).alias("first")).select("first.*")
+        if recent:
+            same = self.spark.read.schema(found.select(*KEY).schema).parquet(*recent).distinct()
+            fresh = fresh.join(same.withColumnsRenamed({k: f"of_{k}" for k in KEY}), [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in KEY], "left_anti")
+        path = f"{self.folder}/{number}-{now}"
+        fresh.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(found.schema).parquet(path)
+
+
+def supervised(start: Callable[[], StreamingQuery], counts: Counter, database: str, attempts: int = 5, delay: float = 1.0, wait: Callable[[float], None] = time.sleep) -> str:
+    """Run a query until it ends; one that fails is started again, after waits that double, up to ``attempts`` times in a row without progress."""
+    failed = 0
+    while True:
+        query = start()
+        counts["connected", database] = 1
+        try:
+            query.awaitTermination()
+            counts["connected", database] = 0
+            return status(query)
+        except Exception:
+            counts["connected", database] = 0
+            failed = 1 if query.lastProgress and query.lastProgress.batchId > 0 else failed + 1
+            log.exception("the stream of %s failed", database)
+            if failed > attempts:
+                return "failed"
+            counts["reconnects", database] += 1
+            wait(delay * 2 ** (failed - 1))
+
+
+def source(spark, said: dict, files: int) -> DataFrame:
+    """A stream of events by settings: ``format``, ``path`` and ``options`` of any source that gives rows of :data:`EVENT`; a micro-batch of files takes at most ``files`` of them."""
+    kind = said.get("format", "parquet")
+    reader = spark.readStream.format(kind).options(**({"maxFilesPerTrigger": str(files)} | {k: str(v) for k, v in said.get("options", {}).items()}))
+    reader = reader.schema(EVENT) if kind in ("parquet", "json", "orc", "avro") else reader
+    return reader.load(said["path"]) if "path" in said else reader.load()
+
+
+def run_all(spark, config, trigger: dict | None = None, counts: Counter | None = None) -> dict[str, str]:
+    """The job that settings describe: a supervised stream for each database, with its own filter; returns how each ended."""
+    counts = counts if counts is not None else Counter()
+    raw, rules, channels = config.raw, Rules(config.rules_path), config.channels()
+    http = Server(counts, raw["server"].get("host", "127.0.0.1"), int(raw["server"].get("port", 0))) if raw.get("server", {}).get("enabled") else None
+    ended: dict[str, str] = {}
+
+    def one(d: dict) -> None:
+        name = f"{d['host']}/{d['name']}"
+        # Without a store that lasts, places in the stream are those of this run.
+        base = raw["store"]["path"] if raw["store"]["type"] == "checkpoint" else tempfile.mkdtemp(prefix="redactory-job-")
+
+        def start() -> StreamingQuery:
+            events = source(spark, d["source"], int(raw["pipeline"]["max_files_per_trigger"])).withColumn("database", F.lit(name))
+            return run(events, rules, channels, f"{base}/{name.replace('/', '-')}", config.filter_of(d), int(raw["alerts"]["dedup_window_secs"] * 1000), trigger, counts, bool(raw["profiling"]), name)
+
+        ended[name] = supervised(start, counts, name, int(raw["pipeline"]["retry_max_attempts"]), raw["pipeline"]["retry_delay_ms"] / 1000)
+
+    threads = [threading.Thread(target=one, args=(d,)) for d in raw["databases"]]
+    for t in threads:
+        t.start()
+    if http:
+        http.ready.set()
+    for t in threads:
+        t.join()
+    if http:
+        http.close()
+    return ended
+
+
+def alerts(findings: DataFrame, channels: list[Channel], checkpoint: str, window_ms: int = 300_000, time_col: str | None = None, trigger: dict | None = None) -> StreamingQuery:
     """Findings of fixed rules: the window is kept in the state store and survives a restart."""
-    fresh = passing(findings, window_ms, time=time)
+    fresh = passing(findings, window_ms, time=time_col)
     writer = fresh.writeStream.foreachBatch(lambda df, _: dispatch(df, channels) and None).option("checkpointLocation", checkpoint)
     return (writer.trigger(**trigger) if trigger else writer).start()
 

@@ -23,7 +23,11 @@ from ..operators.routing import payload, route
 
 log = logging.getLogger("redactory")
 #: A colour for each severity in chat messages.
-COLOURS = dict(zip(SEVERITIES, ("#8B0000", "#FF0000", "#FFA500", "#FFD700", "#36A64F"), strict=True))
+COLOURS = dict(zip(SEVERITIES, ("#d32f2f", "#e65100", "#f9a825", "#1565c0", "#757575"), strict=True))
+
+
+#: A sign for each severity.
+SIGNS = dict(zip(SEVERITIES, ("\U0001f534", "\U0001f7e0", "\U0001f7e1", "\U0001f535", "\u26aa"), strict=True))
 
 
 class Channel:
@@ -116,18 +120,19 @@ def message(findings: list[dict]) -> dict:
     """A chat message: four blocks for one finding, else a header and two blocks each with dividers; coloured by the gravest."""
     text = lambda s: {"type": "mrkdwn", "text": s}
     place = lambda f: f"`{f['schema_name']}.{f['table_name']}.{f['column_name']}` in {f['database']}"
+    sign = lambda f: SIGNS[f["severity"].lower()]
     gravest = min((f["severity"].lower() for f in findings), key=SEVERITIES.index)
     if len(findings) == 1:
         f = findings[0]
         blocks = [
-            {"type": "header", "text": {"type": "plain_text", "text": f"{f['severity'].upper()}: {f['rule_id']}"}}, {"type": "section", "text": text(f.get("description") or f["rule_id"])},
+            {"type": "header", "text": {"type": "plain_text", "text": f"{sign(f)} {f['severity'].upper()}: {f['rule_id']}"}}, {"type": "section", "text": text(f.get("description") or f["rule_id"])},
             {"type": "section", "fields": [text(place(f)), text(f"`{f['masked_sample']}`")]}, {"type": "context", "elements": [text(f"{f['category']} at {f['lsn']}")]},
         ]
     else:
         blocks = [{"type": "header", "text": {"type": "plain_text", "text": f"{len(findings)} Sensitive Data Findings"}}]
         for i, f in enumerate(findings):
             blocks += [{"type": "divider"}] if i else []
-            blocks += [{"type": "section", "text": text(f"*{f['severity'].upper()}* {f['rule_id']}: {place(f)}")}, {"type": "context", "elements": [text(f"`{f['masked_sample']}` {f['category']}")]}]
+            blocks += [{"type": "section", "text": text(f"{sign(f)} *{f['severity'].upper()}* {f['rule_id']}: {place(f)}")}, {"type": "context", "elements": [text(f"`{f['masked_sample']}` {f['category']}")]}]
     return {"attachments": [{"color": COLOURS[gravest], "blocks": blocks}]}
 
 

@@ -171,3 +171,44 @@ def test_scripts():
 )
 def test_phone_vectors(spark, value, found):
     assert spark.createDataFrame([(value,)], "v string").select(phone.detect(F.col("v"))).first()[0] == found
+
+
+@pytest.mark.parametrize(
+    ("pattern", "held"),
+    [("a|bc", []), ("(?i)abc", []), ("ab?c", []), ("abc+d", ["abc"]), ("x(?:ab|cd)?y", []), ("foo|ba[rz]qux", ["foo", "qux"]), (r"\bfoo\.bar\b", ["foo.bar"]), ("(abc)*de", ["de"]), ("[a-z]{16}", []), (r"\d{13,16}", []), ("(?:gh|gl)_[0-9]{36}", ["gh", "gl"]), (r"\x41bcd", []), (r"ab\p{L}cde", []), ("a(b|c{2}|de)f", []), ("[]ab]cd", ["cd"])],
+)
+def test_what_every_match_holds(pattern, held):
+    assert regex.literals(pattern) == held
+
+
+def test_every_match_of_shipped_patterns_holds_a_literal():
+    for rule in load("redactory/rules.toml"):
+        if rule.kind == "regex" and (held := regex.literals(rule.pattern)):
+            rng = random.Random(rule.id)
+            texts = [text for _ in range(200) if re.search(rule.pattern, text := made_by(rule.pattern, rng))]
+            assert len(texts) > 20 and all(any(x in text for x in held) for text in texts), rule.id
+
+
+def made_by(pattern, rng):
+    """A text that the pattern matches."""
+    from re import _parser as sre
+
+    def one(code, arg):
+        code = str(code)
+        if code == "LITERAL":
+            return chr(arg)
+        if code == "IN":
+            kind, value = rng.choice([x for x in arg if str(x[0]) in ("LITERAL", "RANGE", "CATEGORY")])
+            return chr(value) if str(kind) == "LITERAL" else chr(rng.randint(*value)) if str(kind) == "RANGE" else "7"
+        if code == "MAX_REPEAT":
+            return "".join(many(arg[2]) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 3))))
+        if code == "SUBPATTERN":
+            return many(arg[3])
+        if code == "BRANCH":
+            return many(rng.choice(arg[1]))
+        return "7" if code == "CATEGORY" else ""
+
+    def many(parts):
+        return "".join(one(*p) for p in parts)
+
+    return many(sre.parse(pattern)) + " "

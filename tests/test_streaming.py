@@ -9,11 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from redactory import cli
-from redactory.config import Config, secret, validate
+from redactory.config import Config, probe, secret, validate
 from redactory.operators.rules import Engine, Rule
-from redactory.operators.scan import scan_cells
+from redactory.operators.scan import failures, scan_cells, scan_events
 from redactory.sources import events
-from redactory.streaming import dedup, job, sinks
+from redactory.streaming import dedup, job, server, sinks
 
 RULES = '[[rules]]\nid = "alpha"\ncategory = "CAT"\nseverity = "critical"\npattern = "ALPHA-[0-9]+"\n'
 
@@ -191,3 +191,116 @@ def test_command_line(spark, tmp_path, capsys):
     _rows(spark, ["ALPHA-1", "x"]).select(F.col("commit_lsn").alias("id"), F.col("columns")[0]["value"].alias("v")).write.parquet(str(tmp_path / "in"))
     assert cli.main(["scan", "--rules", str(tmp_path / "rules.toml"), "--input", str(tmp_path / "in"), "--output", str(tmp_path / "out.json"), "--key", "id"]) == 0
     assert spark.read.json(str(tmp_path / "out.json")).count() == 1
+
+
+def test_events_that_look_alike_stay_apart(spark):
+    """Two updates of one row in one transaction, and two rows without keys: each has its own places and its own redaction."""
+    rows = [("h/d", 1, "public", "t", "UPDATE", [("id", "text", v), ("b", "text", w)], k, 1, 7) for v, w, k in (("ALPHA-1", "x", [("id", "ALPHA-1")]), ("y", "ALPHA-2", [("id", "ALPHA-1")]), ("ALPHA-3", "ALPHA-4", []), ("z", "ALPHA-5", []))]
+    df = spark.createDataFrame(rows, events.EVENT)
+    pattern, function = Rule("alpha", category="CAT", severity="high", pattern=r"ALPHA-\d+"), Rule("words", category="CAT", severity="low", kind="script", script=lambda v: [w for w in v.split() if w.startswith("ALPHA")])
+    for engine, each in ((Engine([pattern]), 1), (Engine([pattern, function]), 2)):
+        found = scan_events(df, engine)
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        got = found.collect()
+        alpha = [r for r in got if r.rule_id == "alpha"]
+        assert sorted(r.place for r in alpha) == [0, 0, 0, 0, each] and len(got) == 5 * each
+        assert sorted((r.column_name, len(r.primary_keys)) for r in alpha) == [("b", 0), ("b", 0), ("b", 1), ("id", 0), ("id", 0)]
+    broken = Rule("broken", category="CAT", severity="low", kind="script", script=lambda v: [] if v == "" else 1 / 0)
+    assert [(r.rule_id, r.n) for r in failures(df, Engine([broken, function])).collect()] == [("broken", 8)]
+
+
+def test_rules_are_run_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(v):
+        calls.add(len(v) > 0)
+        return [v]
+
+    scan_events(_rows(spark, ["a", "b", "c"]), Engine([Rule("all", category="C", severity="low", kind="script", script=counted)])).collect()
+    assert calls.value == 3
+
+
+def test_restart_inside_the_window(spark, tmp_path):
+    src, rules = tmp_path / "in", tmp_path / "rules.toml"
+    rules.write_text(RULES)
+    got = []
+    for start in (0, 10):
+        _rows(spark, ["ALPHA-1", f"ALPHA-{start + 2}"], start).write.mode("append").parquet(str(src))
+        kept = Kept("kept")
+        job.run(spark.readStream.schema(events.EVENT).parquet(str(src)), job.Rules(rules), [kept], str(tmp_path / "cp"), trigger={"availableNow": True}).awaitTermination(120)
+        got.append(sorted(r.lsn for r in kept.rows))
+    assert got == [[0, 1], [11]]
+
+
+def test_a_batch_done_again_passes_again(spark, tmp_path):
+    found = scan_events(_rows(spark, ["ALPHA-1"]), Engine([Rule("alpha", category="CAT", severity="high", pattern=r"ALPHA-\d+")]))
+    window = job.Window(spark, str(tmp_path / "w"), 300_000)
+    assert [window.passing(found, n).count() for n in (0, 1, 1, 0)] == [1, 0, 0, 1]
+
+
+def test_the_whole_job_from_settings(spark, tmp_path, capsys):
+    _rows(spark, ["ALPHA-1", "x", "ALPHA-2"]).write.parquet(str(tmp_path / "in"))
+    (tmp_path / "rules.toml").write_text(RULES)
+    (tmp_path / "c.toml").write_text(f"""rules = "rules.toml"
+profiling = true
+store = {{ type = "checkpoint", path = "{tmp_path}/store" }}
+log = {{ level = "warn", format = "json", output = "{tmp_path}/log" }}
+server = {{ enabled = true }}
+[[databases]]
+host = "h"
+name = "a"
+source = {{ path = "{tmp_path}/in", options = {{ maxFilesPerTrigger = 1 }} }}
+[[databases]]
+host = "h"
+name = "b"
+source = {{ path = "{tmp_path}/in" }}
+filter = {{ include_schemas = ["other"] }}
+[alerts.jsonl]
+path = "{tmp_path}/out"
+""")
+    counts = Counter()
+    config = Config.load(tmp_path / "c.toml", {})
+    assert job.run_all(spark, config, {"availableNow": True}, counts) == {"h/a": "exited", "h/b": "exited"}
+    assert {json.loads(r.value)["database"] for r in spark.read.text(str(tmp_path / "out")).collect()} == {"h/a"}
+    assert counts["findings", "h/a", "CAT", "critical"] == 2 and counts["skipped", "schema"] == 3 and counts["events", "h/b"] == 3 and counts["rule_seconds", "alpha"] > 0
+    text = server.render(counts)
+    assert 'redactory_findings_total{database="h/a",category="CAT",severity="critical"} 2' in text and "# TYPE redactory_rules_loaded gauge" in text and "redactory_rules_loaded 1" in text
+    assert cli.main(["run", "--config", str(tmp_path / "c.toml"), "--once"]) == 0 and "h/a: exited" in capsys.readouterr().out
+    assert {s for _, s, _ in probe(config, spark)} == {"ok"}
+
+
+def test_failed_streams_start_again():
+    class Query:
+        lastProgress = None
+        isActive = False
+
+        def __init__(self, error):
+            self.error = error
+
+        def awaitTermination(self):
+            if self.error:
+                raise OSError("gone")
+
+        def exception(self):
+            return self.error
+
+    left, waits, counts = [True, True, False], [], Counter()
+    assert job.supervised(lambda: Query(left.pop(0)), counts, "h/a", attempts=3, delay=1.0, wait=waits.append) == "exited"
+    assert waits == [1.0, 2.0] and counts["reconnects", "h/a"] == 2
+    assert job.supervised(lambda: Query(True), counts, "h/a", attempts=1, wait=waits.append) == "failed"
+
+
+def test_health_and_metrics():
+    from urllib.error import HTTPError
+    from urllib.request import urlopen
+
+    counts = Counter({("script_errors", 'a"b\n'): 2})
+    s = server.Server(counts)
+    url = f"http://127.0.0.1:{s.port}"
+    assert json.load(urlopen(f"{url}/health")) == {"status": "ok"}
+    with pytest.raises(HTTPError, match="503"):
+        urlopen(f"{url}/ready")
+    s.ready.set()
+    assert json.load(urlopen(f"{url}/ready")) == {"status": "ready"}
+    assert 'redactory_script_errors_total{rule_id="a\\"b\\n"} 2' in urlopen(f"{url}/metrics").read().decode()
+    s.close()
