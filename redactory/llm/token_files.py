@@ -221,7 +221,7 @@ def write(df: DataFrame, folder: str, vocabulary: str, end_id: int = 0, id_col:
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "width": pa.array([len(end)], pa.int32()), "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([n_ids], pa.int64())})
 
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sizes = rows.repartitionByRange(files, "id", "text").sortWithinPartitions("id", "text").mapInArrow(write_shard, "shard int, width int, n_docs long, n_ids long").collect()
+    sizes = rows.repartitionByRange(files, "id", F.substring("text", 1, 16)).sortWithinPartitions("id", "text").mapInArrow(write_shard, "shard int, width int, n_docs long, n_ids long").collect()
     base, table = 0, []
     for r in sorted(sizes):
         table.append((r.shard, r.width, base, r.n_docs, r.n_ids))
