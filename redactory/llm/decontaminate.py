@@ -1,28 +1,29 @@
 """Benchmark decontamination with a positional inverted index, in DataFrame functions only.
 
-Method. A first pass over the documents counts how often each benchmark term
-occurs. Every benchmark window (``window`` consecutive words of an item) is led
-by its rarest term. A second pass stores the postings ``(term, document,
-position)`` of those leading terms; each is moved back by the term's place in the
-window, and the words there are intersected with the window's: what is left are
-the exact occurrences. A window with a term that no document has is dropped
-before the second pass.
-
-The benchmark side is broadcast in blocks of at most ``block_windows`` windows,
-counted beforehand; a larger benchmark takes one more pass for each block.
-Documents are never shuffled as a whole: only occurrences and one row a
-document are. A passage that many documents share is a term in the broadcast
-table, so no task gets all of its postings.
-
-Defined results: null and empty texts have no words and no hits; rows repeated
-in full each get their row; rows of one id with different texts are told apart by
-their texts; an item of fewer words than the window is one window, an item
-without words none; an empty benchmark hits nothing; other columns are ignored.
+Method. The postings ``(term, document, position)`` of every benchmark term in the
+documents are stored once as a table of the shared folder; documents get numbers there,
+and one more row each, of no term, keeps a document's key and its number of words. Terms
+are counted in that table. Every benchmark window (``window`` consecutive words of an item)
+is then looked up by intersecting lists, from its rarest term on: the postings of the
+rarest, moved back by its place in the window, are candidates; those that the second
+rarest confirms at its own place stay; the lists of all other terms, of the documents
+left, are intersected at once, and a candidate that every place confirms is an exact
+occurrence. A window with a term that no document has is dropped before.
+
+Tables of windows are joined in blocks of at most ``BLOCK`` rows, counted beforehand, and
+candidates are broadcast up to ``CANDIDATES`` rows; beyond that both are joined by
+shuffling, by document and place, which spreads a passage that many documents share.
+
+Defined results: null and empty texts have no words and no hits; each row is a document of
+its own, also if it is repeated or its id is; an item of fewer words than the window is one
+window, an item without words none; an empty benchmark hits nothing; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import string
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,10 +32,10 @@ from .storage import Scratch
 
 #: What stands between words, in raw text: every ASCII character but letters and digits.
 BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Stands after the last word of a document; no word contains it.
-END = "\x00"
-#: Rows of a table that may be broadcast.
-BLOCK = 200_000
+#: Stands after the last word of a document; no word contains it. Its number as a term.
+END, NO_TERM = "\x00", -1
+#: Rows of a table of terms or windows, and of candidates, that may be broadcast.
+BLOCK, CANDIDATES = 200_000, 500_000
 
 
 def lower_ascii(word: Column) -> Column:
@@ -46,6 +47,10 @@ def raw_words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BREAKS), "")
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def windows_of(benchmark: DataFrame, window: int, item_col: str, text_col: str) -> DataFrame:
     """``(item_id, phrase, n)``: the distinct windows of each item; words are joined by a space."""
     words = benchmark.select(F.col(item_col).alias("item_id"), raw_words(F.col(text_col)).alias("words")).where(F.size("words") > 0)
@@ -54,49 +59,68 @@ def windows_of(benchmark: DataFrame, window: int, item_col: str, text_col: str)
     return parts.select("item_id", lower_ascii(F.array_join("part", " ")).alias("phrase"), F.size("part").alias("n")).distinct()
 
 
-def _terms(phrases: DataFrame) -> DataFrame:
-    return phrases.select("phrase", F.posexplode(F.split("phrase", " ")).alias("place", "term"))
+@dataclass
+class Index:
+    """The tables of a search: stored postings, the documents, the items of windows, and each window's terms from the rarest on."""
 
+    postings: DataFrame  # term long, doc long, at int
+    documents: DataFrame  # doc long, key, n_words int
+    items: DataFrame  # window long, item_id
+    windows: DataFrame  # window long, n int, terms array<struct<count, term, place>>
+    blocks: int
 
-def leading_terms(docs: DataFrame, phrases: DataFrame) -> DataFrame:
-    """``(phrase, n, term, place)``: each phrase with its rarest term, by occurrences in all documents.
+    def block(self, k: int) -> DataFrame:
+        return self.windows if self.blocks == 1 else self.windows.where(F.pmod(F.xxhash64("window"), F.lit(self.blocks)) == k)
 
-    Phrases with a term that no document has are left out.
-    """
-    vocabulary = _terms(phrases).select("term").distinct()
-    found = docs.select(F.explode("words").alias("word")).select(lower_ascii(F.col("word")).alias("term"))
-    counts = found.join(F.broadcast(vocabulary), "term").groupBy("term").count()
-    led = _terms(phrases).join(counts, "term").groupBy("phrase").agg(F.countDistinct("place").alias("there"), F.min(F.struct("count", "term", "place")).alias("lead"))
-    return phrases.join(led, "phrase").where("there = n").select("phrase", "n", "lead.term", "lead.place")
 
+def index(docs: DataFrame, benchmark: DataFrame, window: int, id_col: str, text_col: str, item_col: str, item_text_col: str, scratch: Scratch) -> Index:
+    """Number windows and terms, store the postings, rank each window's terms by their occurrences in all documents."""
+    found = scratch.keep(windows_of(benchmark, window, item_col, item_text_col), "items")
+    phrases = scratch.keep(found.select("phrase", "n").distinct().withColumn("window", F.monotonically_increasing_id()), "phrases")
+    places = phrases.select("window", "n", F.posexplode(F.split("phrase", " ")).alias("place", "word"))
+    terms = scratch.keep(places.select("word").distinct().withColumn("term", F.monotonically_increasing_id()), "terms")
+    ends = docs.sparkSession.createDataFrame([(END, NO_TERM)], "word string, term long")
 
-def occurrences(docs: DataFrame, phrases: DataFrame, scratch: Scratch, block_windows: int = BLOCK) -> DataFrame:
-    """``(key struct, start, n, phrase)`` of every phrase at every place, and a row of null phrase whose start is the document's number of words.
+    rows = docs.select(F.monotonically_increasing_id().alias("doc"), F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("of")).alias("key"), raw_words(F.col(text_col)).alias("words"))
+    each = rows.select("doc", "key", F.posexplode(F.concat("words", F.array(F.lit(END)))).alias("at", "raw")).withColumn("word", lower_ascii(F.col("raw")))
+    stored = each.join(small(terms.unionByName(ends), BLOCK), "word").select("term", "doc", "at", F.when(F.col("term") == NO_TERM, F.col("key")).alias("key"))
+    stored = scratch.keep(stored, "postings")
 
-    ``docs`` has ``key`` and ``words`` (raw); ``phrases`` has distinct ``phrase``, ``n``.
-    """
-    blocks = max(1, -(-phrases.count() // block_windows))
-    out = None
-    for k in range(blocks):
-        part = phrases if blocks == 1 else phrases.where(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == k)
-        lead = scratch.keep(leading_terms(docs, part), f"lead-{k}")
-        ends = docs.sparkSession.createDataFrame([(None, 0, END, 0)] if k == 0 else [], "phrase string, n int, term string, place int")
-        postings = docs.select("key", "words", F.posexplode(F.concat("words", F.array(F.lit(END)))).alias("at", "word"))
-        placed = (
-            postings.withColumn("term", lower_ascii(F.col("word")))
-            .join(F.broadcast(lead.unionByName(ends)), "term")
-            .withColumn("start", F.col("at") - F.col("place"))
-            .where("start >= 0")
-            .where(F.col("phrase").isNull() | (lower_ascii(F.array_join(F.slice("words", F.col("start") + 1, F.greatest("n", F.lit(1))), " ")) == F.col("phrase")))
-            .select("key", "start", "n", "phrase")
-        )
-        out = placed if out is None else out.unionByName(placed)
-    return scratch.keep(out, "occurrences")
+    postings = stored.where(F.col("term") != NO_TERM).select("term", "doc", "at")
+    counts = scratch.keep(postings.groupBy("term").agg(F.count("*").alias("count")), "counts")
+    ranked = places.join(terms, "word").join(counts, "term").groupBy("window", "n").agg(F.sort_array(F.collect_list(F.struct("count", "term", "place"))).alias("terms"))
+    windows = scratch.keep(ranked.where(F.size("terms") == F.col("n")), "windows")
+    items = found.join(phrases, ["phrase", "n"]).select("window", "item_id")
+    documents = stored.where(F.col("term") == NO_TERM).select("doc", "key", F.col("at").alias("n_words"))
+    return Index(postings, documents, scratch.keep(items, "items-of-windows"), windows, max(1, -(-windows.count() // BLOCK)))
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(key struct<id, of>, words)``: rows of one id with different texts have different keys."""
-    return docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("of")).alias("key"), raw_words(F.col(text_col)).alias("words"))
+def _confirmed(candidates: DataFrame, postings: DataFrame, terms: Column) -> DataFrame:
+    """The candidates ``(doc, window, start)`` of which each of some of their window's terms stands at its place."""
+    asked = candidates.select("doc", "window", "start", F.size(terms).alias("asked"), F.explode(terms).alias("t"))
+    asked = asked.select("doc", "window", "start", "asked", F.col("t.term").alias("term"), (F.col("start") + F.col("t.place")).alias("at"))
+    agree = postings.join(small(asked, CANDIDATES), ["doc", "term", "at"])
+    return agree.groupBy("doc", "window", "start", "asked").agg(F.count("*").alias("agree")).where("agree = asked").select("doc", "window", "start")
+
+
+def occurrences(ix: Index, scratch: Scratch) -> DataFrame:
+    """``(doc, window, start, n)`` of every window at every place."""
+    out = None
+    for k in range(ix.blocks):
+        windows = scratch.keep(ix.block(k), f"block-{k}")
+        lead = windows.select("window", F.col("terms")[0]["term"].alias("term"), F.col("terms")[0]["place"].alias("place"))
+        first = ix.postings.join(F.broadcast(lead), "term").select("doc", "window", (F.col("at") - F.col("place")).alias("start")).where("start >= 0")
+        first = scratch.keep(first, f"rarest-{k}")
+        known = F.broadcast(windows.select("window", "n", "terms"))
+        longer = first.join(known, "window").where("n > 1")
+        left = scratch.keep(_confirmed(longer, ix.postings, F.slice("terms", 2, 1)), f"second-{k}")
+        more = left.join(known, "window").where("n > 2")
+        of_left = ix.postings.join(small(more.select("doc").distinct(), CANDIDATES), "doc", "left_semi")
+        whole = _confirmed(more, of_left, F.expr("slice(terms, 3, n - 2)"))
+        short = first.join(known, "window").where("n = 1").select("doc", "window", "start").unionByName(left.join(known, "window").where("n = 2").select("doc", "window", "start"))
+        found = whole.unionByName(short).join(known, "window").select("doc", "window", "start", "n")
+        out = found if out is None else out.unionByName(found)
+    return scratch.keep(out, "occurrences")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -107,53 +131,44 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     text (``xxhash64``), for joins where ids repeat.
     """
     scratch = Scratch(docs.sparkSession, "decontaminate")
-    windows = scratch.keep(windows_of(benchmark, window, item_col, item_text_col), "windows")
-    found = occurrences(keyed(docs, id_col, text_col), windows.select("phrase", "n").distinct(), scratch)
-    hits = found.where("phrase IS NOT NULL")
-    order = Window.partitionBy("key").orderBy("start")
+    ix = index(docs, benchmark, window, id_col, text_col, item_col, item_text_col, scratch)
+    hits = occurrences(ix, scratch)
+    order = Window.partitionBy("doc").orderBy("start")
     covered = F.max(F.col("start") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     n_hit = (
-        hits.groupBy("key", "start").agg(F.max("n").alias("n"))
+        hits.groupBy("doc", "start").agg(F.max("n").alias("n"))
         .withColumn("new", F.col("start") + F.col("n") - F.greatest("start", F.coalesce(covered, F.lit(0))))
-        .groupBy("key").agg(F.sum(F.greatest("new", F.lit(0))).alias("n_hit"))
-    )
-    items = (
-        hits.select("key", "phrase").distinct().join(windows.select("phrase", "item_id"), "phrase")
-        .groupBy("key").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
-    )
-    words = found.where("phrase IS NULL").groupBy("key").agg(F.max("start").alias("n_words"), F.count("*").alias("copies"))
-    rows = words.join(n_hit, "key", "left").join(items, "key", "left")
+        .groupBy("doc").agg(F.sum(F.greatest("new", F.lit(0))).alias("n_hit"))
+    )
+    items = hits.select("doc", "window").distinct().join(small(ix.items, BLOCK), "window").groupBy("doc").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
+    rows = ix.documents.join(n_hit, "doc", "left").join(items, "doc", "left")
     item_ids = F.coalesce("item_ids", F.array().cast("array<string>"))
     return rows.select(
         F.col("key.id").alias(id_col), F.col("n_words").cast("long"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(item_ids).cast("long").alias("n_items"),
         item_ids.alias("item_ids"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), F.col("key.of").alias("of"),
-        F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"),
-    ).drop("copy")
+    )
 
 
 def proximity(docs: DataFrame, benchmark: DataFrame, within: int = 20, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``(id_col, item_id, start, end)``: stretches of at most ``within`` words, from one occurrence of a
     window's rarest term on or before it, that hold every distinct term of the window in any order.
 
-    A stretch of ``2 * within - 1`` words around the rarest term is looked at;
-    ``start`` and ``end`` (exclusive) are its word positions.
+    The postings of the other terms less than ``within`` words from the rarest are looked
+    at; ``start`` and ``end`` (exclusive) are word positions.
     """
     scratch = Scratch(docs.sparkSession, "proximity")
-    windows = scratch.keep(windows_of(benchmark, window, item_col, item_text_col), "windows")
-    rows = keyed(docs, id_col, text_col)
-    phrases = windows.select("phrase", "n").distinct()
-    if phrases.count() > BLOCK:
-        raise ValueError(f"more than {BLOCK} windows: give the benchmark in parts")
-    lead = scratch.keep(leading_terms(rows, phrases), "lead")
-    postings = rows.select("key", "words", F.posexplode("words").alias("at", "word")).withColumn("term", lower_ascii(F.col("word"))).join(F.broadcast(lead), "term")
-    first = F.greatest(F.col("at") - within + 1, F.lit(0))
-    around = postings.select("key", "phrase", "at", first.alias("first"), F.split(lower_ascii(F.array_join(F.slice("words", first + 1, F.lit(2 * within - 1)), " ")), " ").alias("near"))
-    terms = F.array_distinct(F.split("phrase", " "))
-    starts = F.filter(
-        F.sequence(F.lit(0), F.col("at") - F.col("first")),
-        lambda i: F.size(F.array_except(terms, F.slice("near", i + 1, F.lit(within)))) == 0,
-    )
-    found = around.withColumn("starts", starts).where(F.size("starts") > 0)
-    start = F.col("first") + F.element_at("starts", -1)
-    spans = found.select("key", "phrase", start.alias("start"), (F.col("first") + F.least(F.element_at("starts", -1) + within, F.size("near"))).alias("end"))
-    return spans.join(windows, "phrase").select(F.col("key.id").alias(id_col), "item_id", "start", "end").distinct()
+    ix = index(docs, benchmark, window, id_col, text_col, item_col, item_text_col, scratch)
+    out = None
+    for k in range(ix.blocks):
+        windows = scratch.keep(ix.block(k), f"block-{k}")
+        lead = windows.select("window", F.array_distinct("terms.term").alias("terms"), F.col("terms")[0]["term"].alias("term"))
+        middle = ix.postings.join(F.broadcast(lead), "term").select("doc", "window", "terms", F.col("at").alias("middle"))
+        asked = middle.select("doc", "window", "middle", F.size("terms").alias("asked"), F.explode("terms").alias("term"))
+        close = ix.postings.join(asked, ["doc", "term"]).where(F.abs(F.col("at") - F.col("middle")) < within)
+        around = close.groupBy("doc", "window", "middle", "asked").agg(F.collect_list(F.struct("at", "term")).alias("near")).where(F.size(F.array_distinct("near.term")) == F.col("asked"))
+        held = lambda s: F.size(F.array_distinct(F.transform(F.filter("near", lambda x: (x["at"] >= s) & (x["at"] < s + within)), lambda x: x["term"])))
+        starts = F.filter(F.sequence(F.greatest(F.col("middle") - within + 1, F.lit(0)), F.col("middle")), lambda s: held(s) == F.col("asked"))
+        found = around.withColumn("starts", starts).where(F.size("starts") > 0).select("doc", "window", F.element_at("starts", -1).alias("start"))
+        out = found if out is None else out.unionByName(found)
+    spans = out.join(small(ix.items, BLOCK), "window").join(ix.documents, "doc")
+    return spans.select(F.col("key.id").alias(id_col), "item_id", "start", F.least(F.col("start") + within, F.col("n_words")).alias("end")).distinct()
