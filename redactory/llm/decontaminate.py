@@ -10,9 +10,10 @@ rarest confirms at its own place stay; the lists of all other terms, of the docu
 left, are intersected at once, and a candidate that every place confirms is an exact
 occurrence. A window with a term that no document has is dropped before.
 
-Tables of windows are joined in blocks of at most ``BLOCK`` rows, counted beforehand, and
-candidates are broadcast up to ``CANDIDATES`` rows; beyond that both are joined by
-shuffling, by document and place, which spreads a passage that many documents share.
+Tables of windows are joined in blocks of at most ``BLOCK`` rows, counted beforehand. Each
+step shuffles the lists it needs alone: those of second rarest terms, then those of the
+documents left. It does so by document, term and place, which spreads a passage that many
+documents share.
 
 Defined results: null and empty texts have no words and no hits; each row is a document of
 its own, also if it is repeated or its id is; an item of fewer words than the window is one
@@ -34,8 +35,8 @@ from .storage import Scratch
 BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Stands after the last word of a document; no word contains it. Its number as a term.
 END, NO_TERM = "\x00", -1
-#: Rows of a table of terms or windows, and of candidates, that may be broadcast.
-BLOCK, CANDIDATES = 200_000, 500_000
+#: Rows of a table of terms or windows, and of numbers of documents, that may be broadcast.
+BLOCK, DOCUMENTS = 200_000, 2_000_000
 
 
 def lower_ascii(word: Column) -> Column:
@@ -99,7 +100,7 @@ def _confirmed(candidates: DataFrame, postings: DataFrame, terms: Column) -> Dat
     """The candidates ``(doc, window, start)`` of which each of some of their window's terms stands at its place."""
     asked = candidates.select("doc", "window", "start", F.size(terms).alias("asked"), F.explode(terms).alias("t"))
     asked = asked.select("doc", "window", "start", "asked", F.col("t.term").alias("term"), (F.col("start") + F.col("t.place")).alias("at"))
-    agree = postings.join(small(asked, CANDIDATES), ["doc", "term", "at"])
+    agree = postings.join(asked, ["doc", "term", "at"])
     return agree.groupBy("doc", "window", "start", "asked").agg(F.count("*").alias("agree")).where("agree = asked").select("doc", "window", "start")
 
 
@@ -113,9 +114,11 @@ def occurrences(ix: Index, scratch: Scratch) -> DataFrame:
         first = scratch.keep(first, f"rarest-{k}")
         known = F.broadcast(windows.select("window", "n", "terms"))
         longer = first.join(known, "window").where("n > 1")
-        left = scratch.keep(_confirmed(longer, ix.postings, F.slice("terms", 2, 1)), f"second-{k}")
+        second = windows.select(F.get("terms", F.lit(1))["term"].alias("term")).where("term IS NOT NULL").distinct()
+        of_second = ix.postings.join(F.broadcast(second), "term", "left_semi")
+        left = scratch.keep(_confirmed(longer, of_second, F.slice("terms", 2, 1)), f"second-{k}")
         more = left.join(known, "window").where("n > 2")
-        of_left = ix.postings.join(small(more.select("doc").distinct(), CANDIDATES), "doc", "left_semi")
+        of_left = ix.postings.join(small(more.select("doc").distinct(), DOCUMENTS), "doc", "left_semi")
         whole = _confirmed(more, of_left, F.expr("slice(terms, 3, n - 2)"))
         short = first.join(known, "window").where("n = 1").select("doc", "window", "start").unionByName(left.join(known, "window").where("n = 2").select("doc", "window", "start"))
         found = whole.unionByName(short).join(known, "window").select("doc", "window", "start", "n")
