@@ -42,7 +42,7 @@ PIECE = 24
 TOP = 4
 LOWEST = -2.0
 REMEMBERED = 300_000
-#: 0 stands for the ends of a word; letters with marks share five codes.
+#: 0 stands for the ends of a word; Latin letters with marks share five codes, letters of other scripts are dealt out over all.
 _CODE = {c: i + 1 for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")} | dict.fromkeys("é", 27) | dict.fromkeys("èêë", 28) | dict.fromkeys("äàâáå", 29) | dict.fromkeys("öóôòüúùûïîíì", 30) | dict.fromkeys("çßñ", 31)
 _INSTEAD = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 _LETTER = {ord(c): n for c, n in _CODE.items()} | {ord(a): _CODE[b] for a, b in _INSTEAD.items()}
@@ -51,9 +51,15 @@ _SINGLES = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
 _OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 
 
+def _code(ch: str) -> int | None:
+    """A letter's code; what is neither a letter nor stands for one has none."""
+    code = _LETTER.get(ord(ch))
+    return code if code is not None or not ch.isalpha() else 1 + (ord(ch) * 0x9E3779B1 >> 13) % 31
+
+
 def letters(word: str) -> list[int]:
     """Codes of a word's letters, without signs at its ends and without other characters inside."""
-    return [c for ch in _ENDS.sub("", word.lower()) if (c := _LETTER.get(ord(ch))) is not None]
+    return [c for ch in _ENDS.sub("", word.lower()) if (c := _code(ch)) is not None]
 
 
 def matrix(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -205,6 +211,11 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
     return docs.join(F.broadcast(known), id_col).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col("__toxic").alias("toxic"))
 
 
+def _pieces(word: str) -> list[str]:
+    """A word, or the overlapping pieces in which a long one is read."""
+    return [word[at : at + PIECE] for at in range(0, max(1, len(word) - PIECE // 2), PIECE // 2)] if word else []
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many toxic and other documents of a task have each word."""
     counts: dict[str, list[int]] = {}
@@ -216,9 +227,8 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            for word in {_ENDS.sub("", w.lower()) for w in text.split()}:
-                if 0 < len(word) <= PIECE:
-                    counts.setdefault(word, [0, 0])[toxic] += 1
+            for word in {p for w in text.split() for p in _pieces(_ENDS.sub("", w.lower()))}:
+                counts.setdefault(word, [0, 0])[toxic] += 1
         if len(counts) > 500_000:
             yield flush()
     yield flush()
@@ -276,8 +286,14 @@ def _machine(marking: pd.DataFrame, plain: pd.DataFrame, landmarks: int, rng: np
     return (base @ (white @ w)).astype(np.float32), bias
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labels: int = 30_000, landmarks: int = 384, mining: int = 2, seed: int = 7) -> Model:
-    """Train on the folds that are not held out. What reaches the driver: at most 17,000 words and a few numbers for each of ``max_labels`` documents."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labels: int = 30_000, landmarks: int = 384, mining: int = 2, seed: int = 7, marking_words: int = 1000, plain_words: int = 6000, hard_words: int = 5000, least_docs: int = 3, least_lift: float = 4.0) -> Model:
+    """Train on the folds that are not held out.
+
+    Examples of the machine are words: labels are of documents, and what makes a document
+    toxic is found among its words. ``marking_words`` are at least ``least_lift`` times as common in toxic documents, and in
+    ``least_docs`` of them; ``plain_words`` and, in each of ``mining`` turns, ``hard_words`` stand against them. What
+    reaches the driver: these words and a few numbers for each of ``max_labels`` documents.
+    """
     small_batches(docs.sparkSession)
     rows = _labelled(docs, labels, id_col, text_col, label_col, max_labels)
     n = rows.groupBy("toxic").count().collect()
@@ -287,9 +303,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return nothing
     words = rows.mapInArrow(_count_words, "word string, toxic long, other long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     lift = (F.col("toxic") / bad) / ((F.col("other") + 0.5) / good)
-    words = words.withColumn("lift", lift).withColumn("marks", (F.col("toxic") >= 3) & (lift >= 4)).cache()
-    marking = words.where("marks").orderBy(F.desc(F.col("toxic") * F.log("lift")), "word").limit(1000).toPandas()
-    plain = words.where("NOT marks AND lift < 2").orderBy(F.desc(F.col("toxic") + F.col("other")), "word").limit(6000).toPandas()
+    words = words.withColumn("lift", lift).withColumn("marks", (F.col("toxic") >= least_docs) & (lift >= least_lift)).cache()
+    marking = words.where("marks").orderBy(F.desc(F.col("toxic") * F.log("lift")), "word").limit(marking_words).toPandas()
+    plain = words.where("NOT marks AND lift < 2").orderBy(F.desc(F.col("toxic") + F.col("other")), "word").limit(plain_words).toPandas()
     if not len(marking) or not len(plain):
         words.unpersist()
         return nothing
@@ -299,7 +315,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for turn in range(1 + mining):
         if turn:  # words of clean documents that the machine takes for toxic ones
             hard = words.where("NOT marks AND lift < 2 AND other > 0").withColumn("margin", model.margin_column(F.col("word"))).where("margin > -0.5")
-            hard = hard.orderBy(F.desc("margin"), "word").limit(5000).drop("margin").toPandas()
+            hard = hard.orderBy(F.desc("margin"), "word").limit(hard_words).drop("margin").toPandas()
             plain = pd.concat([plain, hard]).drop_duplicates("word")
         weight, bias = _machine(marking, plain, landmarks, rng)
         model = Model(weight, bias, np.zeros(TOP + 2), nothing.share)

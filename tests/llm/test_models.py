@@ -112,6 +112,42 @@ def test_toxicity_of_odd_rows(spark, docs_of):
     assert toxicity.score(docs_of([]), labels).count() == 0
 
 
+def test_score_by_hand():
+    """Margins and scores from every subsequence of three letters, one by one."""
+    rng = np.random.default_rng(6)
+    model = toxicity.Model(rng.normal(size=1 << 15).astype(np.float32), -0.1, rng.normal(size=toxicity.TOP + 2), 0.1)
+
+    def margin(word):
+        codes = toxicity.letters(word)
+        if not codes:
+            return toxicity.LOWEST
+        best = toxicity.LOWEST
+        for at in range(0, max(1, len(codes) - 12), 12):
+            c = ([0] if at == 0 else []) + codes[at : at + 24] + ([0] if at + 24 >= len(codes) else [])
+            total = norm = 0.0
+            for i in range(len(c)):
+                for j in range(i + 1, len(c)):
+                    for k in range(j + 1, min(len(c), i + 6)):
+                        total += 0.5 ** (k - i + 1) * model.weight[(c[i] << 10) | (c[j] << 5) | c[k]]
+                        norm += 0.25 ** (k - i + 1)
+            best = max(best, min(2.0, max(-2.0, total / math.sqrt(norm or 1) - 0.1)))
+        return best
+
+    texts = ["idiot friend st.upid", "one", "", "i d i o t yes", "идиот 愚か者 ok", "w" * 70 + " x", "... !!", "many words stand here and more of them"]
+    for text, got in zip(texts, model.score(texts), strict=True):
+        words = text.split() + (["idiot"] if text.startswith("i d") else [])
+        m = sorted(map(margin, words), reverse=True)
+        top = [x for x in m if x > 0] if sum(x > 0 for x in m) >= toxicity.TOP else m
+        x = np.full(toxicity.TOP + 2, toxicity.LOWEST)
+        x[toxicity.TOP :] = math.log1p(sum(x > 0 for x in m)), 1
+        x[: min(toxicity.TOP, len(top))] = top[: toxicity.TOP]
+        assert abs(got - 1 / (1 + math.exp(-x @ model.document))) < 1e-4, text
+
+
+def test_every_script_has_letters():
+    assert all(len(toxicity.letters(w)) == len(w) for w in ("идиот", "愚か者", "ηλίθιος", "अबक")) and toxicity.letters("2б") != toxicity.letters("2в")
+
+
 def test_kernel_is_the_sum_over_subsequences():
     words = ["idiot", "idxiot", "stupid"]
     base = toxicity.profiles(words)
