@@ -80,7 +80,7 @@ def index(docs: DataFrame, benchmark: DataFrame, window: int, id_col: str, text_
     phrases = scratch.keep(found.select("phrase", "n").distinct().withColumn("window", F.monotonically_increasing_id()), "phrases")
     places = phrases.select("window", "n", F.posexplode(F.split("phrase", " ")).alias("place", "word"))
     terms = scratch.keep(places.select("word").distinct().withColumn("term", F.monotonically_increasing_id()), "terms")
-    ends = docs.sparkSession.createDataFrame([(END, NO_TERM)], "word string, term long")
+    ends = docs.sparkSession.range(1).select(F.lit(END).alias("word"), F.lit(NO_TERM).cast("long").alias("term"))
 
     rows = docs.select(F.monotonically_increasing_id().alias("doc"), F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("of")).alias("key"), raw_words(F.col(text_col)).alias("words"))
     each = rows.select("doc", "key", F.posexplode(F.concat("words", F.array(F.lit(END)))).alias("at", "raw")).withColumn("word", lower_ascii(F.col("raw")))
