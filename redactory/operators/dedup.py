@@ -6,39 +6,42 @@ passed; one that is suppressed does not move the window. A window of 0 lets all
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: What makes findings the same: neither the row's keys nor channels count.
 KEY = ["database", "schema_name", "table_name", "column_name", "rule_id", "value_hash"]
 
 
-def passing(times: Column, window: int) -> Column:
-    """Of a sorted array of times (long), those that pass; the state of the fold is the last and the list."""
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-
-    def step(state: Column, t: Column) -> Column:
-        go = state["last"].isNull() | (t - state["last"] >= window)
-        return F.when(go, F.struct(t.alias("last"), F.concat(state["kept"], F.array(t)).alias("kept"))).otherwise(state)
-
-    return F.aggregate(times, start, step, lambda s: s["kept"])
-
-
 def in_window(df: DataFrame, key: list[str], time: str, window: int, order: list[str] | None = None) -> DataFrame:
     """The rows that pass. ``time`` is a column of whole numbers; ties go by ``order``.
 
-    A key's distinct times are gathered, then folded; a key that comes without end
-    belongs in the streaming operator, which holds one time a key.
+    One shuffle: rows are dealt out by key, sorted by key and time, and folded in that
+    order with one time carried. A key of very many rows takes one task's time, but no memory. Rows
+    without a time pass and do not move the window.
     """
-    by_key = Window.partitionBy(*key).orderBy(time, *(order or []))
-    numbered = df.withColumn("__n", F.row_number().over(by_key))
-    times = df.groupBy(*key).agg(F.array_sort(F.collect_set(F.col(time).cast("bigint"))).alias("__times"))
-    kept = times.select(*key, F.explode(passing(F.col("__times"), window)).alias("__kept"))
     if window <= 0:
         return df
-    first = numbered.withColumn("__first", F.row_number().over(Window.partitionBy(*key, time).orderBy("__n"))).where("__first = 1")
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key]
-    return first.alias("a").join(kept.alias("b"), [*same, F.col(f"a.{time}").cast("bigint") == F.col("b.__kept")], "left_semi").drop("__n", "__first")
+    keys = [f"k{i}" for i in range(len(key))]
+    rows = df.select(F.struct("*").alias("row"), *[F.col(k).alias(n) for k, n in zip(key, keys, strict=True)], F.col(time).cast("bigint").alias("at"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order or [])])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, last = None, None
+        for b in batches:
+            keep = []
+            for here, t in zip(zip(*[b.column(k).to_pylist() for k in keys], strict=True), b.column("at").to_pylist(), strict=True):
+                if here != own:
+                    own, last = here, None
+                go = last is None or t is None or t - last >= window
+                last = t if go and t is not None else last
+                keep.append(go)
+            yield b.filter(pa.array(keep, pa.bool_())).select(["row"])
+
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "at", *[f"o{i}" for i in range(len(order or []))])
+    return dealt.mapInArrow(fold, rows.select("row").schema).select("row.*")
 
 
 def first_only(df: DataFrame, key: list[str], time: str, order: list[str] | None = None) -> DataFrame:
