@@ -302,3 +302,15 @@ def test_pipeline(spark, sf):
     assert kept[0] > kept[1] > kept[2] >= kept[3] == kept[4] > 0
     out = corpus_pipeline.run(spark, sf)
     assert out.count() == kept[-1] and out.where("n_tokens = 0").count() == 0
+
+
+def test_pipeline_rows_of_one_id(spark):
+    """One document of each group stays: rows are told apart by id and text, ids may be missing, other columns have any names."""
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text), (7, text), (7, "unrelated text of some words here"), (None, text), (9, "a b c d e f g h"), (9, "a b c d e f g h"), (3, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, key string, row string")
+    got = corpus_pipeline.ngram_jaccard_join(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, text), (7, "unrelated text of some words here"), (9, "a b c d e f g h"), (3, None), (None, "")], key=str)
+    masked = corpus_pipeline.pii_masking(spark, docs, "").collect()
+    assert len(masked) == len(rows) and {r.key for r in masked} == {"x"}
