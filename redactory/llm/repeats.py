@@ -193,7 +193,7 @@ def divided(one: DataFrame, near: DataFrame, gram: int, passage: int, scratch: S
     )
     within = one.join(known.where(F.col("most_left") + F.col("most_right") >= reach), "of")
     within = scratch.keep(within.withColumn("open", (F.col("low") == F.col("high")) & ((F.col("has_left") < F.col("most_left")) | (F.col("has_right") < F.col("most_right")))), "within")
-    within = within.join(within.where("open").select("gram").distinct(), "gram", "left_semi")
+    within = within.join(scratch.keep(within.where("open").select("gram").distinct(), "open"), "gram", "left_semi")
     words = F.xxhash64("gram", "a", F.expr("substring(left, 1, 4 * a)"), F.expr(f"substring(right, 1, 4 * ({reach} - a))"))
     every = within.withColumn("a", F.explode(F.sequence(F.lit(reach) - F.col("most_right"), F.col("most_left")))).withColumn("words", words)
     asked = every.where("open").where((F.col("a") > F.col("has_left")) | (F.lit(reach) - F.col("a") > F.col("has_right"))).select("of", "a", "words", F.col("low").alias("own"))
@@ -212,9 +212,11 @@ def repeated(df: DataFrame, passage: int = 50, gram: int = 16, id_col: str = "do
     small_batches(spark)
     scratch = Scratch(spark, "repeats")
     kept = scratch.keep(suffixes(df, gram, passage, id_col, text_col), "suffixes")
-    shared = kept.groupBy("gram").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("gram")
+    # A table of its own: joined from an aggregate, a gram of very many suffixes would be left to one task.
+    shared = scratch.keep(kept.groupBy("gram").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("gram"), "shared")
     places = scratch.keep(kept.join(shared, "gram", "left_semi").groupBy("id").agg(F.collect_set("at").alias("at")), "places")
     scratch.drop("suffixes")
+    scratch.drop("shared")
 
     rows = _texts(df, id_col, text_col)
     if places.count() <= BROADCAST_ROWS:
