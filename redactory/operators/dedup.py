@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import placed
+
 #: What makes findings the same: neither the row's keys nor channels count.
 KEY = ["database", "schema_name", "table_name", "column_name", "rule_id", "value_hash"]
 
@@ -51,6 +53,9 @@ def first_only(df: DataFrame, key: list[str], time: str, order: list[str] | None
 
 
 def batches(df: DataFrame, size: int, order: list[str], within: list[str] | None = None) -> DataFrame:
-    """``df`` with ``batch``: groups of ``size`` rows in order, numbered from 0."""
-    window = Window.partitionBy(*(within or [])).orderBy(*order) if within else Window.orderBy(*order)
+    """``df`` with ``batch``: groups of ``size`` rows in order, numbered from 0; without ``within`` over all rows, by ranges."""
+    if not within:
+        numbered = placed(df, *order, name="batch")
+        return numbered.withColumn("batch", F.floor((F.col("batch") - 1) / size))
+    window = Window.partitionBy(*within).orderBy(*order)
     return df.withColumn("batch", F.floor((F.row_number().over(window) - 1) / size))

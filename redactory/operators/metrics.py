@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..streaming.folders import scratch
+
+#: Marks stand this share of a group's rows from a percentile, more than the error of their sketch (1 / ``ACCURACY``).
+MARGIN, ACCURACY = 0.001, 10_000
+#: Groups whose marks may be broadcast.
+BROADCAST_GROUPS = 100_000
+
 #: Upper bounds of the histograms' buckets.
 BUCKETS = {
     "scan_duration_seconds": [0.0001, 0.0005, 0.001, 0.005, 0.01, 0.05, 0.1],
@@ -28,11 +35,33 @@ def histogram(df: DataFrame, value: str, bounds: list[float], *by: str) -> DataF
 
 
 def percentiles(df: DataFrame, value: str, percents: list[int], *by: str) -> DataFrame:
-    """``(by..., p, value)``: the item at ``floor(n * p / 100)`` from 0 in order, at most the last. Sorted by Spark, not gathered."""
-    order = Window.partitionBy(*by).orderBy(value)
-    placed = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("value"), (F.row_number().over(order) - 1).alias("place"), F.count("*").over(Window.partitionBy(*by)).alias("n"))
-    wanted = F.explode(F.array(*map(F.lit, percents))).alias("p")
-    return placed.select("*", wanted).where(F.col("place") == F.least(F.floor(F.col("n") * F.col("p") / 100), F.col("n") - 1)).select(*by, "p", "value")
+    """``(by..., p, value)``: the item at ``floor(n * p / 100)`` from 0 in order, at most the last. Exact; values are numbers, dates or times.
+
+    Mergeable sketches give marks on both sides of each percentile; rows are counted
+    between marks and on them, and only the part that holds the wanted item is sorted.
+    However good the marks are, the parts keep the order, so that the item is the same.
+    """
+    key = F.struct(*by) if by else F.struct(F.lit(0))
+    rows = df.where(F.col(value).isNotNull()).select(key.alias("key"), F.col(value).alias("value"))
+    near = sorted({min(1.0, max(0.0, p / 100 + d)) for p in percents for d in (-MARGIN, MARGIN)})
+    path = scratch(df.sparkSession, "percentiles")
+    marks = rows.groupBy("key").agg(F.percentile_approx("value", near, ACCURACY).alias("marks"))
+    marks.write.parquet(path)
+    marks = df.sparkSession.read.schema(marks.schema).parquet(path)
+    small = F.broadcast if marks.count() <= BROADCAST_GROUPS else lambda x: x
+
+    mark = [F.element_at("marks", i + 1) for i in range(len(near))]
+    part = sum(((F.col("value") >= m).cast("int") + (F.col("value") > m).cast("int") for m in mark), F.lit(0))
+    parts = rows.join(small(marks), "key").select("key", "value", part.alias("part"))
+    of_key = Window.partitionBy("key")
+    counts = parts.groupBy("key", "part").count().withColumns({"n": F.sum("count").over(of_key), "before": F.sum("count").over(of_key.orderBy("part")) - F.col("count")})
+    wanted = counts.select("*", F.explode(F.array(*map(F.lit, percents))).alias("p")).withColumn("at", F.least(F.floor(F.col("n") * F.col("p") / 100), F.col("n") - 1) - F.col("before"))
+    wanted = wanted.where("at >= 0 AND at < count").groupBy("key", "part").agg(F.collect_list(F.struct("p", "at")).alias("wanted"))
+
+    values = parts.join(small(wanted), ["key", "part"]).groupBy("key", "part", "value").agg(F.count("*").alias("same"), F.first("wanted").alias("wanted"))
+    upto = F.sum("same").over(Window.partitionBy("key", "part").orderBy("value"))
+    found = values.withColumn("upto", upto).select("key", "value", "upto", "same", F.explode("wanted").alias("w")).where("w.at < upto AND w.at >= upto - same")
+    return found.select(*[F.col("key")[b].alias(b) for b in by], "w.p", "value")
 
 
 def gravest(df: DataFrame, *by: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators.order import placed
 from .registry import query, table
 
 
@@ -114,17 +115,6 @@ def sort_desc(spark, sf):
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("cents"), "o_custkey")).cast("bigint"))
 
 
-def placed(df, *order):
-    """All rows with ``place`` from 1 on: ranges of the order are numbered by themselves, after the counts of those before."""
-    by_range = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__range", F.spark_partition_id())
-    # A second run could draw other ranges; without a shared folder (a laptop) the copy is local.
-    by_range = by_range.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else by_range.localCheckpoint()
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
-    counts = by_range.groupBy("__range").count().select("__range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
-    return by_range.withColumn("__n", inside).join(F.broadcast(counts), "__range").select(*df.columns, (F.col("__before") + F.col("__n")).cast("bigint").alias("place"))
-
-
 @query("SELECT o_custkey, cents, row_number() OVER (ORDER BY cents DESC, o_custkey) AS place FROM (SELECT o_custkey, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM orders GROUP BY o_custkey)")
 def sort_desc_all(spark, sf):
     """``sort_desc`` without its limit: every customer."""

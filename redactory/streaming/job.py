@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import logging
-import tempfile
 import threading
 import time
 from collections import Counter
@@ -20,6 +19,7 @@ from ..operators.rules import Engine, RuleError, load
 from ..operators.scan import Filter, failures, scan_events
 from ..sources.events import EVENT
 from .dedup import passing
+from .folders import scratch
 from .server import Server
 from .sinks import Channel, dispatch
 
@@ -185,7 +185,7 @@ def run_all(spark, config, trigger: dict | None = None, counts: Counter | None =
     def one(d: dict) -> None:
         name = f"{d['host']}/{d['name']}"
         # Without a store that lasts, places in the stream are those of this run.
-        base = raw["store"]["path"] if raw["store"]["type"] == "checkpoint" else tempfile.mkdtemp(prefix="redactory-job-")
+        base = raw["store"]["path"] if raw["store"]["type"] == "checkpoint" else scratch(spark, "job")
 
         def start() -> StreamingQuery:
             events = source(spark, d["source"], int(raw["pipeline"]["max_files_per_trigger"])).withColumn("database", F.lit(name))

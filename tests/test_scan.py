@@ -104,3 +104,15 @@ def test_payload(spark):
 def test_percentiles(spark):
     got = metrics.percentiles(spark.range(1, 101).withColumnRenamed("id", "x"), "x", [50, 95, 99]).collect()
     assert sorted((r.p, r.value) for r in got) == [(50, 51), (95, 96), (99, 100)]
+
+
+def test_percentiles_of_ties_nulls_and_groups(spark):
+    rows = [("a", float(x % 7)) for x in range(500)] + [(None, 3.0)] * 40 + [("b", None)] + [("c", -1.5)] + [("d", float(x * x)) for x in range(5000)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    got = {(r.k, r.p): r.value for r in metrics.percentiles(df, "v", [0, 1, 50, 99, 100], "k").collect()}
+    true = {}
+    for k in ("a", None, "c", "d"):
+        own = sorted(v for g, v in rows if g == k and v is not None)
+        true |= {(k, p): own[min(len(own) * p // 100, len(own) - 1)] for p in (0, 1, 50, 99, 100)}
+    assert got == true
+    assert metrics.percentiles(df.where("false"), "v", [50], "k").collect() == []
