@@ -16,9 +16,10 @@ and the root lacks, and the other way round, is its difference. Two sets that ar
 linked have a distance of at most ``k``, so either both are linked with the root, or
 their differences overlap; by how much at least is known from their sizes, and so
 is the number of elements (those rarest in the family first) of which two linked
-sets must share one. Sets that share one are compared exactly by their differences.
-So a group of thousands of near copies gives as many comparisons as it has links
-to prove, not one for every two copies of one text.
+sets must share one. Sets that share one are compared exactly by their differences:
+first neighbours in some orders, in turns that join the classes known so far, then
+all that still are in different classes. So a group of thousands of near copies gives
+about as many comparisons as it has links to prove, not one for every two copies of one text.
 
 Copies have one set and one node; a task sends a set's signatures once, so that
 even a third of all rows being copies gives a row for each task and signature.
@@ -193,29 +194,34 @@ WHOLE, FOLDED = 16, 4
 ORDERS = 16
 #: An element of fewer sets of a family than this counts as one of none.
 COMMON = 32
+#: Turns in which classes are joined before all pairs are, and how many rows a set is compared with in one.
+TURNS, SPAN = 3, 64
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, a kept table, marked for a broadcast if it is small enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def elements(apart: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """``(root, own, node, n, near, d, s0.., element, least)``: a row for each element of which two linked sets, not both near the root, must share one.
+    """``(root, own, node, n, near, d, s0.., place, element, least)``: a row for each element of which two linked sets, not both near the root, must share one.
 
     Any order of elements that a whole family keeps will do; the rarest come first, so
-    that an element that most of a family has is used by few sets. ``least`` is the
-    set's least element in one of some orders, which the element picks. The work for a set
-    is in proportion to its difference.
+    that an element that most of a family has is used by few sets; ``place`` counts from 0 in
+    this order. ``least`` is the set's least element in one of some orders, which the
+    element picks. The work for a set is in proportion to its difference.
     """
     each = apart.select("root", "own", "node", F.explode(F.concat("plus", "minus")).alias("element"))
     common = scratch.keep(each.groupBy("root", "own", "element").count().where(F.col("count") >= COMMON), "common")
-    if common.count() <= BROADCAST_ROWS:
-        common = F.broadcast(common)
     leasts = [F.min(F.xxhash64("element", F.lit(k))).alias(f"l{k}") for k in range(ORDERS)]
-    ranked = each.join(common, ["root", "own", "element"], "left").groupBy("node", "own").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "element"))).alias("ranked"), *leasts)
+    ranked = each.join(_small(common), ["root", "own", "element"], "left").groupBy("node", "own").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "element"))).alias("ranked"), *leasts)
     d = F.size("ranked")
     far = F.floor(F.col("n") * (100 - percent) / percent) + 1
     near = F.floor(d * (100 / (100 + percent)) + 0.5) + 1
     few = F.least(d, F.when(F.col("near"), near).otherwise(far)).cast("int")
     folded = [F.expr(" ^ ".join(f"sketch[{i}]" for i in range(k, WHOLE, FOLDED))).alias(f"s{k}") for k in range(FOLDED)]
     rows = apart.select("root", "own", "node", "n", "near", *folded).join(ranked, ["node", "own"])
-    rows = rows.select("root", "own", "node", "n", "near", d.alias("d"), *[f"s{k}" for k in range(FOLDED)], F.array(*[f"l{k}" for k in range(ORDERS)]).alias("leasts"), F.explode(F.slice("ranked.element", 1, few)).alias("element"))
+    rows = rows.select("root", "own", "node", "n", "near", d.alias("d"), *[f"s{k}" for k in range(FOLDED)], F.array(*[f"l{k}" for k in range(ORDERS)]).alias("leasts"), F.posexplode(F.slice("ranked.element", 1, few)).alias("place", "element"))
     return scratch.keep(rows.withColumn("least", F.element_at("leasts", (F.pmod("element", F.lit(ORDERS)) + 1).cast("int"))).drop("leasts"), "elements")
 
 
@@ -263,26 +269,103 @@ def neighbouring(rows: DataFrame, percent: int) -> DataFrame:
     return found[0].unionByName(found[1]).distinct()
 
 
-def overlapping(rows: DataFrame, labels: DataFrame, apart: DataFrame, percent: int) -> DataFrame:
-    """``(a, b, own)``: all pairs that share one of :func:`elements`, have different labels and may be linked."""
+def mixed(rows: DataFrame, labels: DataFrame, apart: DataFrame) -> DataFrame:
+    """Rows of :func:`elements` that share their element with a set of another label, with labels and whole sketches."""
+    group = ["root", "own", "element"]
+    rows = rows.select(*group, "node", "n", "near", "d", "place").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = rows.groupBy(*group).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select(*group)
+    return rows.join(several, group).join(apart.select("node", "own", "sketch"), ["node", "own"])
+
+
+def across(some: DataFrame, percent: int, turn: int) -> DataFrame:
+    """``(a, b, own, one, two)``: pairs of :func:`mixed` rows that may link the labels ``one`` and ``two``.
+
+    Each row is compared with the ``SPAN`` before it in an order of labels that
+    differs by ``turn``; of the pairs of one element those are given, the likeliest
+    first, that join labels not yet joined by others. What this passes over is left
+    to :func:`overlapping`.
+    """
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for b in batches:
+            now = {c: b.column(c).to_numpy(zero_copy_only=False) for c in ("root", "own", "element", "node", "n", "near", "label")}
+            now["n"], now["sketch"] = now["n"].astype(np.int64), b.column("sketch").flatten().to_numpy().reshape(-1, WHOLE)
+            old = 0 if last is None else len(last["node"])
+            if old:
+                now = {c: np.concatenate([last[c], x]) for c, x in now.items()}
+            last = {c: x[-SPAN:] for c, x in now.items()}
+            new = np.ones(len(now["node"]), bool)
+            for c in ("root", "own", "element"):
+                new[1:] &= now[c][1:] == now[c][:-1]
+            run = np.cumsum(~new)
+            ends = []
+            for step in range(1, min(SPAN, len(run) - 1) + 1):
+                two = np.arange(max(step, old), len(run))
+                two = two[run[two] == run[two - step]]
+                if not len(two):
+                    break
+                n, m = now["n"][two], now["n"][two - step]
+                keep = (now["label"][two] != now["label"][two - step]) & ~(now["near"][two] & now["near"][two - step]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+                two = two[keep]
+                spare = (100 - percent) * (n + m)[keep] - (100 + percent) * np.bitwise_count(now["sketch"][two] ^ now["sketch"][two - step]).sum(1, dtype=np.int64)
+                ends.append(np.stack([spare, two - step, two])[:, spare >= 0])
+            pairs = np.concatenate([np.zeros((3, 0), np.int64), *ends], 1)
+            above: dict[tuple[int, int], tuple[int, int]] = {}
+
+            def top(x: tuple[int, int], above=above) -> tuple[int, int]:
+                while x in above:
+                    x = above[x]
+                return x
+
+            kept = []
+            for k in np.argsort(-pairs[0], kind="stable"):
+                i, j = pairs[1:, k]
+                x, y = top((run[i], now["label"][i])), top((run[j], now["label"][j]))
+                if x != y:
+                    above[max(x, y)] = min(x, y)
+                    kept.append((i, j))
+            i, j = np.array(kept, np.int64).reshape(-1, 2).T
+            x, y = now["node"][i], now["node"][j]
+            swapped = x > y
+            yield pa.RecordBatch.from_pydict({"a": np.minimum(x, y), "b": np.maximum(x, y), "own": now["own"][i].astype(bool), "one": np.where(swapped, now["label"][j], now["label"][i]), "two": np.where(swapped, now["label"][i], now["label"][j])})
+
+    parts = int(some.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = ["root", "own", "element", "order", "label", "node"]
+    dealt = some.withColumn("order", F.xxhash64("label", F.lit(turn))).select(*key, "n", "near", "sketch").repartitionByRange(parts, *key).sortWithinPartitions(*key)
+    return dealt.mapInArrow(likely, "a long, b long, own boolean, one long, two long").distinct()
+
+
+def joined(labels: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``labels`` after the labels of ``links`` have become one."""
+    above = scratch.keep(components(links, scratch, f"{name}-above").select(F.col("node").alias("label"), F.col("label").alias("to")), f"{name}-to")
+    every = labels.unionByName(above.select(F.col("label").alias("node"), "label")).groupBy("node").agg(F.min("label").alias("label"))
+    return scratch.keep(every.join(_small(above), "label", "left").select("node", F.coalesce("to", "label").alias("label")), name)
+
+
+def overlapping(some: DataFrame, percent: int) -> DataFrame:
+    """``(a, b, own, one, two)``: all pairs of :func:`mixed` rows that share an element, have different labels and may be linked.
+
+    No pair is lost by looking at places: from the first element on that two linked
+    sets share, both still have as many as they must share.
+    """
     group = ["root", "own", "element"]
-    rows = rows.select(*group, "node", "n", "near").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = rows.groupBy(*group).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select(*group)
-    rows = rows.join(mixed, group).join(apart.select("node", "own", "sketch"), ["node", "own"])
-    one, two = (rows.select(*group, *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n", "near", "sketch")]) for x in ("a", "b"))
+    one, two = (some.select(*group, *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n", "near", "d", "place", "sketch")]) for x in ("a", "b"))
     a, b = (lambda c: F.col(f"{c}_a")), (lambda c: F.col(f"{c}_b"))
     bits = F.expr(" + ".join(f"bit_count(sketch_a[{i}] ^ sketch_b[{i}])" for i in range(WHOLE)))
-    fit = (a("node") < b("node")) & (a("label") != b("label")) & _fits(a, b, percent) & _few_bits(bits, a, b, percent)
-    return one.join(two, group).where(fit).select(a("node").alias("a"), b("node").alias("b"), "own").distinct()
+    left = F.least(a("d") - a("place"), b("d") - b("place"))
+    enough = (100 + percent) * (a("d") + b("d") - 2 * left) <= (100 - percent) * (a("n") + b("n"))
+    fit = (a("node") < b("node")) & (a("label") != b("label")) & enough & _fits(a, b, percent) & _few_bits(bits, a, b, percent)
+    return one.join(two, group).where(fit).select(a("node").alias("a"), b("node").alias("b"), "own", a("label").alias("one"), b("label").alias("two")).distinct()
 
 
 def _verified(pairs: DataFrame, apart: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets are similar enough, by their differences from the root."""
+    """The pairs whose sets are similar enough, by their differences from the root: all columns but ``own``."""
     left, right = (apart.select(F.col("node").alias(x), "own", *[F.col(c).alias(f"{c}_{x}") for c in ("n", "plus", "minus")]) for x in ("a", "b"))
     joined = pairs.join(left, ["a", "own"]).join(right, ["b", "own"])
     same = F.size(F.array_intersect("plus_a", "plus_b")) + F.size(F.array_intersect("minus_a", "minus_b"))
     apart_by = F.size("plus_a") + F.size("minus_a") + F.size("plus_b") + F.size("minus_b") - 2 * same
-    return joined.where(_linked((F.col("n_a") + F.col("n_b") - apart_by) / 2, "n_a", "n_b", percent)).select("a", "b")
+    return joined.where(_linked((F.col("n_a") + F.col("n_b") - apart_by) / 2, "n_a", "n_b", percent)).select(*[c for c in pairs.columns if c != "own"])
 
 
 def classes(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -313,14 +396,18 @@ def classes(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc
     some = elements(apart, percent, scratch)
     links = scratch.keep(links.unionByName(_verified(scratch.keep(neighbouring(some, percent), "neighbouring"), apart, percent)), "links")
     labels = scratch.keep(components(links, scratch, "first"), "labels")
-    pairs = scratch.keep(overlapping(some, labels, apart, percent), "pairs")
-    if not pairs.isEmpty():
-        labels = components(scratch.keep(links.unionByName(_verified(pairs, apart, percent)), "more-links"), scratch)
+    for turn in range(TURNS + 1):
+        several = scratch.keep(mixed(some, labels, apart), f"mixed-{turn}")
+        pairs = across(several, percent, turn) if turn < TURNS else overlapping(several, percent)
+        more = scratch.keep(_verified(scratch.keep(pairs, f"pairs-{turn}"), apart, percent).select("one", "two").distinct(), f"links-{turn}")
+        if not more.isEmpty():
+            labels = joined(labels, more, scratch, f"labels-{turn}")
+        scratch.drop(f"mixed-{turn}")
 
     placed = rows.join(labels, "node", "left").select("id", "n_shingles", F.coalesce("label", "node").alias("label"))
     placed = scratch.keep(placed, "placed")
-    least = placed.where("label IS NOT NULL").groupBy("label").agg(F.min("id").alias("component"))
-    return placed.join(least, "label", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    least = scratch.keep(placed.where("label IS NOT NULL").groupBy("label").agg(F.min("id").alias("component")), "least")
+    return placed.join(_small(least), "label", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
 
 def _rows_of(df: DataFrame, rows: DataFrame, roots: DataFrame, id_col: str, text_col: str) -> DataFrame:
