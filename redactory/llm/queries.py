@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_tree, jaccard, neighbours, pii, quality, repeats, token_files, toxicity
+from . import bpe, decontaminate, fill_middle, html_tree, jaccard, neighbours, pii, quality, quality_rules, repeats, token_files, toxicity, vector_codes
 from .storage import Scratch
 
 
@@ -70,12 +70,27 @@ def op10_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(said(F.filter("pii", lambda s: s["base"])).cast("binary"), 256).alias("base_sha256"), said("pii").alias("spans"))
 
 
+def op11_ngram_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
+    return coded.withColumn("codebooks_sha256", F.lit(books.sha256() if books else None).cast("string"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"), seed=7, rate=100, spm=50)
+    restored = fill_middle.restore(F.col("fim.output"), F.col("fim.form"))
+    return made.select("doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars", F.sha2(F.col("fim.output").cast("binary"), 256).alias("output_sha256"), F.sha2(restored.cast("binary"), 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sparse_suffix_array, op2_importance_resampling, op3_byte_bpe, op4_ivf_pq, op5_tree_model_html, op6_positional_index, op7_partenum_join, op8_string_kernel_svm, op9_token_files, op10_skip_chain_pii)}
+    return {f.__name__: f for f in (op1_sparse_suffix_array, op2_importance_resampling, op3_byte_bpe, op4_ivf_pq, op5_tree_model_html, op6_positional_index, op7_partenum_join, op8_string_kernel_svm, op9_token_files, op10_skip_chain_pii, op11_ngram_regression, op12_vector_codes, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_positional_index": OP6_SQL}
+    return {"op6_positional_index": OP6_SQL, "op12_vector_codes": OP12_SQL, "op13_fill_in_middle": OP13_SQL}
 
 
 OP6_SQL = r"""
@@ -100,3 +115,56 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN of_items USING (doc_id)
 """
+
+#: One round: sums and counts of each entry's parts, then floors of means (integer division rounds to zero in SQL).
+_ROUND = r"""
+, near{r} AS MATERIALIZED (
+  SELECT vec_id, p, arg_min(e, d * 256 + e) AS e, min(d) AS far FROM (
+    SELECT vec_id, x.p, e, list_sum(list_transform(range(1, 17), lambda i: (x.w[i] - b.w[i]) * (x.w[i] - b.w[i])))::BIGINT AS d FROM parts x JOIN book{r} b ON x.p = b.p
+  ) GROUP BY vec_id, p
+)"""
+_MOVE = r"""
+, book{n} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.w, b.w) AS w FROM book{r} b LEFT JOIN (
+    SELECT p, e, list(((s - ((s % c) + c) % c) // c)::BIGINT ORDER BY i) AS w FROM (
+      SELECT x.p, e, i, sum(x.w[i])::BIGINT AS s, count(*) AS c FROM parts x JOIN near{r} USING (vec_id, p), range(1, 17) t(i) GROUP BY ALL
+    ) GROUP BY p, e
+  ) m ON b.p = m.p AND b.e = m.e
+)"""
+OP12_SQL = (
+    r"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT vec_id, p, v[p * 16 + 1 : p * 16 + 16] AS w FROM kept, range(4) t(p)
+), book0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, w FROM parts WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 256)
+)"""
+    + "".join(_ROUND.format(r=r) + _MOVE.format(r=r, n=r + 1) for r in range(4))
+    + _ROUND.format(r=4)
+    + r"""
+, coded AS (
+  SELECT vec_id, label, string_agg(lpad(lower(to_hex(e)), 2, '0'), '' ORDER BY p) AS code, sum(far)::BIGINT AS error FROM kept JOIN near4 USING (vec_id) GROUP BY ALL
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(w, ','), ',' ORDER BY p, e)) FROM book4) AS codebooks_sha256
+FROM coded
+"""
+)
+
+OP13_SQL = r"""
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || doc_id) AS h FROM documents
+), picked AS (
+  SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS a, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS b,
+    text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 100 AS plain, ('0x' || h[25:32])::BIGINT % 100 < 50 AS spm FROM units
+), parts AS (
+  SELECT doc_id, text, n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form,
+    array_to_string(u[1 : least(a, b)], '') AS prefix, array_to_string(u[least(a, b) + 1 : greatest(a, b)], '') AS middle, array_to_string(u[greatest(a, b) + 1 : n], '') AS suffix FROM picked
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
