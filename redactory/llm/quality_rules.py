@@ -41,6 +41,10 @@ from .vector_codes import BRANCHES
 BYTES = 1 << 16
 #: Shares are multiplied by this, so that one step fits weights of common and rare n-grams.
 SHARE = 30.0
+#: Bytes of features in a row, and more by less than one text's.
+ROW = 1 << 18
+#: Texts learned from in one task: a task gives a tensor of all buckets.
+TASK = 1000
 #: Gradients and losses are counted in parts of this size.
 PART = float(1 << 32)
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
@@ -100,15 +104,64 @@ def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
         there = np.flatnonzero(n)
         at.append(there)
         value.append(SHARE * n[there] / max(n.sum(), 1))
-    return np.concatenate(at).astype(np.int32), np.concatenate(value)
+    return np.concatenate(at).astype(np.int32), np.concatenate(value).astype(np.float32)
 
 
-def logistic(x):
-    return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
+@dataclass
+class Examples:
+    """Features of some labelled texts, one after the other."""
+
+    good: np.ndarray
+    sizes: np.ndarray  # buckets of each text
+    buckets: np.ndarray
+    shares: np.ndarray
+
+    KINDS = {"good": np.int8, "sizes": np.int32, "buckets": np.int32, "shares": np.float32}
+
+    @classmethod
+    def of(cls, row) -> Examples:
+        return cls(**{name: np.frombuffer(row[name], kind) for name, kind in cls.KINDS.items()})
+
+    def margins(self, w: np.ndarray) -> np.ndarray:
+        edges = np.concatenate([[0], np.cumsum(self.sizes)])
+        every = np.append(w[self.buckets] * self.shares, 0.0)
+        return np.where(self.sizes > 0, np.add.reduceat(every, edges)[:-1], 0.0) + w[BUCKETS]
+
+    def loss_and_gradient(self, w: np.ndarray) -> tuple[int, np.ndarray]:
+        """In whole numbers: sums of them are the same in any order."""
+        margin = self.margins(w)
+        off = logistic(margin) - self.good
+        loss = np.logaddexp(0, np.where(self.good == 1, -margin, margin))
+        grad = np.bincount(self.buckets, np.rint(np.repeat(off, self.sizes) * self.shares * PART), BUCKETS + 1)
+        grad[BUCKETS] = np.rint(off * PART).sum()
+        return int(np.rint(loss * PART).sum()), grad.astype(np.int64)
+
+
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``(held, good, text)`` as rows of :class:`Examples`."""
+
+    def row(held: bool, made: list) -> pa.RecordBatch:
+        good, at, share = zip(*made, strict=True)
+        values = {"good": good, "sizes": [len(a) for a in at], "buckets": np.concatenate(at), "shares": np.concatenate(share)}
+        return pa.RecordBatch.from_pydict({"held": pa.array([held]), "n": pa.array([len(good)]), "n_good": pa.array([sum(good)])} | {name: pa.array([np.array(values[name], kind).tobytes()], pa.binary()) for name, kind in Examples.KINDS.items()})
+
+    waiting: dict[bool, list] = {True: [], False: []}
+    size = {True: 0, False: 0}
+    for b in batches:
+        for held, good, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            at, share = features(text)
+            waiting[held].append((good, at, share))
+            size[held] += at.nbytes + share.nbytes
+            if size[held] >= ROW:
+                yield row(held, waiting[held])
+                waiting[held], size[held] = [], 0
+    for held, made in waiting.items():
+        if made:
+            yield row(held, made)
 
 
-def log_loss(margin: float, label: int) -> float:
-    return float(np.logaddexp(0, -margin if label else margin))
+def logistic(x):
+    return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
 @dataclass
@@ -208,31 +261,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = texts.join(F.broadcast(known), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("good").alias("good"))
     rows = rows.select((F.pmod(F.xxhash64("id"), F.lit(folds)) == 0).alias("held"), "good", F.col("text").cast("binary").alias("text"))
 
-    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = [features(t) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([a.tobytes() for a, _ in made], pa.binary()), pa.array([v.tobytes() for _, v in made], pa.binary())], ["held", "good", "buckets", "shares"])
-
-    data = scratch.keep(rows.mapInArrow(featured, "held boolean, good int, buckets binary, shares binary"), "features")
-    sizes = {(r.held, r.good): r["count"] for r in data.groupBy("held", "good").count().collect()}
+    kinds = "held boolean, n long, n_good long, good binary, sizes binary, buckets binary, shares binary"
+    data = scratch.keep(rows.mapInArrow(packed, kinds), "features")
+    sizes = {(r.held, label): n for r in data.groupBy("held").agg(F.sum("n").alias("n"), F.sum("n_good").alias("n_good")).collect() for label, n in ((1, r.n_good), (0, r.n - r.n_good)) if n}
     if len(sizes) < 4:
         n, good = sum(sizes.values()), sum(k for (_, g), k in sizes.items() if g)
         share = (good / n) if n else 1.0
         return Model(np.zeros(BUCKETS + 1, np.int64), 0.0, float(np.log(share / (1 - share))) if 0 < share < 1 else 500.0 if share else -500.0)
     n = sizes[False, 0] + sizes[False, 1]
-    learned = data.where("NOT held").select("good", "buckets", "shares").rdd.map(lambda r: (r.good, np.frombuffer(r.buckets, np.int32), np.frombuffer(r.shares)))
+    learned = data.where("NOT held").select(*Examples.KINDS).rdd.map(Examples.of).coalesce(max(1, n // TASK))
 
     def evaluate(w: np.ndarray) -> tuple[float, np.ndarray]:
         held = spark.sparkContext.broadcast(w)
 
         def add(sums, row):
-            good, at, share = row
-            loss, grad = (0, np.zeros(BUCKETS + 1, np.int64)) if sums is None else sums
-            margin = float((held.value[at] * share).sum() + held.value[BUCKETS])
-            off = float(logistic(margin)) - good
-            grad[at] += np.rint(off * share * PART).astype(np.int64)
-            grad[BUCKETS] += round(off * PART)
-            return loss + round(log_loss(margin, good) * PART), grad
+            return both(sums, row.loss_and_gradient(held.value))
 
         def both(a, b):
             return b if a is None else a if b is None else (a[0] + b[0], a[1] + b[1])
@@ -245,13 +288,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     weights = np.rint(descend(evaluate, BUCKETS + 1, rounds) * SCALE).astype(np.int64)
 
-    def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [float((weights[np.frombuffer(a, np.int32)] / SCALE * np.frombuffer(v)).sum() + weights[BUCKETS] / SCALE) for a, v in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({"margin": pa.array(found, pa.float64()), "good": b.column(0)})
-
-    held = data.where("held").select("good", "buckets", "shares").mapInArrow(margins, "margin double, good int").toPandas().sort_values(["margin", "good"])
-    return Model(weights, *calibrated(held["margin"].to_numpy(), held["good"].to_numpy() == 1))
+    exact = weights / SCALE
+    held = sorted(data.where("held").select(*Examples.KINDS).rdd.map(Examples.of).flatMap(lambda x: zip(x.margins(exact).tolist(), x.good.tolist(), strict=True)).collect())
+    margin, good = np.array(held).T
+    return Model(weights, *calibrated(margin, good == 1))
 
 
 def verdict(of: Column, rules: Rules) -> tuple[Column, Column]:
