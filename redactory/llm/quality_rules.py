@@ -3,7 +3,7 @@
 Method. A text's features are its byte trigrams (characters, for ASCII) and its words and word pairs,
 hashed into buckets; a feature is a bucket's share of the text's n-grams of its kind. A logistic
 regression is trained on labelled rows: their features are written once, and every step of the optimiser
-(L-BFGS) is one pass over them, whose gradients ``treeAggregate`` merges. A fold that the regression did
+(L-BFGS) is one pass over them, whose gradients, one for each ``TASK`` texts, are added up. A fold that the regression did
 not see calibrates it (Platt): the logistic function of a line through its margins, so that the score is a
 probability. Texts are scored in Arrow batches and kept if the probability of a good label is at least
 ``least`` and no counted rule fails.
@@ -35,7 +35,6 @@ from pyspark.sql import functions as F
 from . import shingles
 from .quality import BUCKETS, NONE, SCALE, blocks, buckets, sample_labels
 from .storage import Scratch, small_batches
-from .vector_codes import BRANCHES
 
 #: Buckets below this are of bytes, the others of words.
 BYTES = 1 << 16
@@ -269,28 +268,34 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         share = (good / n) if n else 1.0
         return Model(np.zeros(BUCKETS + 1, np.int64), 0.0, float(np.log(share / (1 - share))) if 0 < share < 1 else 500.0 if share else -500.0)
     n = sizes[False, 0] + sizes[False, 1]
-    learned = data.where("NOT held").select(*Examples.KINDS).rdd.map(Examples.of).coalesce(max(1, n // TASK))
+    learned = data.where("NOT held").select(*Examples.KINDS).coalesce(max(1, n // TASK))
 
     def evaluate(w: np.ndarray) -> tuple[float, np.ndarray]:
         held = spark.sparkContext.broadcast(w)
 
-        def add(sums, row):
-            return both(sums, row.loss_and_gradient(held.value))
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            loss, grad = 0, np.zeros(BUCKETS + 1, np.int64)
+            for row in (r for b in batches for r in b.to_pylist()):
+                more, of_row = Examples.of(row).loss_and_gradient(held.value)
+                loss, grad = loss + more, grad + of_row
+            yield pa.RecordBatch.from_pydict({"loss": pa.array([loss]), "grad": pa.array([grad.tobytes()], pa.binary())})
 
-        def both(a, b):
-            return b if a is None else a if b is None else (a[0] + b[0], a[1] + b[1])
-
-        depth = max(2, int(np.ceil(np.log(max(learned.getNumPartitions(), 2)) / np.log(BRANCHES))))
-        loss, grad = learned.treeAggregate(None, add, both, depth)
+        sums = learned.mapInArrow(add, "loss long, grad binary").collect()
         held.unpersist()
         penalty = np.append(w[:BUCKETS], 0.0)
-        return loss / PART / n + decay / 2 * float(penalty @ penalty), grad / PART / n + decay * penalty
+        grad = sum(np.frombuffer(r.grad, np.int64) for r in sums)
+        return sum(r.loss for r in sums) / PART / n + decay / 2 * float(penalty @ penalty), grad / PART / n + decay * penalty
 
     weights = np.rint(descend(evaluate, BUCKETS + 1, rounds) * SCALE).astype(np.int64)
 
     exact = weights / SCALE
-    held = sorted(data.where("held").select(*Examples.KINDS).rdd.map(Examples.of).flatMap(lambda x: zip(x.margins(exact).tolist(), x.good.tolist(), strict=True)).collect())
-    margin, good = np.array(held).T
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (Examples.of(r) for b in batches for r in b.to_pylist()):
+            yield pa.RecordBatch.from_pydict({"margin": row.margins(exact), "good": row.good})
+
+    held = data.where("held").select(*Examples.KINDS).mapInArrow(scored, "margin double, good byte").toPandas().sort_values(["margin", "good"])
+    margin, good = held["margin"].to_numpy(), held["good"].to_numpy()
     return Model(weights, *calibrated(margin, good == 1))
 
 
