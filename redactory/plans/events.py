@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..sources import events
+from ..sources import changelog, events
 from .registry import query, table
 
 
@@ -95,3 +95,22 @@ def src_text_lines(spark, sf):
 @query()
 def gen_corpus(spark, sf):
     return events.synthetic(spark, table(spark, sf, "orders").count())
+
+
+_LOGGED = """SELECT o_orderkey AS lsn, (o_orderkey // 50 + 1) * 50 AS commit, ['INSERT','UPDATE','DELETE','TRUNCATE'][o_orderkey % 4 + 1] AS action, CAST(o_orderkey AS VARCHAR) AS key, o_orderstatus, o_orderpriority FROM orders"""
+
+
+@query(f"SELECT lsn, commit, action, key, CASE WHEN action IN ('INSERT', 'UPDATE') THEN o_orderstatus END AS status, CASE WHEN action = 'INSERT' THEN o_orderpriority END AS priority FROM ({_LOGGED})")
+def src_change_log(spark, sf):
+    """Orders as a log of captured changes, in transactions of up to 50; updates leave out a column."""
+    from ..streaming.folders import scratch
+
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    kinds = F.element_at(F.array(*map(F.lit, ("INSERT", "UPDATE", "DELETE", "TRUNCATE"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    made = events.from_table(o, "", "public", "orders", ["o_orderkey"], action=kinds, lsn=F.col("o_orderkey"), table_id=7)
+    sent = F.when(F.col("action") == "UPDATE", events.partial(F.col("columns"), F.array(F.lit(2)))).otherwise(F.col("columns"))
+    path = scratch(spark, "change-log")
+    changelog.write(made.withColumn("columns", sent).withColumn("commit_lsn", (F.floor(F.col("commit_lsn") / 50) + 1) * 50), path)
+    value = lambda name: F.get(F.filter("columns", lambda c: c["name"] == name), 0)["value"]
+    found = changelog.read(spark, path, "localhost/orders")
+    return found.select(F.col("start_lsn").alias("lsn"), F.col("commit_lsn").alias("commit"), "action", F.get("primary_keys", 0)["value"].alias("key"), value("o_orderstatus").alias("status"), value("o_orderpriority").alias("priority"))
