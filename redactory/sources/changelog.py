@@ -93,7 +93,7 @@ class Segments:
 
     def between(self, names: list[str], after: int, upto: int) -> list[str]:
         """Those that may hold transactions with commits in ``(after, upto]``."""
-        ends = [self.begins(n) for n in names[1:]] + [None]
+        ends = [*(self.begins(n) for n in names[1:]), *([None] if names else [])]
         return [n for n, end in zip(names, ends, strict=True) if self.begins(n) <= upto and (end is None or end > after)]
 
 
