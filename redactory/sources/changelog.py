@@ -142,7 +142,9 @@ class _Reads:
         log = Segments(self.folder)
         return [Part(n, after, upto) for n in log.between(log.names(), after, upto)]
 
-    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Part | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # what Spark gives where there are no parts
+            return
         store, path = opened(self.folder)
         kind, held = to_arrow_schema(self.schema), []
         with store.open_input_stream(f"{path}/{partition.name}") as raw:
