@@ -212,7 +212,7 @@ def guarded(script: Callable[[str], list[str]], value: str | None) -> list[str]
         if bounded and len(value) > MAX_TEXT:
             return None
         out = script(value)
-        fine = isinstance(out, list) and len(out) <= MAX_ITEMS and all(isinstance(x, str) and not (bounded and len(x) > MAX_TEXT) for x in out)
+        fine = isinstance(out, list) and not (bounded and len(out) > MAX_ITEMS) and all(isinstance(x, str) and not (bounded and len(x) > MAX_TEXT) for x in out)
         return out if fine else None
     except Exception:
         return None
@@ -228,12 +228,12 @@ def _run(script: Callable[[str], list[str]]) -> Callable[[Column], Column]:
 
 
 def of_cells(script: Callable[[str], list[str]], cells: Column) -> Column:
-    """What a function finds in each of an array of cells: ``array<array<string>>``, an event at a time."""
+    """What a function finds in each of an array of cells: ``array<array<string>>``, an event at a time; null where it fails or goes over its bounds."""
 
     @F.arrow_udf("array<array<string>>")
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            yield pa.array([None if row is None else [guarded(script, t) or [] for t in row] for row in b.to_pylist()], pa.list_(pa.list_(pa.string())))
+            yield pa.array([None if row is None else [guarded(script, t) for t in row] for row in b.to_pylist()], pa.list_(pa.list_(pa.string())))
 
     return found(cells)
 

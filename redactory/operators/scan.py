@@ -107,19 +107,31 @@ def of_cell(c: Column) -> Column:
     return F.when(c["value"].isNotNull() & ~c["type_name"].isin(*events.NOT_SCANNED), c["value"])
 
 
-def scan_events(df: DataFrame, engine: Engine, where: Filter | None = None, salt: str = "") -> DataFrame:
+def scan_events(df: DataFrame, engine: Engine, where: Filter | None = None, salt: str = "", observed: str = "") -> DataFrame:
     """Findings of events whose columns are data, for all rules.
 
     An event stays one row until its findings are known, so that events that look alike
     are not mixed up and nothing is shuffled. Functions of rules get an event's cells as one array.
+
+    With a name in ``observed``, the scan counts as it goes, as metrics of that name: ``events``, ``skipped_schema`` and ``skipped_table``
+    under it, and under ``observed-failed`` the cells for which each function failed, by the rule's place among the functions.
     """
-    kept = (where or Filter()).apply(events.changes(df))
+    where = where or Filter()
+    if observed:
+        reason = F.when(F.col("action").isin(*events.ACTIONS), where.skipped(F.col("schema_name"), F.col("table_name")))
+        df = df.observe(observed, F.count(F.lit(1)).alias("events"), *[F.count_if(reason == r).alias(f"skipped_{r}") for r in ("schema", "table")])
+    kept = where.apply(events.changes(df))
     cells = F.transform("columns", of_cell)
     scripts = [r for r in engine.rules if r.kind == "script"]
-    together = F.arrays_zip(F.col("columns").alias("c"), *[of_cells(r.script, cells).alias(f"s{i}") for i, r in enumerate(scripts)])
+    for i, r in enumerate(scripts):
+        kept = kept.withColumn(f"s{i}", of_cells(r.script, cells))
+    if observed and scripts:
+        kept = kept.observe(f"{observed}-failed", *[F.coalesce(F.sum(F.size(F.filter(f"s{i}", lambda x: x.isNull()))), F.lit(0)).alias(f"n{i}") for i in range(len(scripts))])
+    together = F.arrays_zip(F.col("columns").alias("c"), *[F.col(f"s{i}") for i in range(len(scripts))])
+    nothing = F.array().cast("array<string>")
 
     def matches(z: Column) -> Column:
-        rules = [(r, z[f"s{scripts.index(r)}"] if r.kind == "script" else None) for r in engine.rules]
+        rules = [(r, F.coalesce(z[f"s{scripts.index(r)}"], nothing) if r.kind == "script" else None) for r in engine.rules]
         return _scoped(engine, engine.tagged(of_cell(z["c"]), rules), z["c"]["name"])
 
     return _findings(kept.withColumn("matches", F.flatten(F.transform(together, matches))), salt)

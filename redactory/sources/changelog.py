@@ -2,7 +2,8 @@
 
 A log is a folder of segments, files of JSON lines that are named by the commit they begin in and
 sorted by name. It holds transactions in the order of their commits: ``begin``, then inserts, updates, deletes
-and truncations, then ``commit``; a ``relation`` record says what the columns of a table are from there on. A segment's
+and truncations, then ``commit``; a ``relation`` record says what the columns of a table are from there on (one without a type is a
+key alone). A segment's
 first line repeats the relations in use and the open transaction, so that segments are read
 alone, each by a task of its own.
 
@@ -119,7 +120,7 @@ def changes_of(lines: Iterator[bytes], database: str, after: int, upto: int) ->
             cells = list(zip(sent, r.get("values", ()), strict=False))
             yield {
                 "database": database, "table_id": of["id"], "schema_name": of["schema"], "table_name": of["table"], "action": kind.upper(),
-                "columns": [{"name": n, "type_name": t, "value": None if t in NOT_SCANNED else v} for (n, t, _), v in cells] if kind in ("insert", "update") else [],
+                "columns": [{"name": n, "type_name": t, "value": None if t in NOT_SCANNED else v} for (n, t, _), v in cells if t is not None] if kind in ("insert", "update") else [],
                 "primary_keys": [{"name": n, "value": v} for (n, _, key), v in cells if key and v is not None], "start_lsn": r["lsn"], "commit_lsn": commit,
             }
 
@@ -253,7 +254,7 @@ class Segment:
             return
         keys = {k["name"]: k["value"] for k in r["primary_keys"] or ()}
         cells = [(c["name"], c["type_name"], c["value"]) for c in r["columns"] or ()]
-        cells += [(n, "text", v) for n, v in keys.items() if n not in {c[0] for c in cells}]
+        cells += [(n, None, v) for n, v in keys.items() if n not in {c[0] for c in cells}]
         columns = [[n, t, n in keys] for n, t, _ in cells]
         known = self.relations.get(r["table_id"])
         if known is None or (known["schema"], known["table"], known["columns"]) != (r["schema_name"], r["table_name"], columns):

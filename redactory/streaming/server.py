@@ -7,6 +7,8 @@ import threading
 from collections import Counter
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
+from ..operators.metrics import BUCKETS
+
 #: Names of metrics with their kind, help text and labels.
 METRICS = {
     "events": ("redactory_events_total", "counter", "Events of micro-batches", ("database",)),
@@ -24,6 +26,37 @@ METRICS = {
 }
 
 
+#: Histograms with their help texts and labels; bounds are those of :data:`metrics.BUCKETS`.
+HISTOGRAMS = {
+    "batch_size": ("Events of a micro-batch", ()),
+    "scan_duration_seconds": ("Seconds of a micro-batch from scan to delivery", ()),
+    "dispatch_duration_seconds": ("Seconds of a micro-batch's deliveries", ()),
+    "rule_scan_duration_seconds": ("Seconds that a rule took alone over a micro-batch, while profiling", ("rule_id",)),
+}
+
+
+def add_to(counts: Counter, name: str, value: float, *labels: str) -> None:
+    """One more value of a histogram; counts add up over micro-batches and jobs."""
+    counts["histogram", name, *labels, "sum"] += value
+    counts["histogram", name, *labels, "count"] += 1
+    for bound in BUCKETS[name]:
+        counts["histogram", name, *labels, bound] += value <= bound
+
+
+def _histograms(counts: Counter) -> list[str]:
+    out, held = [], {k[1:]: v for k, v in list(counts.items()) if k[0] == "histogram"}
+    for name, (said, labels) in HISTOGRAMS.items():
+        full = f"redactory_{name}"
+        out += [f"# HELP {full} {said}", f"# TYPE {full} histogram"]
+        for of in sorted(k[1:-1] for k in held if k[0] == name and k[-1] == "count"):
+            pairs = [f'{label}="{_quoted(x)}"' for label, x in zip(labels, of, strict=True)]
+            ends = [(f"{b:g}", held[name, *of, b]) for b in BUCKETS[name]] + [("+Inf", held[name, *of, "count"])]
+            out += [f"{full}_bucket{{{','.join([*pairs, f'le="{le}"'])}}} {n:g}" for le, n in ends]
+            shown = f"{{{','.join(pairs)}}}" if pairs else ""
+            out += [f"{full}_sum{shown} {held[name, *of, 'sum']:g}", f"{full}_count{shown} {held[name, *of, 'count']:g}"]
+    return out
+
+
 def _quoted(text: object) -> str:
     return str(text).replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n")
 
@@ -36,7 +69,7 @@ def render(counts: Counter) -> str:
         for of, value in sorted((k, v) for k, v in list(counts.items()) if k[0] == key):
             pairs = ",".join(f'{label}="{_quoted(x)}"' for label, x in zip(labels, of[1:], strict=True))
             out.append(f"{name}{f'{{{pairs}}}' if pairs else ''} {value:g}")
-    return "\n".join([*out, ""])
+    return "\n".join([*out, *_histograms(counts), ""])
 
 
 class Server:

@@ -12,14 +12,16 @@ import logging
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import LOG_LEVELS, SEVERITIES, keys_as_text
 from ..operators.routing import payload, route
+from .ledger import Ledger
 
 log = logging.getLogger("redactory")
 #: A colour for each severity in chat messages.
@@ -36,6 +38,18 @@ class Channel:
     def send(self, findings: DataFrame) -> None:
         raise NotImplementedError
 
+    def put(self, findings: DataFrame, job: str, number: int) -> None:
+        """Send a micro-batch's findings; files and tables replace what the same micro-batch of the same job wrote."""
+        self.send(findings)
+
+    def body(self) -> Column:
+        """What a sender gets of a finding."""
+        return payload(F.current_timestamp())
+
+    def sender(self) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]] | None:
+        """A function of rows ``(delivery, body)`` that sends them from the executors and gives :data:`ledger.DELIVERY`; none where findings are sent whole."""
+        return None
+
 
 @dataclass
 class Jsonl(Channel):
@@ -47,6 +61,9 @@ class Jsonl(Channel):
     def send(self, findings: DataFrame) -> None:
         findings.select(payload(F.current_timestamp()).alias("value")).write.mode("append").text(self.path)
 
+    def put(self, findings: DataFrame, job: str, number: int) -> None:
+        findings.select(payload(F.current_timestamp()).alias("value")).write.mode("overwrite").text(f"{self.path}/job={job}/micro_batch={number}")
+
 
 @dataclass
 class Table(Channel):
@@ -56,12 +73,20 @@ class Table(Channel):
     name: str = "table"
     options: dict = field(default_factory=dict)
 
-    def send(self, findings: DataFrame) -> None:
+    def rows(self, findings: DataFrame) -> DataFrame:
         columns = ["database", "rule_id", "description", "category", "severity", "schema_name", "table_name", "column_name", "masked_sample"]
-        rows = findings.select(*columns, F.to_json(F.map_from_entries("primary_keys")).alias("primary_key"), "lsn", F.current_timestamp().alias("detected_at"))
-        writer = rows.write.mode("append")
+        return findings.select(*columns, F.to_json(F.map_from_entries("primary_keys")).alias("primary_key"), "lsn", F.current_timestamp().alias("detected_at"))
+
+    def send(self, findings: DataFrame) -> None:
+        writer = self.rows(findings).write.mode("append")
         writer.format("jdbc").options(**self.options).save() if self.options else writer.parquet(self.path)
 
+    def put(self, findings: DataFrame, job: str, number: int) -> None:
+        if self.options:
+            self.send(findings)
+        else:
+            self.rows(findings).write.mode("overwrite").parquet(f"{self.path}/job={job}/micro_batch={number}")
+
 
 @dataclass
 class Log(Channel):
@@ -115,6 +140,33 @@ class Webhook(Channel):
 
         findings.select(payload(F.current_timestamp()).alias("value")).foreachPartition(partition)
 
+    def sender(self) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        url, headers, timeout = self.url, self.headers, self.timeout
+        return lambda parts: _sent(parts, 1, lambda bodies: post(url, bodies[0].encode(), headers, timeout))
+
+
+def _sent(parts: Iterator[pd.DataFrame], size: int, send: Callable[[list[str]], None]) -> Iterator[pd.DataFrame]:
+    """Rows ``(delivery, body)`` in groups of up to ``size``, sent one after the other; a group that fails does not keep the others."""
+    ids, bodies = [], []
+
+    def out() -> pd.DataFrame:
+        error = None
+        try:
+            send(bodies)
+        except Exception as e:
+            error = f"{type(e).__name__}: {e}"
+        return pd.DataFrame({"delivery": ids, "ok": [error is None] * len(ids), "error": [error] * len(ids)})
+
+    for part in parts:
+        for delivery, body in zip(part["delivery"], part["body"], strict=True):
+            ids.append(delivery)
+            bodies.append(body)
+            if len(ids) == size:
+                yield out()
+                ids, bodies = [], []
+    if ids:
+        yield out()
+
 
 def message(findings: list[dict]) -> dict:
     """A chat message: four blocks for one finding, else a header and two blocks each with dividers; coloured by the gravest."""
@@ -161,6 +213,22 @@ class Chat(Channel):
         # Severities stay as they are inside messages; payloads have them in capitals.
         findings.select(payload().alias("value")).foreachPartition(partition)
 
+    def body(self) -> Column:
+        return payload()
+
+    def sender(self) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        size, send = self.batch_size, self._posts()
+        return lambda parts: _sent(parts, size, send)
+
+    def message_sender(self) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        """Of rows ``(delivery, bodies)``, a message each."""
+        send = self._posts()
+        return lambda parts: _sent((p.rename(columns={"bodies": "body"}) for p in parts), 1, lambda one: send(list(one[0])))
+
+    def _posts(self) -> Callable[[list[str]], None]:
+        url, retries = self.url, self.retries
+        return lambda bodies: post(url, json.dumps(message([json.loads(b) for b in bodies])).encode(), {}, retries=retries)
+
 
 def numbered(channels: list[Channel]) -> list[Channel]:
     """Names for several channels of one kind: ``webhook``, or ``webhook-1``, ``webhook-2`` where there are more; repeated names are only warned of."""
@@ -174,8 +242,11 @@ def numbered(channels: list[Channel]) -> list[Channel]:
     return channels
 
 
-def dispatch(findings: DataFrame, channels: list[Channel], also: Column | None = None) -> dict[tuple[str, str], int]:
-    """Send to every channel what is meant for it; returns how many findings went out, by (channel, ``ok`` or ``error``)."""
+def dispatch(findings: DataFrame, channels: list[Channel], also: Column | None = None, ledger: Ledger | None = None, number: int = 0) -> dict[tuple[str, str], int]:
+    """Send to every channel what is meant for it; returns how many findings went out, by (channel, ``ok`` or ``error``).
+
+    With a ledger, what it says of the micro-batch ``number`` is not sent again.
+    """
     routed = route(findings if also is None else findings.where(also), [c.name for c in channels]).persist()
     counts = {}
     try:
@@ -183,13 +254,18 @@ def dispatch(findings: DataFrame, channels: list[Channel], also: Column | None =
         for c in channels:
             if not sizes.get(c.name):
                 continue
+            mine = routed.where(F.col("channel") == c.name).drop("channel")
             try:
-                c.send(routed.where(F.col("channel") == c.name).drop("channel"))
-                status = "ok"
+                if ledger:
+                    went = ledger.deliver(c, mine, number)
+                else:
+                    c.send(mine)
+                    went = {"ok": sizes[c.name]}
             except Exception:
                 log.exception("channel %s failed", c.name)
-                status = "error"
-            counts[c.name, status] = counts.get((c.name, status), 0) + sizes[c.name]
+                went = {"error": sizes[c.name]}
+            for status, n in went.items():
+                counts[c.name, status] = counts.get((c.name, status), 0) + n
     finally:
         routed.unpersist()
     return counts
