@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import sql
 from ..sources import changelog, events
 from .registry import query, table
 
@@ -114,3 +115,14 @@ def src_change_log(spark, sf):
     value = lambda name: F.get(F.filter("columns", lambda c: c["name"] == name), 0)["value"]
     found = changelog.read(spark, path, "localhost/orders")
     return found.select(F.col("start_lsn").alias("lsn"), F.col("commit_lsn").alias("commit"), "action", F.get("primary_keys", 0)["value"].alias("key"), value("o_orderstatus").alias("status"), value("o_orderpriority").alias("priority"))
+
+
+@query("""SELECT p_partkey, n AS place, ['p_partkey','p_name','p_brand','p_size'][n + 1] AS name, ['int8','text','text','int4'][n + 1] AS type_name, n IN (1, 2) AS scanned, CASE n WHEN 1 THEN p_name IS NOT NULL WHEN 2 THEN p_size % 3 <> 0 ELSE false END AS has_value,
+CASE WHEN p_partkey % 4 = 0 THEN NULL WHEN p_partkey % 4 = 1 THEN '{"kind":"none","columns":[]}' ELSE '{"kind":"keys","columns":["p_partkey"]}' END AS identity FROM part, (SELECT unnest(range(0, 4)) AS n)""")
+def sql_table_function(spark, sf):
+    """Columns of captured parts by a lateral join with a table function; a scalar one, null for null, says what keys are."""
+    sql.register(spark)
+    p = table(spark, sf, "part").select(F.col("p_partkey").cast("bigint"), "p_name", F.when(F.col("p_size") % 3 != 0, F.col("p_brand")).alias("p_brand"), F.col("p_size").cast("int"))
+    made = events.from_table(p, "", "public", "part", ["p_partkey"], lsn=F.col("p_partkey"))
+    keys = F.when(F.col("commit_lsn") % 4 == 1, F.array().cast(events.KEYS)).when(F.col("commit_lsn") % 4 != 0, F.col("primary_keys"))
+    return spark.sql("SELECT commit_lsn AS p_partkey, CAST(place AS BIGINT) AS place, name, type_name, scanned, has_value, describe_identity(given) AS identity FROM {made} JOIN LATERAL describe_columns(columns)", made=made.withColumn("given", keys))

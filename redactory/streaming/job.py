@@ -25,7 +25,7 @@ from .folders import scratch
 from .ledger import Ledger
 from .messages import together
 from .server import Server, add_to
-from .sinks import Channel, Chat, dispatch
+from .sinks import Channel, Chat, Outbox, dispatch
 
 log = logging.getLogger("redactory")
 
@@ -191,7 +191,7 @@ def profile(df: DataFrame, engine: Engine, where: Filter | None, counts: Counter
         df.unpersist()
 
 
-def chat(findings: DataFrame, channel: Chat, checkpoint: str, age_ms: int = 2000, shards: int = 1, trigger: dict | None = None, counts: Counter | None = None) -> StreamingQuery:
+def chat(findings: DataFrame, channel: Chat, checkpoint: str, age_ms: int = 2000, shards: int = 1, trigger: dict | None = None, counts: Counter | None = None, name: str | None = None) -> StreamingQuery:
     """Messages of a stream of findings that close by size or by age, whatever micro-batches findings came in."""
     held = together(findings.select(channel.body().alias("body")), channel.batch_size, age_ms, shards)
     counts, ledger = counts if counts is not None else Counter(), Ledger(findings.sparkSession, f"{checkpoint.rstrip('/')}/ledger", channel.name)
@@ -202,7 +202,9 @@ def chat(findings: DataFrame, channel: Chat, checkpoint: str, age_ms: int = 2000
             counts["alerts", channel.name, status] += n
 
     writer = held.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-    return (writer.trigger(**trigger) if trigger else writer).start()
+    writer = writer.queryName(name) if name else writer
+    with _STARTING:
+        return (writer.trigger(**trigger) if trigger else writer).start()
 
 
 class Window:
@@ -299,12 +301,21 @@ def run_all(spark, config, trigger: dict | None = None, counts: Counter | None =
 
         used: list[Engine] = []
 
+        # A stream that goes on puts findings for chats on a table, from which a query of its own makes messages by size and age.
+        held = {c.name: Outbox(f"{base}/{name.replace('/', '-')}-{c.name}", c.name) for c in channels if isinstance(c, Chat)} if not trigger or "processingTime" in trigger else {}
+        sending: list[StreamingQuery] = []
+
         def start() -> StreamingQuery:
             used[:] = [rules.current()]
+            for c in channels:
+                if c.name in held and not any(q.name == f"{name} {c.name}" and q.isActive for q in sending):
+                    sending.append(chat(held[c.name].stream(spark), c, f"{base}/{name.replace('/', '-')}-{c.name}-sent", c.age_ms, counts=counts, trigger={"processingTime": "500 milliseconds"}, name=f"{name} {c.name}"))
             events = source(spark, d["source"], int(raw["pipeline"]["max_files_per_trigger"])).withColumn("database", F.lit(name))
-            return run(events, rules, channels, f"{base}/{name.replace('/', '-')}", config.filter_of(d), int(raw["alerts"]["dedup_window_secs"] * 1000), trigger, counts, bool(raw["profiling"]), name)
+            return run(events, rules, [held.get(c.name, c) for c in channels], f"{base}/{name.replace('/', '-')}", config.filter_of(d), int(raw["alerts"]["dedup_window_secs"] * 1000), trigger, counts, bool(raw["profiling"]), name)
 
         ended[name] = supervised(start, counts, name, int(raw["pipeline"]["retry_max_attempts"]), raw["pipeline"]["retry_delay_ms"] / 1000, changed=lambda: rules.engine is not used[0])
+        for q in sending:
+            q.stop()
 
     threads = [threading.Thread(target=one, args=(d,)) for d in raw["databases"]]
     for t in threads:

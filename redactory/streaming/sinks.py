@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import LOG_LEVELS, SEVERITIES, keys_as_text
@@ -88,6 +88,27 @@ class Table(Channel):
             self.rows(findings).write.mode("overwrite").parquet(f"{self.path}/job={job}/micro_batch={number}")
 
 
+@dataclass
+class Outbox(Channel):
+    """Findings as they are, for another query to stream: a micro-batch that is done again adds nothing."""
+
+    path: str
+    name: str
+
+    def send(self, findings: DataFrame) -> None:
+        findings.write.mode("append").parquet(self.path)
+
+    def put(self, findings: DataFrame, job: str, number: int) -> None:
+        self.send(findings)
+
+    def stream(self, spark: SparkSession) -> DataFrame:
+        from ..operators.scan import FINDING
+
+        empty = spark.createDataFrame([], f"{FINDING}, place int")
+        empty.write.mode("append").parquet(self.path)  # so that the folder is there
+        return spark.readStream.schema(empty.schema).parquet(self.path)
+
+
 @dataclass
 class Log(Channel):
     """The driver's log, by severity; for the few findings a person reads."""
@@ -196,6 +217,8 @@ class Chat(Channel):
     batch_size: int = 8
     retries: int = 3
     name: str = "slack"
+    #: How long a finding waits for others, where a stream goes on.
+    age_ms: int = 2000
 
     def send(self, findings: DataFrame) -> None:
         url, size, retries = self.url, self.batch_size, self.retries

@@ -193,11 +193,11 @@ def test_findings_wait_between_micro_batches(spark, tmp_path, web):
             scan_events(rows_of(spark, [f"ALPHA-{i}"], i), engine).write.mode("append").parquet(src)
         until(lambda: len(web.got) == 1)  # full, from three files
         scan_events(rows_of(spark, ["ALPHA-9"], 9), engine).write.mode("append").parquet(src)
-        until(lambda: len(web.got) == 2)  # by age, without more findings
+        until(lambda: counts["alerts", "slack", "ok"] == 2)  # by age, without more findings
     finally:
         q.stop()
     assert web.got[0]["attachments"][0]["blocks"][0]["text"]["text"] == "3 Sensitive Data Findings" and len(web.got[1]["attachments"][0]["blocks"]) == 4
-    assert counts["alerts", "slack", "ok"] == 2
+    assert len(web.got) == 2
 
 
 def test_live_counts_equal_those_of_a_batch(spark, tmp_path):
@@ -232,3 +232,30 @@ def test_functions_of_python_have_no_item_bound(spark):
     assert scan_table(df, Engine([many]), "d", "s", "t", ["id"]).count() == 1200
     bounded = Rule("many", category="CAT", severity="low", kind="script", script="def detect(value):\n    return [value + str(i) for i in range(0 if value == '' else 1200)]\n")
     assert scan_table(df, Engine([bounded]), "d", "s", "t", ["id"]).count() == 0
+
+
+def test_chats_of_a_job_wait_by_age(spark, tmp_path, web):
+    """Two micro-batches of one finding each make one message."""
+    src = tmp_path / "in"
+    rows_of(spark, ["ALPHA-1"]).write.parquet(str(src))
+    (tmp_path / "rules.toml").write_text(RULES)
+    (tmp_path / "c.toml").write_text(f"""rules = "rules.toml"
+store = {{ type = "checkpoint", path = "{tmp_path}/store" }}
+[[databases]]
+host = "h"
+name = "a"
+source = {{ path = "{src}" }}
+""")
+    config, counts, ended = Config.load(tmp_path / "c.toml", {}), Counter(), []
+    config.channels = lambda: [sinks.Chat(web.url, age_ms=12_000)]
+    t = threading.Thread(target=lambda: ended.append(job.run_all(spark, config, {"processingTime": "200 milliseconds"}, counts)))
+    t.start()
+    until(lambda: counts["findings", "h/a", "CAT", "critical"] == 1)
+    rows_of(spark, ["ALPHA-2"], 5).write.mode("append").parquet(str(src))
+    until(lambda: counts["findings", "h/a", "CAT", "critical"] == 2)
+    until(lambda: web.got)
+    for q in spark.streams.active:
+        if not q.name:
+            q.stop()
+    t.join(60)
+    assert [m["attachments"][0]["blocks"][0]["text"]["text"] for m in web.got] == ["2 Sensitive Data Findings"] and ended == [{"h/a": "exited"}]
