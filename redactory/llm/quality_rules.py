@@ -40,8 +40,8 @@ from .storage import Scratch, small_batches
 BYTES = 1 << 16
 #: Shares are multiplied by this, so that one step fits weights of common and rare n-grams.
 SHARE = 30.0
-#: Bytes of features in a row, and more by less than one text's.
-ROW = 1 << 18
+#: Bytes of features in a row, and more by less than one text's: files are written in pages of at least 100 rows.
+ROW = 1 << 14
 #: Texts learned from in one task: a task gives a tensor of all buckets.
 TASK = 1000
 #: Gradients and losses are counted in parts of this size.
@@ -118,8 +118,8 @@ class Examples:
     KINDS = {"good": np.int8, "sizes": np.int32, "buckets": np.int32, "shares": np.float32}
 
     @classmethod
-    def of(cls, row) -> Examples:
-        return cls(**{name: np.frombuffer(row[name], kind) for name, kind in cls.KINDS.items()})
+    def of(cls, batch: pa.RecordBatch) -> Examples:
+        return cls(**{name: np.frombuffer(b"".join(batch.column(name).to_pylist()), kind) for name, kind in cls.KINDS.items()})
 
     def margins(self, w: np.ndarray) -> np.ndarray:
         edges = np.concatenate([[0], np.cumsum(self.sizes)])
@@ -275,9 +275,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             loss, grad = 0, np.zeros(BUCKETS + 1, np.int64)
-            for row in (r for b in batches for r in b.to_pylist()):
-                more, of_row = Examples.of(row).loss_and_gradient(held.value)
-                loss, grad = loss + more, grad + of_row
+            for b in batches:
+                more, of_batch = Examples.of(b).loss_and_gradient(held.value)
+                loss, grad = loss + more, grad + of_batch
             yield pa.RecordBatch.from_pydict({"loss": pa.array([loss]), "grad": pa.array([grad.tobytes()], pa.binary())})
 
         sums = learned.mapInArrow(add, "loss long, grad binary").collect()
@@ -291,8 +291,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     exact = weights / SCALE
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in (Examples.of(r) for b in batches for r in b.to_pylist()):
-            yield pa.RecordBatch.from_pydict({"margin": row.margins(exact), "good": row.good})
+        for b in batches:
+            found = Examples.of(b)
+            yield pa.RecordBatch.from_pydict({"margin": found.margins(exact), "good": found.good})
 
     held = data.where("held").select(*Examples.KINDS).mapInArrow(scored, "margin double, good byte").toPandas().sort_values(["margin", "good"])
     margin, good = held["margin"].to_numpy(), held["good"].to_numpy()
