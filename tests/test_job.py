@@ -87,7 +87,7 @@ def test_rules_change_inside_a_window_while_the_job_runs(spark, tmp_path):
     until(lambda: len(runs) == 2)
     rows_of(spark, ["ALPHA-1", "BETA-1", "BETA-1", "ALPHA-2"], 20).write.mode("append").parquet(str(src))
     until(lambda: any(r.rule_id == "beta" for r in kept.rows))
-    until(lambda: counts["suppressed", "h/d"] == 4)
+    until(lambda: counts["suppressed", "h/d"] == 4 and counts["events", "h/d"] == 8)  # the latter once the micro-batch is committed
     rules.write_text(RULES)  # and back, to end it
     held.current()
     used[:] = [held.engine]
