@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import dedup, metrics, routing, scan
 from ..operators.rules import Allowlist, Engine, Rule, load
 from . import detect
-from .registry import query, table
+from .registry import SQL, query, table
 
 SHIPPED = Path(__file__).parent.parent / "rules.toml"
 #: A pattern of a secret that the test tables hold.
@@ -212,10 +212,13 @@ def agg_highest_severity(spark, sf):
     return metrics.gravest(findings(spark, sf), "category")
 
 
-@query("SELECT 'builtin' AS kind, 5 AS n UNION ALL SELECT 'regex', 17")
+@query(f"SELECT 'regex' AS kind, count(DISTINCT rule_id) AS rules, count(*) AS n FROM ({SQL['secrets_scan']}) UNION ALL SELECT 'builtin', count(DISTINCT rule_id), count(*) FROM ({SQL['scan_findings']}) WHERE rule_id IN ('card', 'email')")
 def agg_rules_by_type(spark, sf):
-    kinds = spark.createDataFrame([(r.kind,) for r in load(SHIPPED)], "kind string")
-    return metrics.count_by(kinds, "kind").withColumn("n", F.col("n").cast("int"))
+    """Rules by type that found something, and how much, over documents, pages and orders."""
+    detectors = [r.id for r in _engine().rules if r.kind == "builtin"]
+    made = [(secrets_scan(spark, sf), "regex"), (scan_findings(spark, sf).where(F.col("rule_id").isin(*detectors)), "builtin")]
+    found = [df.agg(F.count_distinct("rule_id").alias("rules"), F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "rules", "n") for df, kind in made]
+    return found[0].unionByName(found[1])
 
 
 _BOUNDS = metrics.BUCKETS["batch_size"]
