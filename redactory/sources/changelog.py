@@ -54,7 +54,7 @@ def qualified(spark: SparkSession, folder: str) -> str:
     """``folder`` with the scheme that Hadoop takes for it: drivers and executors then mean the same place."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toUri()
-    if full.getScheme() == "file" and not spark.sparkContext.master.startswith("local"):
+    if full.getScheme() == "file" and not urlparse(folder).scheme and not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"executors may not share {folder}: name a folder of a shared store, or a mounted one as file://")
     return f"file://{full.getPath()}" if full.getScheme() == "file" else full.toString()
 
