@@ -33,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.changelog import qualified
 from .storage import small_batches
 
 #: Stands for no id in files.
@@ -191,12 +192,13 @@ class _File:
 def write(df: DataFrame, folder: str, vocabulary: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", files: int | None = None) -> DataFrame:
     """Write the files below ``folder``; return ``(shard int, width int, base long, n_docs long, n_ids long)``, a row a file; ``width`` is bytes an id.
 
+    ``folder`` without a scheme is of Hadoop's default file system, for tasks too; on a cluster that may not be each machine's own disk.
     ``files`` defaults to the number of shuffle partitions. The rows returned are
     as many as there are files, not documents.
     """
     spark = df.sparkSession
     small_batches(spark)
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files, folder = files or int(spark.conf.get("spark.sql.shuffle.partitions")), qualified(spark, folder)
     _make(spark, folder)
 
     def write_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,6 +260,7 @@ def _opened(folder: str, name: str, kind: str) -> Callable[[int, int], np.ndarra
 
 def read(shards: DataFrame, folder: str, block: int = 10_000) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32)`` for each document, from the files alone."""
+    folder = qualified(shards.sparkSession, folder)
 
     def read_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
