@@ -83,7 +83,7 @@ class Config:
         for key, kind in (("jsonl", Jsonl), ("table", Table)):
             if key in a:
                 out.append(kind(**a[key]))
-        out += [Webhook(**w | {"url": secret(w["url"])}) for w in a.get("webhook", [])] + [Chat(**w | {"url": secret(w["url"])}) for w in a.get("slack", [])]
+        out += [Webhook(**w | {"url": secret(w["url"])}) for w in a.get("webhook", [])] + [Chat(**w | {"url": secret(w["url"])} | ({"token": secret(w["token"])} if "token" in w else {})) for w in a.get("slack", [])]
         return numbered(out)
 
 

@@ -189,24 +189,33 @@ def _sent(parts: Iterator[pd.DataFrame], size: int, send: Callable[[list[str]],
         yield out()
 
 
-def message(findings: list[dict]) -> dict:
-    """A chat message: four blocks for one finding, else a header and two blocks each with dividers; coloured by the gravest."""
-    text = lambda s: {"type": "mrkdwn", "text": s}
-    place = lambda f: f"`{f['schema_name']}.{f['table_name']}.{f['column_name']}` in {f['database']}"
-    sign = lambda f: SIGNS[f["severity"].lower()]
+def message(findings: list[dict], **sender: str | None) -> dict:
+    """A chat message, coloured by the gravest: one finding as what, where, sample and place in the log, more as a heading and two blocks each.
+
+    ``sender`` has what a message says of itself: ``channel``, ``username``, ``icon_emoji``; what is none is left out.
+    """
+
+    def text(said: str) -> dict:
+        return {"type": "mrkdwn", "text": said}
+
+    def title(f: dict) -> str:
+        return f"{SIGNS[f['severity'].lower()]} *{f['severity'].upper()}* \u2014 {f.get('description') or f['rule_id']}"
+
     gravest = min((f["severity"].lower() for f in findings), key=SEVERITIES.index)
     if len(findings) == 1:
         f = findings[0]
+        named = {"Rule": f["rule_id"], "Category": f["category"], "Database": f["database"], "Table": f"{f['schema_name']}.{f['table_name']}", "Column": f["column_name"]}
         blocks = [
-            {"type": "header", "text": {"type": "plain_text", "text": f"{sign(f)} {f['severity'].upper()}: {f['rule_id']}"}}, {"type": "section", "text": text(f.get("description") or f["rule_id"])},
-            {"type": "section", "fields": [text(place(f)), text(f"`{f['masked_sample']}`")]}, {"type": "context", "elements": [text(f"{f['category']} at {f['lsn']}")]},
+            {"type": "section", "text": text(title(f))}, {"type": "section", "fields": [text(f"*{name}*\n{value}") for name, value in named.items()]},
+            {"type": "section", "text": text(f"*Sample*\n`{f['masked_sample']}`")}, {"type": "context", "elements": [text(f"LSN: {f['lsn']}")]},
         ]
     else:
-        blocks = [{"type": "header", "text": {"type": "plain_text", "text": f"{len(findings)} Sensitive Data Findings"}}]
+        blocks = [{"type": "header", "text": {"type": "plain_text", "text": f"{SIGNS[gravest]} {len(findings)} Sensitive Data Findings"}}]
         for i, f in enumerate(findings):
+            where = " \u00b7 ".join([f"`{f['database']}`", f"`{f['schema_name']}.{f['table_name']}.{f['column_name']}`", f"Rule: *{f['rule_id']}*", f"Category: *{f['category']}*", f"LSN: `{f['lsn']}`"])
             blocks += [{"type": "divider"}] if i else []
-            blocks += [{"type": "section", "text": text(f"{sign(f)} *{f['severity'].upper()}* {f['rule_id']}: {place(f)}")}, {"type": "context", "elements": [text(f"`{f['masked_sample']}` {f['category']}")]}]
-    return {"attachments": [{"color": COLOURS[gravest], "blocks": blocks}]}
+            blocks += [{"type": "section", "text": text(f"{title(f)}\nSample: `{f['masked_sample']}`")}, {"type": "context", "elements": [text(where)]}]
+    return {name: said for name, said in sender.items() if said} | {"attachments": [{"color": COLOURS[gravest], "blocks": blocks}]}
 
 
 @dataclass
@@ -219,19 +228,24 @@ class Chat(Channel):
     name: str = "slack"
     #: How long a finding waits for others, where a stream goes on.
     age_ms: int = 2000
+    channel: str | None = None
+    username: str | None = None
+    icon_emoji: str | None = None
+    #: Of servers that want one, as a bearer.
+    token: str | None = None
 
     def send(self, findings: DataFrame) -> None:
-        url, size, retries = self.url, self.batch_size, self.retries
+        size, send = self.batch_size, self._posts()
 
         def partition(rows) -> None:
-            held: list[dict] = []
+            held: list[str] = []
             for r in rows:
-                held.append(json.loads(r.value))
+                held.append(r.value)
                 if len(held) == size:
-                    post(url, json.dumps(message(held)).encode(), {}, retries=retries)
+                    send(held)
                     held = []
             if held:
-                post(url, json.dumps(message(held)).encode(), {}, retries=retries)
+                send(held)
 
         # Severities stay as they are inside messages; payloads have them in capitals.
         findings.select(payload().alias("value")).foreachPartition(partition)
@@ -250,7 +264,9 @@ class Chat(Channel):
 
     def _posts(self) -> Callable[[list[str]], None]:
         url, retries = self.url, self.retries
-        return lambda bodies: post(url, json.dumps(message([json.loads(b) for b in bodies])).encode(), {}, retries=retries)
+        sender = {"channel": self.channel, "username": self.username, "icon_emoji": self.icon_emoji}
+        headers = {"Authorization": f"Bearer {self.token}"} if self.token else {}
+        return lambda bodies: post(url, json.dumps(message([json.loads(b) for b in bodies], **sender)).encode(), headers, retries=retries)
 
 
 def numbered(channels: list[Channel]) -> list[Channel]:

@@ -196,7 +196,7 @@ def test_findings_wait_between_micro_batches(spark, tmp_path, web):
         until(lambda: counts["alerts", "slack", "ok"] == 2)  # by age, without more findings
     finally:
         q.stop()
-    assert web.got[0]["attachments"][0]["blocks"][0]["text"]["text"] == "3 Sensitive Data Findings" and len(web.got[1]["attachments"][0]["blocks"]) == 4
+    assert web.got[0]["attachments"][0]["blocks"][0]["text"]["text"] == f"{sinks.SIGNS['high']} 3 Sensitive Data Findings" and len(web.got[1]["attachments"][0]["blocks"]) == 4
     assert len(web.got) == 2
 
 
@@ -258,4 +258,4 @@ source = {{ path = "{src}" }}
         if not q.name:
             q.stop()
     t.join(60)
-    assert [m["attachments"][0]["blocks"][0]["text"]["text"] for m in web.got] == ["2 Sensitive Data Findings"] and ended == [{"h/a": "exited"}]
+    assert [m["attachments"][0]["blocks"][0]["text"]["text"] for m in web.got] == [f"{sinks.SIGNS['critical']} 2 Sensitive Data Findings"] and ended == [{"h/a": "exited"}]

@@ -88,7 +88,7 @@ def test_webhooks_and_chat(spark):
                 self.send_header("Retry-After", "1")
             self.end_headers()
             if not busy:
-                got.append((self.path, self.headers.get("X-Key"), body))
+                got.append((self.path, self.headers.get("X-Key") or self.headers.get("Authorization"), body))
 
         def log_message(self, *args):
             pass
@@ -98,19 +98,25 @@ def test_webhooks_and_chat(spark):
     url = f"http://127.0.0.1:{server.server_port}"
     found = scan_cells(_rows(spark, [f"ALPHA-{i}" for i in range(10)]).coalesce(1), Engine([Rule("alpha", category="CAT", severity="high", pattern=r"ALPHA-\d+")])).coalesce(1)
     sinks.Webhook(f"{url}/hook", {"X-Key": "k"}).send(found)
-    sinks.Chat(f"{url}/chat", batch_size=8).send(found)
+    sinks.Chat(f"{url}/chat", batch_size=8, channel="#alerts", token="t0k").send(found)
     server.shutdown()
     hooks, chats = ([x for x in got if x[0] == p] for p in ("/hook", "/chat"))
     assert len(hooks) == 10 and hooks[0][1] == "k" and hooks[0][2]["severity"] == "HIGH"
     heads = sorted(c[2]["attachments"][0]["blocks"][0]["text"]["text"] for c in chats)
-    assert heads == ["2 Sensitive Data Findings", "8 Sensitive Data Findings"]
+    assert {c[1] for c in chats} == {"Bearer t0k"} and {c[2]["channel"] for c in chats} == {"#alerts"}
+    assert heads == [f"{sinks.SIGNS['high']} {n} Sensitive Data Findings" for n in (2, 8)]
 
 
 def test_messages():
     f = {"schema_name": "s", "table_name": "t", "column_name": "c", "database": "d", "severity": "LOW", "rule_id": "r", "masked_sample": "**", "category": "C", "lsn": 1}
     assert len(sinks.message([f])["attachments"][0]["blocks"]) == 4
     many = sinks.message([f, f | {"severity": "CRITICAL"}, f])["attachments"][0]
-    assert many["color"] == sinks.COLOURS["critical"] and many["blocks"][0]["text"]["text"] == "3 Sensitive Data Findings"
+    assert many["color"] == sinks.COLOURS["critical"] and many["blocks"][0]["text"]["text"] == f"{sinks.SIGNS['critical']} 3 Sensitive Data Findings"
+    one = sinks.message([f | {"description": "What"}], channel="#alerts", username="bot", icon_emoji=None)
+    assert one["channel"] == "#alerts" and one["username"] == "bot" and "icon_emoji" not in one
+    first, fields, sample, context = one["attachments"][0]["blocks"]
+    assert first["text"]["text"].endswith("*LOW* \u2014 What") and [x["text"].split("\n") for x in fields["fields"]] == [["*Rule*", "r"], ["*Category*", "C"], ["*Database*", "d"], ["*Table*", "s.t"], ["*Column*", "c"]]
+    assert sample["text"]["text"] == "*Sample*\n`**`" and context["elements"][0]["text"] == "LSN: 1"
 
 
 def test_waits_double():
