@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import dedup, metrics, routing, scan
 from ..operators.rules import Allowlist, Engine, Rule, load
+from ..streaming import sinks
+from ..streaming.folders import scratch
+from ..streaming.ledger import Ledger
 from . import detect
 from .registry import SQL, query, table
 
@@ -172,8 +175,26 @@ def route_findings(spark, sf):
 
 @query(f"SELECT channel, CASE WHEN channel = 'archive' AND lsn % 10 = 0 THEN 'error' ELSE 'ok' END AS status, count(*) AS n FROM {_ROUTED} GROUP BY ALL")
 def agg_alerts_total(spark, sf):
-    sent = routing.route(findings(spark, sf), _CHANNELS).withColumn("status", F.when((F.col("channel") == "archive") & (F.col("lsn") % 10 == 0), "error").otherwise("ok"))
-    return metrics.count_by(sent, "channel", "status")
+    """What a dispatch with a ledger counts, one of whose channels refuses each tenth finding."""
+    ledger = Ledger(spark, scratch(spark, "ledger"), "batch")
+    channels = [_Refusing(c) if c == "archive" else sinks.Table(scratch(spark, c), name=c) for c in _CHANNELS]
+    sent = sinks.dispatch(findings(spark, sf), channels, ledger=ledger, number=0)
+    return spark.createDataFrame([(*key, n) for key, n in sent.items()], "channel string, status string, n long")
+
+
+class _Refusing(sinks.Channel):
+    def __init__(self, name: str):
+        self.name = name
+
+    def body(self):
+        return F.col("lsn").cast("string")
+
+    def sender(self):
+        def send(bodies: list[str]) -> None:
+            if int(bodies[0]) % 10 == 0:
+                raise OSError("refused")
+
+        return lambda parts: sinks.each(parts, 1, send)
 
 
 @query("SELECT rule_id, channel FROM (SELECT 'r' || CAST(n_nationkey AS VARCHAR) AS rule_id, unnest([['log', 'pager'], ['archive'], ['mail', 'security']][n_nationkey % 3 + 1]) AS channel FROM nation) WHERE channel NOT IN ('log', 'security', 'archive')")

@@ -163,10 +163,10 @@ class Webhook(Channel):
 
     def sender(self) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
         url, headers, timeout = self.url, self.headers, self.timeout
-        return lambda parts: _sent(parts, 1, lambda bodies: post(url, bodies[0].encode(), headers, timeout))
+        return lambda parts: each(parts, 1, lambda bodies: post(url, bodies[0].encode(), headers, timeout))
 
 
-def _sent(parts: Iterator[pd.DataFrame], size: int, send: Callable[[list[str]], None]) -> Iterator[pd.DataFrame]:
+def each(parts: Iterator[pd.DataFrame], size: int, send: Callable[[list[str]], None]) -> Iterator[pd.DataFrame]:
     """Rows ``(delivery, body)`` in groups of up to ``size``, sent one after the other; a group that fails does not keep the others."""
     ids, bodies = [], []
 
@@ -255,12 +255,12 @@ class Chat(Channel):
 
     def sender(self) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
         size, send = self.batch_size, self._posts()
-        return lambda parts: _sent(parts, size, send)
+        return lambda parts: each(parts, size, send)
 
     def message_sender(self) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
         """Of rows ``(delivery, bodies)``, a message each."""
         send = self._posts()
-        return lambda parts: _sent((p.rename(columns={"bodies": "body"}) for p in parts), 1, lambda one: send(list(one[0])))
+        return lambda parts: each((p.rename(columns={"bodies": "body"}) for p in parts), 1, lambda one: send(list(one[0])))
 
     def _posts(self) -> Callable[[list[str]], None]:
         url, retries = self.url, self.retries
