@@ -1,30 +1,38 @@
 """Personal data in texts: fixed patterns and a skip-chain conditional random field.
 
-Method. Four patterns (email, ip, card, phone) give base spans. Tokens with a digit
-or ``@`` are the nodes of a conditional random field; all other tokens are fixed
-at "other" and only seen as neighbours. Nodes next to each other are joined by
-chain potentials; a node is also joined to the last earlier node of the document
-with the same token, or with a similar one (the same last seven digits, the same
-mailbox), by skip potentials. Loopy message passing gives each node's marginals
-over the whole document, so that what is recognised at one place is recognised at
-the others. Nodes inside base spans are observed. A node outside them whose
-marginal for a kind reaches ``least`` is added; neighbours of one kind are one
-span. Base spans always stay.
-
-The field is trained on the base spans of about ``train_docs`` documents, picked
-by a hash of their text (a bound on the fit alone; every whole text is searched):
-local potentials by multinomial logistic regression, chain potentials by the
-association of the labels at both ends, and the skip potential by how often the ends
-agree, one of them being in a span. As the labels come from the patterns, which
-miss what the field is to find, agreement starts from ``AGREE`` pairs.
+Method. Four patterns (email, ip, card, phone) give base spans, which are observed
+nodes of a conditional random field. Its other nodes are runs of number tokens
+("415 555 2671" is one), other tokens with a digit or ``@``, ``name(at)host``, and the
+mailboxes of the document's emails; all other tokens are fixed at "other" and only seen
+as neighbours. Nodes next to each other are joined by chain potentials; a node is also
+joined to the last earlier node of the document with the same token, or with a similar
+one (the same last seven digits, the same four number groups, the same mailbox), by
+skip potentials. Loopy message passing gives each node's marginals over the whole
+document, so that what is recognised at one place is recognised at the others. A node
+outside base spans whose marginal for a kind reaches ``least`` is added; neighbours of
+one kind are one span. Base spans always stay.
+
+Local, chain and skip potentials are trained together, by the gradient of the
+conditional likelihood of hidden nodes given the observed ones (beliefs of the same message
+passing). As the patterns miss what the field is to find, texts for training get copies of
+some of their own spans, far from them and written otherwise (``rewritten``: without
+the plus sign, with other separators, ``name(at)host``) or as they were but hidden from the
+patterns; and decoys, other values in the same forms that repeat nothing, labelled "other".
+What the texts themselves hold outside base spans is "other", too, unless it is joined
+to a base span: such nodes have no label and are not learned from.
+
+The fit takes about ``train_docs`` different texts, picked by a hash, without those of
+more than ``most_nodes`` nodes (bounds on the fit alone; every whole text is searched).
 
 Defined results: null and empty texts have no spans; positions are code points,
 ends exclusive; repeated rows have equal spans; a corpus without any base span
-adds nothing; an empty table gives an empty table; other columns are kept.
+adds nothing; an empty table gives an empty table; other columns are kept, but one named
+``pii`` is replaced by :func:`find`.
 """
 
 from __future__ import annotations
 
+import random
 import re
 import zlib
 from collections.abc import Iterator
@@ -41,8 +49,10 @@ KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
 LABELS = len(KINDS) + 1
 FEATURES = 1 << 12
-#: Agreeing pairs that are taken as seen beforehand.
-AGREE = 20
+#: A run of number tokens is one node up to so many digits.
+RUN_DIGITS = 19
+#: Copies of spans in a text for training.
+COPIES = 3
 SPANS = "array<struct<kind: string, start: int, end: int, base: boolean>>"
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -50,7 +60,11 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_MARK = re.compile(r"[0-9@]")
+_MARK = re.compile(r"[0-9@]|\(at\)|\[at\]")
+_AT = re.compile(r"@|\(at\)|\[at\]")
+_NUMBER = re.compile(r"[0-9+().\-/]+")
+_GROUPS = re.compile(r"[0-9]+")
+_WORD = re.compile(r"\S+")
 _DIGIT = re.compile(r"[0-9]")
 _CORE = re.compile(r"[+(]?[A-Za-z0-9](?:.*[A-Za-z0-9)])?", re.S)
 
@@ -92,8 +106,8 @@ def _shape(token: str) -> str:
     return re.sub(r"[^\W\d_]+", "a", s)[:24]
 
 
-def nodes(text: str) -> list[tuple[int, int]]:
-    """Start and end of each token with a digit or @, without punctuation at its ends."""
+def tokens(text: str, mailboxes: frozenset[str] = frozenset()) -> list[tuple[int, int]]:
+    """Start and end of each token with a digit or an at sign, or that is one of ``mailboxes``, without punctuation at its ends."""
     out, at, size = [], 0, len(text)
     while m := _MARK.search(text, at):
         a, b = m.start(), m.end()
@@ -105,26 +119,108 @@ def nodes(text: str) -> list[tuple[int, int]]:
         if core:
             out.append((core.start(), core.end()))
         at = b
+    if mailboxes:
+        named = (_CORE.search(text, m.start(), m.end()) for m in _WORD.finditer(text))
+        out = sorted({*out, *((c.start(), c.end()) for c in named if c and c[0].lower() in mailboxes)})
     return out
 
 
-def _features(text: str, found: list[tuple[int, int]], i: int) -> list[int]:
-    a, b = found[i]
+def _repeats(digits: str, known: dict[str, set[str]]) -> bool:
+    """Whether the digits are a known number, without its first digits or with zeros before it."""
+    return any(full.endswith(digits) or digits.endswith(full) and not digits[: -len(full)].strip("01") for full in known.get(digits[-7:], ()))
+
+
+def _runs(text: str, group: list[tuple[int, int]], known: dict[str, set[str]]) -> Iterator[tuple[int, int]]:
+    """Number tokens in a row as runs: those that repeat a known number, longest first; the rest up to ``RUN_DIGITS`` digits."""
+    digits = [digits_of(text[a:b]) for a, b in group]
+    i = first = 0
+
+    def plain(upto: int) -> Iterator[tuple[int, int]]:
+        at, held = first, 0
+        for j in range(first, upto):
+            if j > at and (held + len(digits[j]) > RUN_DIGITS or text[group[j][0]] == "+"):
+                yield group[at][0], group[j - 1][1]
+                at, held = j, 0
+            held += len(digits[j])
+        if at < upto:
+            yield group[at][0], group[upto - 1][1]
+
+    while i < len(group):
+        best, said = 0, ""
+        for j in range(i, len(group)) if known else ():
+            said += digits[j]
+            if len(said) > RUN_DIGITS + 3:
+                break
+            if len(said) >= 7 and _repeats(said, known):
+                best = j + 1
+        if best:
+            yield from plain(i)
+            yield group[i][0], group[best - 1][1]
+            i = first = best
+        else:
+            i += 1
+    yield from plain(len(group))
+
+
+def nodes(text: str, base: list[tuple[int, int, int]] = ()) -> list[tuple[int, int, int]]:
+    """``(start, end, label)`` of the nodes of a text; the label is -1 outside base spans."""
+    known: dict[str, set[str]] = {}
+    for s, k, e in base:
+        if k >= 2:
+            known.setdefault(digits_of(text[s:e])[-7:], set()).add(digits_of(text[s:e]))
+    mailboxes = frozenset(m for s, k, e in base if k == 0 and len(m := text[s:e].split("@")[0].lower()) >= 4 and not m.isalpha())
+    out: list[tuple[int, int, int]] = []
+    group: list[tuple[int, int]] = []
+
+    def close() -> None:
+        out.extend((s, e, -1) for s, e in _runs(text, group, known))
+        group.clear()
+
+    b = covered = 0
+    for s, e in tokens(text, mailboxes):
+        while b < len(base) and base[b][0] < e:  # base spans up to this token
+            lo, kind, hi = base[b]
+            if hi > covered:
+                close()
+                out.append((max(lo, covered), hi, kind))
+                covered = hi
+            b += 1
+        s = max(s, covered)
+        while s < e and not text[s].isalnum() and text[s] not in "+(":
+            s += 1
+        if s >= e or not (_MARK.search(text, s, e) or text[s:e].lower() in mailboxes):
+            continue
+        if not _NUMBER.fullmatch(text, s, e):
+            close()
+            out.append((s, e, -1))
+            continue
+        if group and not (s - group[-1][1] <= 2 and text[group[-1][1] : s].isspace() and "\n" not in text[group[-1][1] : s]):
+            close()
+        group.append((s, e))
+    close()
+    return out
+
+
+def _features(text: str, found: list[tuple[int, int, int]], i: int) -> list[int]:
+    a, b = found[i][:2]
     token, digits = text[a:b], digits_of(text[a:b])
-    near = lambda j, gap: _shape(text[slice(*found[j])]) if 0 <= j < len(found) and not text[slice(*gap)].strip() and gap[1] - gap[0] <= 3 else "word"
+    near = lambda j, gap: _shape(text[found[j][0] : found[j][1]]) if 0 <= j < len(found) and not text[slice(*gap)].strip() and gap[1] - gap[0] <= 3 else "word"
     before = near(i - 1, (found[i - 1][1], a)) if i else "word"
     after = near(i + 1, (b, found[i + 1][0])) if i + 1 < len(found) else "word"
-    checks = f"{12 <= len(digits) <= 19 and luhn(digits)}{token.count('.')}{'@' in token}{'+' in token}"
+    checks = f"{12 <= len(digits) <= 19 and luhn(digits)}{token.count('.')}{_AT.search(token) is not None}{'+' in token}"
     said = ("bias", f"s{_shape(token)}", f"d{min(len(digits), 20)}", f"c{checks}", f"p{before}", f"n{after}", f"ps{before}|{_shape(token)}", f"l{any(c.isalpha() for c in token)}{len(digits) * 4 // max(1, len(token))}")
     return [zlib.crc32(x.encode()) % FEATURES for x in said]
 
 
 def _keys(token: str) -> list[str]:
     digits, out = digits_of(token), [f"={token.lower()}"]
-    if "@" in token:
-        out.append(f"@{token.split('@')[0].lower()}")
-    elif len(digits) >= 7 and not re.search(r"[A-Za-z]", token):
-        out.append(f"#{digits[-7:]}")
+    if _AT.search(token) or not token.replace(".", "").isdigit() and re.search(r"[A-Za-z]", token):
+        out.append(f"@{_AT.split(token)[0].lower()}")
+    elif not re.search(r"[A-Za-z]", token):
+        if len(digits) >= 7:
+            out.append(f"#{digits[-7:]}")
+        if len(groups := _GROUPS.findall(token)) == 4 and max(map(len, groups)) <= 3:
+            out.append(f".{'.'.join(groups)}")
     return out
 
 
@@ -144,18 +240,15 @@ class Graph:
 def graph(texts: list[str], bases: list[list[tuple[int, int, int]]]) -> Graph:
     text, start, end, features, seen, chain, skip = [], [], [], [], [], [], []
     for k, (t, base) in enumerate(zip(texts, bases, strict=True)):
-        found = nodes(t)
+        found = nodes(t, base)
         last: dict[str, int] = {}
-        first, b = len(text), 0
-        for i, (s, e) in enumerate(found):
+        first = len(text)
+        for i, (s, e, label) in enumerate(found):
             node = first + i
-            while b < len(base) and base[b][2] <= s and b + 1 < len(base):
-                b += 1
-            inside = next((kind for lo, kind, hi in base[max(0, b - 2) : b + 4] if lo < e and s < hi), -1)
             text.append(k)
             start.append(s)
             end.append(e)
-            seen.append(inside)
+            seen.append(label)
             features.append(_features(t, found, i))
             if i and found[i - 1][1] <= s <= found[i - 1][1] + 3 and not t[found[i - 1][1] : s].strip():
                 chain.append((node - 1, node))
@@ -169,6 +262,46 @@ def graph(texts: list[str], bases: list[list[tuple[int, int, int]]]) -> Graph:
     return Graph(np.array(text, np.int64), np.array(start, np.int64), np.array(end, np.int64), np.array(features, np.int64).reshape(-1, 8), np.array(seen, np.int64), pairs(chain), pairs(skip))
 
 
+class Messages:
+    """Messages along the edges of a graph, both ways."""
+
+    def __init__(self, g: Graph):
+        edges = np.concatenate([g.chain, g.skip])
+        n = len(edges)
+        self.graph, self.src, self.dst = g, np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
+        self.back = np.concatenate([np.arange(n) + n, np.arange(n)])
+        self.held = np.zeros((2 * n, LABELS))
+
+    def passed(self, field: Field, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+        """Logarithms of beliefs of nodes, and what each end of the directed edges says without that edge."""
+        g, m = self.graph, self.held
+        unary = field.local[g.features].sum(1)
+        known = g.seen >= 0
+        unary[known] = -1e3
+        unary[np.flatnonzero(known), g.seen[known]] = 0
+        cuts = np.cumsum([len(g.chain), len(g.skip), len(g.chain)])
+        pots = [np.exp(x) for x in (field.chain, field.skip, field.chain.T, field.skip.T)]
+        for _ in range(rounds if len(m) else 0):
+            x = (unary + self._gather(len(unary)))[self.src] - m[self.back]
+            x = np.exp(x - x.max(1, keepdims=True))
+            new = np.log(np.concatenate([part @ pot for part, pot in zip(np.split(x, cuts), pots, strict=True)]))
+            step = 0.5 * (new - new.max(1, keepdims=True) - m)
+            m += step
+            if np.abs(step).max() < 1e-3:
+                break
+        total = unary + self._gather(len(unary))
+        return total, total[self.src] - m[self.back]
+
+    def _gather(self, n: int) -> np.ndarray:
+        return np.stack([np.bincount(self.dst, self.held[:, k], n) for k in range(LABELS)], 1)
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    axes = tuple(range(1, x.ndim))
+    p = np.exp(x - x.max(axes, keepdims=True))
+    return p / p.sum(axes, keepdims=True)
+
+
 @dataclass
 class Field:
     """Potentials as logarithms: local (features x labels), of chains and of skips (labels x labels)."""
@@ -180,34 +313,7 @@ class Field:
 
     def marginals(self, g: Graph, rounds: int = 20) -> np.ndarray:
         """Loopy sum-product, all messages at once, damped; nodes inside base spans are observed."""
-        unary = self.local[g.features].sum(1)
-        known = g.seen >= 0
-        unary[known] = -1e3
-        unary[np.flatnonzero(known), g.seen[known]] = 0
-        edges = np.concatenate([g.chain, g.skip])
-        if len(edges):
-            pot = np.concatenate([np.broadcast_to(self.chain, (len(g.chain), LABELS, LABELS)), np.broadcast_to(self.skip, (len(g.skip), LABELS, LABELS))])
-            src, dst = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
-            pot = np.concatenate([pot, pot.transpose(0, 2, 1)])
-            back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
-            m = np.zeros((len(src), LABELS))
-            for _ in range(rounds):
-                x = (unary + self._gather(m, dst, len(unary)))[src] - m[back]
-                x = x[:, :, None] + pot
-                top = x.max(1, keepdims=True)
-                new = (top + np.log(np.exp(x - top).sum(1, keepdims=True)))[:, 0]
-                new -= new.max(1, keepdims=True)
-                step = 0.5 * (new - m)
-                m += step
-                if np.abs(step).max() < 1e-3:
-                    break
-            unary = unary + self._gather(m, dst, len(unary))
-        p = np.exp(unary - unary.max(1, keepdims=True))
-        return p / p.sum(1, keepdims=True)
-
-    @staticmethod
-    def _gather(m: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
-        return np.stack([np.bincount(dst, m[:, k], n) for k in range(LABELS)], 1)
+        return _softmax(Messages(g).passed(self, rounds)[0])
 
     def added(self, texts: list[str], bases: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
         """Spans beside the base ones, for each text."""
@@ -238,47 +344,130 @@ class Field:
         return out
 
 
-def fit(docs: DataFrame, text_col: str = "text", train_docs: int = 4000, least: float = 0.7, rounds: int = 150) -> Field:
-    """Train on the base spans of about ``train_docs`` documents that have a digit or ``@``."""
+def rewritten(value: str, kind: int, rng: random.Random) -> str:
+    """The value in a form that the patterns miss."""
+    digits = digits_of(value)
+    if kind == 0:
+        name, host = value.split("@", 1)
+        return rng.choice([f"{name}(at){host}", f"{name}[at]{host}", name])
+    if kind == 1:
+        return rng.choice(["-", " "]).join(value.split("."))
+    if kind == 2:
+        return rng.choice([".", "/"]).join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    national = digits[rng.choice([1, 2]) :]
+    a, b, c = national[:-7], national[-7:-4], national[-4:]
+    return rng.choice([f"00{digits}", national, f"({a}) {b}-{c}", f"{a} {b} {c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{b} {c}", value[1:]])
+
+
+def _other(value: str, kind: int, rng: random.Random) -> str:
+    """Another value of the same form."""
+    if kind == 1:
+        return ".".join(str(rng.randrange(256)) for _ in range(4))
+    return "".join(rng.choice("0123456789") if "0" <= c <= "9" else rng.choice("abcdefghijklmnopqrstuvwxyz") if kind == 0 and "a" <= c <= "z" else c for c in value)
+
+
+def lessons(text: str, turns: int) -> list[tuple[Graph, np.ndarray]]:
+    """``turns`` lessons of a text with base spans, each with other copies; one of a text without."""
+    base = base_spans(text)
+    seed = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+    return [lesson(text, base, random.Random(seed + turn)) for turn in range(turns if base else 1)]
+
+
+def lesson(text: str, base: list[tuple[int, int, int]], rng: random.Random) -> tuple[Graph, np.ndarray]:
+    """A text with copies of its spans and decoys: its graph, and the label of each node, -1 where it is not learned from."""
+    gaps = [m.end() for m in re.finditer(r"\s", text)] if base else []
+    put: list[tuple[int, str, int]] = []
+    for s, k, e in rng.sample(base, min(COPIES, len(base))):
+        value = text[s:e]
+        for copy, kind in ((value, k), (_other(value, k, rng), OTHER)):
+            form = copy if kind != OTHER and rng.random() < 0.25 else rewritten(copy, k, rng)
+            times = 1 if kind != OTHER else rng.choice([1, 1, 2])  # some decoys repeat themselves
+            free = [g for g in rng.sample(gaps, min(8, len(gaps))) if not any(lo < g < hi for lo, _, hi in base)]
+            put += [(g, form, kind) for g in [*free, len(text)][:times]]
+    out, at, size, places = [], 0, 0, []
+    for g, form, kind in sorted(put):
+        out += [text[at:g], " ", form, " "]
+        size += g - at + 1
+        places.append((size, size + len(form), kind))
+        size += len(form) + 1
+        at = g
+    made = "".join([*out, text[at:]])
+    shown = [(s, k, e) for s, k, e in base_spans(made) if not any(s < hi and lo < e for lo, hi, _ in places)]
+    g = graph([made], [shown])
+    label = np.where(g.seen < 0, OTHER, g.seen)
+    joined = g.skip[(g.seen[g.skip] >= 0).any(1)].ravel() if len(g.skip) else g.skip.ravel()
+    label[joined[g.seen[joined] < 0]] = -1
+    for i in np.flatnonzero(g.seen < 0).tolist():
+        for lo, hi, kind in places:
+            if g.start[i] < hi and lo < g.end[i]:
+                whole = min(hi, int(g.end[i])) - max(lo, int(g.start[i])) >= 0.6 * max(hi - lo, int(g.end[i] - g.start[i]))
+                label[i] = kind if whole else -1
+    return g, label
+
+
+def _joined(graphs: list[Graph]) -> Graph:
+    first = np.cumsum([0, *(len(g.text) for g in graphs)])
+    one = lambda name: np.concatenate([getattr(g, name) for g in graphs])
+    edges = lambda name: np.concatenate([getattr(g, name) + n for g, n in zip(graphs, first, strict=False)])
+    return Graph(np.repeat(np.arange(len(graphs)), np.diff(first)), one("start"), one("end"), one("features"), one("seen"), edges("chain"), edges("skip"))
+
+
+def train(g: Graph, label: np.ndarray, least: float, rounds: int, ridge: float = 0.02) -> Field:
+    """All potentials together, by Adam on the conditional likelihood; messages go on from step to step."""
+    field = Field(np.zeros((FEATURES, LABELS)), np.zeros((LABELS, LABELS)), np.zeros((LABELS, LABELS)), least)
+    messages, n = Messages(g), max(1, int(((g.seen < 0) & (label >= 0)).sum()))
+    hidden = np.flatnonzero((g.seen < 0) & (label >= 0))
+    ends = np.concatenate([g.chain, g.skip])
+    use = (label[ends] >= 0).all(1) & (g.seen[ends] < 0).any(1)
+    w = np.zeros(FEATURES * LABELS + 2 * LABELS**2)
+    first, second = np.zeros_like(w), np.zeros_like(w)
+    for step in range(1, rounds + 1):
+        total, said = messages.passed(field, 3)
+        p = _softmax(total)[hidden]
+        p[np.arange(len(hidden)), label[hidden]] -= 1
+        x = g.features[hidden]
+        local = np.stack([np.bincount(x.ravel(), np.repeat(p[:, k], x.shape[1]), FEATURES) for k in range(LABELS)], 1)
+        pairs = []
+        for part, pot in ((slice(0, len(g.chain)), field.chain), (slice(len(g.chain), len(ends)), field.skip)):
+            both = _softmax(said[: len(ends)][part][:, :, None] + pot + said[len(ends) :][part][:, None, :])
+            both[np.arange(len(both)), label[ends[part, 0]], label[ends[part, 1]]] -= 1
+            pairs.append(both[use[part]].sum(0).ravel())
+        grad = (np.concatenate([local.ravel(), *pairs]) + ridge * w) / n
+        first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
+        w -= 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-10)
+        cut = FEATURES * LABELS
+        field = Field(w[:cut].reshape(FEATURES, LABELS), w[cut : cut + LABELS**2].reshape(LABELS, LABELS), w[cut + LABELS**2 :].reshape(LABELS, LABELS), least)
+    return field
+
+
+_LESSON = "features array<int>, seen array<int>, label array<int>, chain array<int>, skip array<int>"
+
+
+def fit(docs: DataFrame, text_col: str = "text", train_docs: int = 4000, most_nodes: int = 500, turns: int = 4, least: float = 0.7, rounds: int = 150) -> Field:
+    """Train on about ``train_docs`` different texts that have a digit or ``@``, ``turns`` lessons each, of at most ``most_nodes`` nodes."""
     small_batches(docs.sparkSession)
-    some = docs.where(F.col(text_col).rlike("[0-9@]"))
+    some = docs.select(F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@]"))
     n = docs.count()
     if n > train_docs:
-        some = some.where(F.pmod(F.xxhash64(text_col), F.lit(1 << 30)) < int(train_docs / n * (1 << 30)))
+        some = some.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(train_docs / n * (1 << 30)))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(0).to_pylist()
-            g = graph(texts, [base_spans(t) for t in texts])
-            label = np.where(g.seen < 0, OTHER, g.seen)
-            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.zeros(len(label)), pa.int32()), "label": pa.array(label, pa.int32()), "other": pa.array(label, pa.int32()), "features": pa.array(list(g.features), pa.list_(pa.int64()))})
-            for kind, edges in ((1, g.chain), (2, g.skip)):
-                yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(edges), kind), pa.int32()), "label": pa.array(label[edges[:, 0]], pa.int32()), "other": pa.array(label[edges[:, 1]], pa.int32()), "features": pa.array([[]] * len(edges), pa.list_(pa.int64()))})
-
-    # Equal rows are counted on the executors, so that repeated tokens do not come one by one.
-    rows = some.select(text_col).mapInArrow(gather, "kind int, label int, other int, features array<long>").groupBy("kind", "label", "other", "features").count().toPandas()
-    local = rows[rows["kind"] == 0]
-    if not len(local) or (local["label"] == OTHER).all():
+            rows = []
+            for text in b.column("text").to_pylist():
+                rows += [(g.features.ravel(), g.seen, label, g.chain.ravel(), g.skip.ravel()) for g, label in lessons(text, turns) if 0 < len(label) <= most_nodes]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.list_(pa.int32())) for i in range(5)], names=["features", "seen", "label", "chain", "skip"])
+
+    # Copies of a text become one on the executors, before their graphs come to the driver.
+    once = some.groupBy(F.xxhash64("text").alias("hash")).agg(F.min("text").alias("text"))
+    table = once.orderBy("hash").select("text").mapInArrow(gather, _LESSON).toArrow()
+    numbers = lambda name: [np.asarray(x, np.int64) for x in table.column(name).to_pylist()]
+    label = np.concatenate([np.zeros(0, np.int64), *numbers("label")])
+    seen = numbers("seen")
+    if not any((x >= 0).any() for x in seen):
         return Field(np.zeros((FEATURES, LABELS)), np.zeros((LABELS, LABELS)), np.zeros((LABELS, LABELS)), least)
-    chain, skip = (rows[rows["kind"] == kind] for kind in (1, 2))
-    c = np.full((LABELS, LABELS), 2.0)
-    np.add.at(c, (chain["label"].to_numpy(), chain["other"].to_numpy()), chain["count"].to_numpy())
-    pair = np.clip(np.log(c * c.sum() / (c.sum(1, keepdims=True) * c.sum(0, keepdims=True))), -3, 3) / 2
-    named = skip[(skip["label"] != OTHER) | (skip["other"] != OTHER)]
-    agree = named["label"] == named["other"]
-    same = np.clip(np.log((named.loc[agree, "count"].sum() + AGREE) / (named.loc[~agree, "count"].sum() + 1)), 0, 3)
-    x, y, weight = np.stack(local["features"].to_list()), local["label"].to_numpy(), np.log1p(local["count"].to_numpy())
-    w, first, second = np.zeros((FEATURES, LABELS)), np.zeros((FEATURES, LABELS)), np.zeros((FEATURES, LABELS))
-    for step in range(1, rounds + 1):
-        z = w[x].sum(1)
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(y)), y] -= 1
-        p *= weight[:, None] / weight.sum()
-        grad = np.stack([np.bincount(x.ravel(), np.repeat(p[:, k], x.shape[1]), FEATURES) for k in range(LABELS)], 1) + 1e-4 * w
-        first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
-        w -= 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    return Field(w, pair, same * np.eye(LABELS), least)
+    graphs = [Graph(s, s, s, f.reshape(-1, 8), s, c.reshape(-1, 2), k.reshape(-1, 2)) for f, s, c, k in zip(numbers("features"), seen, numbers("chain"), numbers("skip"), strict=True)]
+    return train(_joined(graphs), label, least, rounds)
 
 
 def spans(text: Column, field: Field) -> Column:
@@ -323,11 +512,11 @@ def redacted(text: Column, field: Field) -> Column:
     return hide(text)
 
 
-def find(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with the column ``pii`` (:data:`SPANS`)."""
-    return docs.withColumn("pii", spans(F.col(text_col), fit(docs, text_col, **options)))
+def find(docs: DataFrame, text_col: str = "text", field: Field | None = None, **options) -> DataFrame:
+    """``docs`` with the column ``pii`` (:data:`SPANS`); a field that is not given is fitted to ``docs``."""
+    return docs.withColumn("pii", spans(F.col(text_col), field or fit(docs, text_col, **options)))
 
 
-def redact(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with every span of the text masked."""
-    return docs.withColumn(text_col, redacted(F.col(text_col), fit(docs, text_col, **options)))
+def redact(docs: DataFrame, text_col: str = "text", field: Field | None = None, **options) -> DataFrame:
+    """``docs`` with every span of the text masked; a field that is not given is fitted to ``docs``."""
+    return docs.withColumn(text_col, redacted(F.col(text_col), field or fit(docs, text_col, **options)))

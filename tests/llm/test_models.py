@@ -279,6 +279,67 @@ def test_the_field_finds_what_it_has_seen_elsewhere(docs_of):
     assert pii.find(docs_of([])).count() == 0 and pii.find(docs_of([(1, "nothing 12")])).first().pii == []
 
 
+def test_runs_of_number_tokens_are_one_node():
+    def said(text):
+        return [(text[a:b], k) for a, b, k in pii.nodes(text, pii.base_spans(text))]
+
+    assert said("call +1 415 555 2671 today, again 415 555 2671 ok") == [("+1 415 555 2671", 3), ("415 555 2671", -1)]
+    assert said("+1 (212) 555-7713, in 2020 212 555 7713 12 times") == [("+1 (212) 555-7713", 3), ("2020", -1), ("212 555 7713", -1), ("12", -1)]
+    assert said("4 5\n6 x7 8") == [("4 5", -1), ("6", -1), ("x7", -1), ("8", -1)]
+    assert said("j.doe@a.example, then j.doe(at)a.example; J.Doe said") == [("j.doe@a.example", 0), ("j.doe(at)a.example", -1), ("J.Doe", -1)]
+    long = " ".join(["123456"] * 50_000)
+    assert "".join(t for t, _ in said(long)).replace(" ", "") == long.replace(" ", "") and max(len(pii.digits_of(t)) for t, _ in said(long)) <= pii.RUN_DIGITS
+    assert said("") == said("no data") == []
+
+
+def test_training_raises_the_likelihood_of_hidden_labels():
+    made = [x for i in range(60) for x in pii.lessons(f"call +1 (212) 555-{i:04d} or write u{i}@mail.example.com in 2024 with 17 of {i} items", 2)]
+    g, label = pii._joined([g for g, _ in made]), np.concatenate([y for _, y in made])
+    hidden = np.flatnonzero((g.seen < 0) & (label >= 0))
+    likely = [np.log(pii.train(g, label, 0.7, rounds).marginals(g)[hidden, label[hidden]]).mean() for rounds in (1, 20, 150)]
+    assert likely[0] < likely[1] < likely[2] and likely[2] > math.log(0.9)
+
+
+def test_hidden_repetitions_are_found(spark):
+    """Held-out texts: a value's later occurrences are hidden from the patterns; and copies written otherwise, among decoys."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text IS NOT NULL").select("doc_id", "text")
+    half = F.pmod(F.xxhash64("text"), F.lit(2)) == 0
+    field = pii.fit(docs.where(half), train_docs=100_000)
+    texts = sorted({r.text for r in docs.where(~half).collect()})
+    found, wanted = [], []
+    for i, t in enumerate(texts):
+        shown, hidden, known = [], [], set()
+        for s, k, e in pii.base_spans(t):
+            (hidden if (k, t[s:e]) in known else shown).append((s, k, e))
+            known.add((k, t[s:e]))
+        if hidden:
+            wanted += [(i, *h) for h in hidden]
+            found += [(i, *h) for h in field.added([t], [shown])[0]]
+    assert len(wanted) >= 20
+    right = len(set(found) & set(wanted))
+    assert right >= 0.8 * len(wanted) and right >= 0.9 * len(found)
+    made = [pii.lessons(t, 1)[0] for t in texts]
+    g, label = pii._joined([g for g, _ in made]), np.concatenate([y for _, y in made])
+    p, ask = field.marginals(g), (g.seen < 0) & (label >= 0)
+    best = np.where(p.max(1) >= field.least, p.argmax(1), pii.OTHER)
+    right = (ask & (label != pii.OTHER) & (best == label)).sum()
+    assert right >= 0.8 * (ask & (label != pii.OTHER)).sum() and right >= 0.9 * (ask & (best != pii.OTHER)).sum()
+
+
+def test_pii_of_odd_rows(spark, docs_of):
+    """Repeated ids and rows, nulls, long texts, columns named as those made inside."""
+    text = "ask +1 (212) 555-7713 or u.1@mail.example.com"
+    rows = [(1, text), (1, text), (1, None), (None, text), (2, ""), (3, "+ @ (at) [at] 1.2.3 " * 20_000), (4, "@" * 5000)]
+    docs = docs_of(rows).withColumn("pii", F.lit("x")).withColumn("hash", F.lit(1)).withColumn("features", F.lit(2))
+    out = pii.find(docs).collect()
+    assert len(out) == len(rows) and {(r.hash, r.features) for r in out} == {(1, 2)}
+    assert [[(s.kind, s.base) for s in r.pii] for r in out if r.text == text] == [[("phone", True), ("email", True)]] * 3
+    assert all(not [s for s in r.pii if s.base] for r in out if r.text != text)
+    field = pii.fit(docs)
+    assert sorted(map(str, pii.find(docs, field=field).collect())) == sorted(map(str, out))
+    assert pii.redact(docs_of([(7, None), (8, "of")]), field=field).orderBy("doc_id").collect()[1].text == "of"
+
+
 def test_messages_like_a_sum_on_a_tree():
     texts = ["a1 b2 c3"]
     g = pii.graph(texts, [[]])
