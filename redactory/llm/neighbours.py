@@ -12,9 +12,11 @@ numbers are the least that keep the share ``recall`` of them (``probes``,
 ``least_rows`` and ``shortlist`` are lower bounds). Where lists say little about
 nearness, as with vectors of no direction, most lists are looked at.
 
-The index is packed into rows of up to ``block`` entries, in order of the lists, and
-queries into rows of up to ``query_block``, in order of their first list. A task has
-some queries and goes over the packed index, keeping a shortlist a query.
+Lists are cut by a hash into cells of about ``block`` entries, a row each, so that a large
+list is many rows. Queries are packed into rows of up to ``query_block``, in order of
+their first list, and joined with the cells of the lists that one of them looks at: cells
+that no query wants are not moved. A pack meets its cells by parts of the index
+of up to ``part`` cells, keeping a shortlist a query; one pack and one cell are in memory.
 
 Nearness is the inner product in double precision; ties go to the smaller id.
 Defined results: vectors that are null, zero, or of other than the usual length, or
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import Scratch
+from .storage import Scratch, small_batches
 
 
 def valid(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -167,7 +169,7 @@ def measure(entries: DataFrame, placed: DataFrame, index: Index, asked: DataFram
 
 def search(
     df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", train_rows: int = 20_000, lists: int | None = None,
-    probes: int = 24, parts: int = 16, shortlist: int = 100, least_rows: int = 2000, block: int = 4096, query_block: int = 512, recall: float = 0.98, measured: int = 256,
+    probes: int = 24, parts: int = 16, shortlist: int = 100, least_rows: int = 2000, block: int = 1024, part: int = 1024, query_block: int = 512, recall: float = 0.98, measured: int = 256,
 ) -> DataFrame:
     """``(query_id, rank, id_col, score)``: for each row of ``df`` with ``queries`` true its ``k`` nearest others.
 
@@ -176,6 +178,7 @@ def search(
     vectors picked by a hash of the id; ``measured`` queries set what ``recall`` needs.
     """
     spark = df.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "neighbours")
     rows = scratch.keep(valid(df, id_col, vector_col), "rows")
     usual = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -215,64 +218,77 @@ def search(
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array((_vectors(b.column(1), b.num_rows) @ index.coarse.T).argmax(1), pa.int32())], ["vec", "v", "list"])
 
-    def pack(size: int):
-        """Rows of one task as rows of up to ``size`` of them: ids, lists, and codes or vectors, as bytes."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Queries of a task as rows of up to ``query_block`` of them, named by the first."""
+        held, n = [], 0
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held, n = [], 0
+        def packed() -> pa.RecordBatch:
+            vecs = np.concatenate([h[0] for h in held])
+            return pa.RecordBatch.from_arrays([pa.array(vecs[:1]), pa.array([vecs.tobytes()], pa.binary()), pa.array([np.concatenate([h[1] for h in held]).tobytes()], pa.binary())], ["pack", "vecs", "q"])
 
-            def packed() -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array([b"".join(h[c] for h in held)], pa.binary()) for c in range(3)], ["vecs", "lists", "what"])
-
-            for b in batches:
-                for at in range(0, b.num_rows, size):
-                    part = b.slice(at, size)
-                    if n and n + part.num_rows > size:
-                        yield packed()
-                        held, n = [], 0
-                    what = part.column(2).to_pylist() if pa.types.is_binary(part.column(2).type) else [_vectors(part.column(2), part.num_rows).tobytes()]
-                    held.append((part.column(0).to_numpy().tobytes(), part.column(1).to_numpy().tobytes(), b"".join(what)))
-                    n += part.num_rows
-            if n:
-                yield packed()
-
-        return run
+        for b in batches:
+            for at in range(0, b.num_rows, query_block):
+                rows = b.slice(at, query_block)
+                if n and n + rows.num_rows > query_block:
+                    yield packed()
+                    held, n = [], 0
+                held.append((rows.column(0).to_numpy(), _vectors(rows.column(1), rows.num_rows)))
+                n += rows.num_rows
+        if n:
+            yield packed()
+
+    def looks_at(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The lists that a query of a pack looks at."""
+        for b in batches:
+            for name, vecs, q in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                some = np.flatnonzero(index.probed(np.frombuffer(q).reshape(len(vecs) // 8, -1), sizes, wanted, least_rows).any(0))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), name)), pa.array(some, pa.int32())], ["pack", "list"])
+
+    # A row a list, of which there are at most ``lists``: how many cells it has, and how many are before it.
+    count = -(-sizes // block)
+    of_lists = F.broadcast(spark.createDataFrame([(i, int(c), int(at)) for i, (c, at) in enumerate(zip(count, np.cumsum(count) - count, strict=True)) if c], "list int, cells long, before long"))
+    own = placed.join(of_lists, "list").withColumn("cell", F.col("before") + F.pmod(F.xxhash64("vec"), F.col("cells")))
+    cells = scratch.keep(own.groupBy("cell").agg(F.first("list").alias("list"), F.array_sort(F.collect_list(F.struct("vec", "codes"))).alias("held")), "cells")
+    turns = asked.mapInArrow(first_list, "vec long, v array<double>, list int").repartitionByRange(max(1, -(-n_asked // query_block)), "list", "vec").sortWithinPartitions("list", "vec")
+    turns = scratch.keep(turns.select("vec", "v").mapInArrow(pack, "pack long, vecs binary, q binary"), "turns")
+    asks = turns.mapInArrow(looks_at, "pack long, list int").join(of_lists, "list").select("pack", F.explode(F.sequence("before", F.col("before") + F.col("cells") - 1)).alias("cell"))
+    asks = scratch.keep(asks.withColumn("part", F.floor(F.col("cell") / part).cast("long")), "asks")
+    nothing = (F.lit(None).cast(t).alias(c) for c, t in (("cell", "long"), ("list", "int"), ("held", "array<struct<vec:bigint,codes:binary>>")))
+    heads = asks.select("pack", "part").distinct().join(turns, "pack").select("pack", "part", *nothing, "vecs", "q")
+    met = asks.join(cells, "cell").select("pack", "part", "cell", "list", "held", F.lit(None).cast("binary").alias("vecs"), F.lit(None).cast("binary").alias("q"))
+    together = heads.unionByName(met).repartition("pack", "part").sortWithinPartitions("pack", "part", F.col("cell").asc_nulls_first())
 
-    def in_order(df: DataFrame, size: int) -> DataFrame:
-        dealt = df.repartitionByRange(max(1, -(-df.count() // size)), "list", "vec").sortWithinPartitions("list", "vec")
-        return dealt.mapInArrow(pack(size), "vecs binary, lists binary, what binary")
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asking: np.ndarray = np.zeros(0, np.int64)
+        top: list[tuple[np.ndarray, np.ndarray]] = []
+        q = probed = None
 
-    packed = scratch.keep(in_order(placed.select("vec", "list", "codes"), block), "packed")
-    turns = scratch.keep(in_order(asked.mapInArrow(first_list, "vec long, v array<double>, list int").select("vec", "list", "v"), query_block), "turns")
-    # No shuffle and no broadcast: a task has a part of the queries and reads a part of the packed index, a million entries or all.
-    together = turns.select(F.col("vecs").alias("q_vecs"), F.col("what").alias("q")).hint("shuffle_replicate_nl").crossJoin(packed.coalesce(max(1, n // 1_000_000)))
+        def ended() -> pa.RecordBatch:
+            query = np.repeat(asking, [len(t[0]) for t in top])
+            return pa.RecordBatch.from_arrays([pa.array(query), pa.array(np.concatenate([t[0] for t in top])), pa.array(np.concatenate([t[1] for t in top]))], ["query", "vec", "near"])
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, list] = {}
         for b in batches:
-            for q_vecs, q_bytes, vecs, lists, what in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if q_vecs not in held:
-                    q = np.frombuffer(q_bytes).reshape(len(q_vecs) // 8, -1)
-                    held[q_vecs] = [q, index.probed(q, sizes, wanted, least_rows), [(np.zeros(0, np.int64), np.zeros(0))] * len(q)]
-                q, probed, top = held[q_vecs]
-                own, ids, at = np.frombuffer(q_vecs, np.int64), np.frombuffer(vecs, np.int64), np.frombuffer(lists, np.int32)
-                some = probed.any(0)[at]
-                if not some.any():
+            for row in range(b.num_rows):
+                vecs, q_bytes = b.column("vecs")[row].as_py(), b.column("q")[row].as_py()
+                if vecs is not None:  # the head of a pack comes before its cells
+                    if top:
+                        yield ended()
+                    asking, q = np.frombuffer(vecs, np.int64), np.frombuffer(q_bytes).reshape(len(vecs) // 8, -1)
+                    probed, top = index.probed(q, sizes, wanted, least_rows), [(np.zeros(0, np.int64), np.zeros(0))] * len(q)
                     continue
-                ids, at, codes = ids[some], at[some], np.frombuffer(what, np.uint8).reshape(len(some), -1)[some]
-                near = q @ index.decoded(at, codes).T
-                near[~probed[:, at] | (own[:, None] == ids)] = -np.inf
-                for i, s in enumerate(near):
-                    if len(top[i][1]) == length:
-                        s = np.where(s >= top[i][1].min(), s, -np.inf)
+                at, held = b.column("list")[row].as_py(), b.column("held")[row].values
+                ids, codes = held.field("vec").to_numpy(), np.frombuffer(b"".join(held.field("codes").to_pylist()), np.uint8).reshape(len(held), -1)
+                some = np.flatnonzero(probed[:, at])
+                near = q[some] @ index.decoded(np.full(len(ids), at), codes).T
+                near[asking[some][:, None] == ids] = -np.inf
+                full = np.array([top[i][1].min() if len(top[i][1]) == length else -np.inf for i in some])
+                for i, s in zip(some[(near >= full[:, None]).any(1)].tolist(), near[(near >= full[:, None]).any(1)], strict=True):
                     new = best(ids, s, length)
-                    if len(new[0]):
-                        top[i] = best(np.concatenate([top[i][0], new[0]]), np.concatenate([top[i][1], new[1]]), length)
-        for q_vecs, (_, _, top) in held.items():
-            query = np.repeat(np.frombuffer(q_vecs, np.int64), [len(t[0]) for t in top])
-            yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(np.concatenate([t[0] for t in top])), pa.array(np.concatenate([t[1] for t in top]))], ["query", "vec", "near"])
+                    top[i] = best(np.concatenate([top[i][0], new[0]]), np.concatenate([top[i][1], new[1]]), length)
+        if top:
+            yield ended()
 
-    scored = scratch.keep(together.select("q_vecs", "q", "vecs", "lists", "what").mapInArrow(score, "query long, vec long, near double"), "scored")
+    scored = scratch.keep(together.select("list", "held", "vecs", "q").mapInArrow(score, "query long, vec long, near double"), "scored")
     short = scored.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near"), "vec"))).where(F.col("place") <= length)
     pairs = short.select("query", "vec").unionByName(asked.select(F.col("vec").alias("query"), "vec"))  # its copies
     exact = pairs.join(entries, "vec").join(asked.select(F.col("vec").alias("query"), F.col("v").alias("q")), "query").select("query", "vec", "ids", dot("q", "v").alias("score"))

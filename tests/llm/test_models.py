@@ -191,6 +191,22 @@ def test_neighbours_of_many_vectors_without_direction(spark):
     assert found / 200 / 20 >= 0.95
 
 
+def test_neighbours_of_a_large_list_in_cells(spark):
+    """A third of all vectors is in one list: it is cut into cells, and cells and packs of any size give the same rows."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 16))
+    x[::3] = 5 * x[0] + 0.05 * x[::3]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = [sorted(map(tuple, neighbours.search(df, F.col("id") % 20 == 0, k=5, lists=12, probes=3, least_rows=10, **sizes).collect())) for sizes in ({}, {"block": 16, "part": 4, "query_block": 7})]
+    assert got[0] == got[1] and len(got[0]) == 75 * 5
+    found = 0
+    for q in range(0, 1500, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        found += len({r[2] for r in got[0] if r[0] == q} & set(np.argsort(-s, kind="stable")[:5].tolist()))
+    assert found / len(got[0]) >= 0.95
+
+
 def test_neighbours_of_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [1.0]), (9, []), (20, [0.5, 0.5]), (None, [1.0, 1.0])]
