@@ -9,15 +9,17 @@ The kernel with the landmarks, whitened (Nyström), is the input of a linear
 support vector machine over words. As its decision is linear in the kernel, and
 the kernel in the subsequences, it is kept as one weight for each subsequence: a word costs
 a few table lookups however many landmarks there are. A document's score is a
-logistic function of its four largest word margins and of how many are positive;
-its weights come from the same labelled documents.
+logistic function of its largest word margin, of the positive ones among its four
+largest, of how many words are above each of ``ABOVE``, and of its length; words that are
+not there count as none, so that short texts are judged by the words they have. The
+weights come from the same labelled documents.
 
 Only labelled rows of the training folds are learned from, about ``max_labels`` of
 them at most; ids, languages, sources and labels are never inputs of a score.
 Single characters in a row ("i d i o t") are also read as one word.
 
 Defined results: null and empty texts have no words and get the score of a text
-whose margins are all lowest; repeated rows get equal scores; without toxic and
+of length 0 without positive margins; repeated rows get equal scores; without toxic and
 other labels to learn from every score is the share of toxic labels (0 without
 labels); an empty table gives an empty table; other columns are ignored.
 """
@@ -41,6 +43,10 @@ SPAN, DECAY = 6, 0.5
 PIECE = 24
 TOP = 4
 LOWEST = -2.0
+#: The least that a largest margin counts, and margins above which words are counted.
+FLOOR = -0.5
+ABOVE = (0.0, 0.25, 0.5, 1.0)
+WIDTH = TOP + len(ABOVE) + 3
 REMEMBERED = 300_000
 #: 0 stands for the ends of a word; Latin letters with marks share five codes, letters of other scripts are dealt out over all.
 _CODE = {c: i + 1 for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")} | dict.fromkeys("é", 27) | dict.fromkeys("èêë", 28) | dict.fromkeys("äàâáå", 29) | dict.fromkeys("öóôòüúùûïîíì", 30) | dict.fromkeys("çßñ", 31)
@@ -132,7 +138,7 @@ def kernel(words: list[str], base: np.ndarray, block: int = 500) -> np.ndarray:
 class Model:
     weight: np.ndarray
     bias: float
-    document: np.ndarray  # of the margins, the count and 1
+    document: np.ndarray  # of the features of a document
     share: float
     known: dict = field(default_factory=dict, repr=False)
 
@@ -161,15 +167,13 @@ class Model:
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             known.update(zip(part, self.margins(part).tolist(), strict=True))
-        out = np.full((len(texts), TOP + 2), LOWEST)
-        out[:, TOP:] = 0, 1
+        out = np.zeros((len(texts), WIDTH))
         for i, words in enumerate(split):
-            m = [known[w] for w in words]
-            best = sorted([x for x in m if x > 0], reverse=True)
-            out[i, TOP] = np.log1p(len(best))
-            if len(best) < TOP and m:
-                best = sorted(m, reverse=True)[:TOP]
+            m = np.array([known[w] for w in words])
+            best = np.sort(m[m > 0])[::-1]
             out[i, : min(TOP, len(best))] = best[:TOP]
+            out[i, TOP : TOP + len(ABOVE)] = [np.log1p((best > t).sum()) for t in ABOVE]
+            out[i, -3:] = max(FLOOR, m.max(initial=FLOOR)), np.log1p(len(words)), 1
         return out
 
     def score(self, texts: list[str]) -> np.ndarray:
@@ -208,7 +212,8 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
     n = known.count()
     if n > max_labels:
         known = known.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int(max_labels / n * (1 << 30)))
-    return docs.join(F.broadcast(known), id_col).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col("__toxic").alias("toxic"))
+    rows = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.join(F.broadcast(known), id_col).select("text", F.col("__toxic").alias("toxic"))
 
 
 def _pieces(word: str) -> list[str]:
@@ -298,7 +303,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = _labelled(docs, labels, id_col, text_col, label_col, max_labels)
     n = rows.groupBy("toxic").count().collect()
     bad, good = (next((r["count"] for r in n if r.toxic is t), 0) for t in (True, False))
-    nothing = Model(np.zeros(1 << 15, np.float32), 0.0, np.zeros(TOP + 2), bad / max(1, bad + good))
+    nothing = Model(np.zeros(1 << 15, np.float32), 0.0, np.zeros(WIDTH), bad / max(1, bad + good))
     if not bad or not good:
         return nothing
     words = rows.mapInArrow(_count_words, "word string, toxic long, other long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
@@ -318,7 +323,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             hard = hard.orderBy(F.desc("margin"), "word").limit(hard_words).drop("margin").toPandas()
             plain = pd.concat([plain, hard]).drop_duplicates("word")
         weight, bias = _machine(marking, plain, landmarks, rng)
-        model = Model(weight, bias, np.zeros(TOP + 2), nothing.share)
+        model = Model(weight, bias, np.zeros(WIDTH), nothing.share)
     words.unpersist()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

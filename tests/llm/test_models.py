@@ -112,10 +112,23 @@ def test_toxicity_of_odd_rows(spark, docs_of):
     assert toxicity.score(docs_of([]), labels).count() == 0
 
 
+def test_short_texts_are_judged_by_their_words(spark):
+    """Learned from sf0.1: held-out rows, texts of few words, and columns named as those made inside."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(docs.withColumn("__toxic", F.lit(1)).withColumn("toxic", F.lit(1)), labels)
+    bad, good = model.score(["you are an idiot", "moron", "what a m o r o n you are", "st.upid"]), model.score(["hello my friend", "thanks a lot for help", "", "of the and", "7 !!"])
+    assert (bad >= 0.3).all() and (good < 0.3).all()
+    rows = docs.join(labels, "doc_id").where(toxicity.held_out("doc_id") & F.col("toxic").isNotNull()).select("text", "toxic").toPandas()
+    score, y = model.score([t or "" for t in rows["text"]]), rows["toxic"].to_numpy()
+    above = (score[y == 1][:, None] > score[y == 0]).mean() + 0.5 * (score[y == 1][:, None] == score[y == 0]).mean()
+    assert above >= 0.95
+
+
 def test_score_by_hand():
     """Margins and scores from every subsequence of three letters, one by one."""
     rng = np.random.default_rng(6)
-    model = toxicity.Model(rng.normal(size=1 << 15).astype(np.float32), -0.1, rng.normal(size=toxicity.TOP + 2), 0.1)
+    model = toxicity.Model(rng.normal(size=1 << 15).astype(np.float32), -0.1, rng.normal(size=toxicity.WIDTH), 0.1)
 
     def margin(word):
         codes = toxicity.letters(word)
@@ -137,10 +150,8 @@ def test_score_by_hand():
     for text, got in zip(texts, model.score(texts), strict=True):
         words = text.split() + (["idiot"] if text.startswith("i d") else [])
         m = sorted(map(margin, words), reverse=True)
-        top = [x for x in m if x > 0] if sum(x > 0 for x in m) >= toxicity.TOP else m
-        x = np.full(toxicity.TOP + 2, toxicity.LOWEST)
-        x[toxicity.TOP :] = math.log1p(sum(x > 0 for x in m)), 1
-        x[: min(toxicity.TOP, len(top))] = top[: toxicity.TOP]
+        above = [math.log1p(sum(x > t for x in m)) for t in (0, 0.25, 0.5, 1)]
+        x = np.array([max(0, v) for v in [*m[:4], 0, 0, 0, 0][:4]] + above + [max([-0.5, *m]), math.log1p(len(words)), 1])
         assert abs(got - 1 / (1 + math.exp(-x @ model.document))) < 1e-4, text
 
 
