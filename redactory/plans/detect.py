@@ -168,7 +168,7 @@ def valid_iban(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", validators.iban(v).alias("valid"))
 
 
-@query()
+@query(f"SELECT o_orderkey, area >= '200' AND area NOT IN {phone.NO_AREA} AS valid FROM (SELECT o_orderkey, lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') AS area FROM orders)")
 def valid_phone(spark, sf):
     v = F.concat(F.lit("+1 "), F.lpad((F.col("o_orderkey") % 1000).cast("string"), 3, "0"), F.lit(" 234 5678"))
     return table(spark, sf, "orders").select("o_orderkey", phone.valid(v).alias("valid"))
