@@ -84,7 +84,7 @@ def fnv1a_pipeline_id(spark, sf):
     return table(spark, sf, "nation").select("n_name", events.pipeline_ids(F.col("n_name")).alias("id"))
 
 
-@query()
+@query("SELECT n_name AS value FROM nation")
 def src_text_lines(spark, sf):
     from ..streaming.folders import scratch
 

@@ -256,7 +256,14 @@ def agg_percentile_floor(spark, sf):
     return metrics.percentiles(table(spark, sf, "lineitem").withColumn("grp", F.concat("l_returnflag", "l_linestatus")), "l_extendedprice", [50, 95, 99], "grp")
 
 
-@query()
+def _label_sql(name):
+    return rf"""'{name}="' || replace(replace({name}, '\', '\\'), '"', '\"') || '"'"""
+
+
+_LINE = " || ',' || ".join(map(_label_sql, ("database", "category", "severity")))
+
+
+@query("SELECT 'findings_total{' || " + _LINE + f" || '}} ' || n AS line FROM (SELECT database, category, severity, count(*) AS n FROM {FINDINGS_SQL} GROUP BY ALL)")
 def metrics_exposition(spark, sf):
     return metrics.exposition(agg_findings_total(spark, sf), "findings_total", ["database", "category", "severity"])
 
