@@ -37,11 +37,18 @@ def small_batches(spark: SparkSession) -> None:
 
 
 class Scratch:
-    """Tables of one job below the shared folder."""
+    """Tables of one job below the shared folder.
+
+    They last as long as the application, whose results read them; Hadoop deletes the folder when the driver's JVM ends.
+    """
 
     def __init__(self, spark: SparkSession, job: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{job}-{uuid.uuid4().hex}"
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it again: its lineage ends here and survives lost executors."""

@@ -2,7 +2,11 @@
 
 import hashlib
 import math
+import os
 import re
+import subprocess
+import sys
+import time
 from collections import Counter
 
 import numpy as np
@@ -201,3 +205,21 @@ def test_calibration_fits_frequencies():
     assert abs(slope - 0.5) < 0.05 and abs(offset + 0.7) < 0.1
     apart = quality_rules.calibrated(np.array([-900.0, -800.0, 700.0, 900.0]), np.array([False, False, True, True]))
     assert 0 < apart[0] < 1
+
+
+def test_scratch_folders_end_with_the_application(tmp_path):
+    """A driver of its own: its tables can be read until it ends, and are gone then."""
+    code = (
+        "import os, sys\n"
+        "from pyspark.sql import SparkSession\n"
+        "from redactory.llm.storage import Scratch\n"
+        "s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').config('spark.checkpoint.dir', sys.argv[1]).getOrCreate()\n"
+        "assert Scratch(s, 'job').keep(s.range(5), 'a').count() == 5 and any(x.startswith('job-') for x in os.listdir(sys.argv[1]))\n"
+        "s.stop()\n"
+    )
+    subprocess.run([sys.executable, "-c", code, str(tmp_path)], check=True, timeout=120)
+    for _ in range(100):
+        if not [x for x in os.listdir(tmp_path) if x.startswith("job-")]:
+            return
+        time.sleep(0.1)
+    raise AssertionError(os.listdir(tmp_path))
