@@ -185,6 +185,28 @@ def test_neighbours_against_brute_force(spark):
     assert found / total >= 0.9
 
 
+def test_neighbours_of_a_vector_that_most_queries_hold(spark):
+    """Lists say nothing about it, and all about the other queries."""
+    rng = np.random.default_rng(7)
+    n = 3000
+    x = np.zeros((n, 64))
+    directions = rng.normal(size=(50, 32))
+    x[:, :32] = (directions / np.sqrt((directions * directions).sum(1))[:, None])[rng.integers(0, 50, n)] + 0.05 * rng.normal(size=(n, 32))
+    x[:, 32:] = 0.01 * rng.normal(size=(n, 32))
+    asking = np.arange(0, n, 10)
+    x[asking[rng.random(len(asking)) < 0.7]] = np.concatenate([np.zeros(32), 1e-4 * rng.normal(size=32)])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.search(df, F.col("id") % 10 == 0, probes=4, least_rows=1, shortlist=20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    found = 0
+    for q in asking.tolist():
+        s = x @ x[q]
+        s[q] = -np.inf
+        found += len(got[q] & set(np.lexsort((np.arange(n), -s))[:20].tolist()))
+    assert found / (20 * len(asking)) >= 0.9
+
+
 def test_neighbours_of_many_vectors_without_direction(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(20_000, 64)).astype(np.float32).astype(float)
