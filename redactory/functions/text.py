@@ -37,12 +37,16 @@ def log_level(severity: Column) -> Column:
 
 
 def duration(micros: Column) -> Column:
-    """A number of microseconds with a unit: ``50.0ns``, ``12.3us``, ``1.50ms``, ``1.50s``."""
+    """A number of microseconds with a unit: ``50.0ns``, ``12.3us``, ``1.50ms``, ``1.50s``.
+
+    Rounded by the exact value of the double, and a half to the even digit; ``format_string`` rounds up what its shortest decimal text has as a half.
+    """
+    said = lambda value, form, unit: F.concat(F.call_function("format_number", value, F.lit(form)), F.lit(unit))
     return (
-        F.when(micros >= 1_000_000, F.format_string("%.2fs", micros / 1_000_000))
-        .when(micros >= 1000, F.format_string("%.2fms", micros / 1000))
-        .when(micros >= 1, F.format_string("%.1fus", micros))
-        .otherwise(F.format_string("%.1fns", micros * 1000))
+        F.when(micros >= 1_000_000, said(micros / 1_000_000, "0.00", "s"))
+        .when(micros >= 1000, said(micros / 1000, "0.00", "ms"))
+        .when(micros >= 1, said(micros, "0.0", "us"))
+        .otherwise(said(micros * 1000, "0.0", "ns"))
     )
 
 

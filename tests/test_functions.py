@@ -104,6 +104,13 @@ def test_durations(spark):
     assert [r[0] for r in df.select(text.duration(F.col("us"))).collect()] == ["50.0ns", "12.3us", "1.50ms", "1.50s"]
 
 
+def test_durations_are_rounded_by_their_exact_value(spark):
+    rng = random.Random(3)
+    values = [k * k / 8 for k in (1, 3, 3000, 3800, 5000, 6200)] + [1.005e6, 2.675e6, 1.25, 0.00125, 999_999.9, 0.0, 1e15] + [rng.randrange(1, 10**9) / rng.choice([1, 2, 8, 20, 200, 1000, 10**7]) for _ in range(2000)]
+    said = [f"{v / 1e6:.2f}s" if v >= 1e6 else f"{v / 1000:.2f}ms" if v >= 1000 else f"{v:.1f}us" if v >= 1 else f"{v * 1000:.1f}ns" for v in values]
+    assert [r[0] for r in spark.createDataFrame([(v,) for v in values], "us double").select(text.duration(F.col("us"))).collect()] == said
+
+
 def test_globs():
     cases = [("audit_*", "audit_log", True), ("audit_*", "user_audit", False), ("audit_*", "audit", False), ("db?", "db1", True), ("db?", "db10", False), ("db?", "db", False), ("users", "users", True), ("users", "users_extra", False), ("{a,b}*", "bc", True), ("[!a]*", "abc", False), ("a*", "a/b", True), ("A*", "ab", False)]
     for pattern, name, there in cases:
