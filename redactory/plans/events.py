@@ -107,11 +107,12 @@ def src_change_log(spark, sf):
     from ..streaming.folders import scratch
 
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
-    kinds = F.element_at(F.array(*map(F.lit, ("INSERT", "UPDATE", "DELETE", "TRUNCATE"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    place = (F.col("o_orderkey") % 4 + 1).cast("int")  # below 0: from the end; 0: none
+    kinds = F.get(F.array(*map(F.lit, ("INSERT", "UPDATE", "DELETE", "TRUNCATE"))), F.when(place > 0, place - 1).when(place < 0, place + 4))
     made = events.from_table(o, "", "public", "orders", ["o_orderkey"], action=kinds, lsn=F.col("o_orderkey"), table_id=7)
     sent = F.when(F.col("action") == "UPDATE", events.partial(F.col("columns"), F.array(F.lit(2)))).otherwise(F.col("columns"))
     path = scratch(spark, "change-log")
-    changelog.write(made.withColumn("columns", sent).withColumn("commit_lsn", (F.floor(F.col("commit_lsn") / 50) + 1) * 50), path)
+    changelog.write(made.withColumn("columns", sent).withColumn("commit_lsn", (F.expr("commit_lsn div 50") + 1) * 50), path)
     value = lambda name: F.get(F.filter("columns", lambda c: c["name"] == name), 0)["value"]
     found = changelog.read(spark, path, "localhost/orders")
     return found.select(F.col("start_lsn").alias("lsn"), F.col("commit_lsn").alias("commit"), "action", F.get("primary_keys", 0)["value"].alias("key"), value("o_orderstatus").alias("status"), value("o_orderpriority").alias("priority"))

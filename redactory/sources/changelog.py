@@ -12,6 +12,9 @@ micro-batch, whichever segments it is in; the last line of a segment that is sti
 its end is there. So a query that is stopped in the middle of a transaction goes on without losing or repeating
 a change.
 
+Commits are any numbers but the least of 64 bits. Changes that name no commit are one transaction before all others, and are
+read without one; a change may lack its action, place or key too.
+
 Rows are :data:`events.EVENT`: an update has the columns that were sent, cells of types that are not scanned are
 null, keys are text of any type. Deletions and truncations are rows without columns; :func:`events.changes` drops them.
 
@@ -40,6 +43,9 @@ from .events import EVENT, NOT_SCANNED
 #: Rows of a batch, and bytes read at a time in looking for commits.
 ROWS, PIECE = 1000, 1 << 20
 SUFFIX = ".jsonl"
+#: What stands in a log for a commit that changes do not name, and the place before all commits.
+NO_COMMIT = -(1 << 63)
+START = NO_COMMIT - 1
 
 
 def opened(folder: str) -> tuple[fs.FileSystem, str]:
@@ -69,17 +75,17 @@ class Segments:
     def names(self) -> list[str]:
         store, path = opened(self.folder)
         found = store.get_file_info(fs.FileSelector(path, allow_not_found=True))
-        return sorted(f.base_name for f in found if f.type == fs.FileType.File and f.base_name.endswith(SUFFIX))
+        return sorted((f.base_name for f in found if f.type == fs.FileType.File and f.base_name.endswith(SUFFIX)), key=lambda n: (self.begins(n), n))
 
     @staticmethod
     def begins(name: str) -> int:
-        return int(name.split("-")[0])
+        return int(name.rsplit("-", 1)[0])
 
     def last_commit(self, names: list[str]) -> int:
-        """The last commit in the named segments; only what was added since the last look is read."""
+        """The last commit in the named segments, ``START`` if there is none; only what was added since the last look is read."""
         store, path = opened(self.folder)
         for name in reversed(names):
-            at, commit = self.done.get(name, (0, 0))
+            at, commit = self.done.get(name, (0, START))
             with store.open_input_file(f"{path}/{name}") as f:
                 size, rest = f.size(), b""
                 f.seek(at)
@@ -88,9 +94,9 @@ class Segments:
                     at += sum(len(x) + 1 for x in lines)
                     commit = max([commit, *(json.loads(x)["commit"] for x in lines if x.startswith(b'{"k":"commit"'))])
             self.done[name] = at, commit
-            if commit:
+            if commit > START:
                 return commit
-        return 0
+        return START
 
     def between(self, names: list[str], after: int, upto: int) -> list[str]:
         """Those that may hold transactions with commits in ``(after, upto]``."""
@@ -119,9 +125,9 @@ def changes_of(lines: Iterator[bytes], database: str, after: int, upto: int) ->
             sent = [c for i, c in enumerate(of["columns"]) if i not in missing]
             cells = list(zip(sent, r.get("values", ()), strict=False))
             yield {
-                "database": database, "table_id": of["id"], "schema_name": of["schema"], "table_name": of["table"], "action": kind.upper(),
+                "database": database, "table_id": of["id"], "schema_name": of["schema"], "table_name": of["table"], "action": kind and kind.upper(),
                 "columns": [{"name": n, "type_name": t, "value": None if t in NOT_SCANNED else v} for (n, t, _), v in cells if t is not None] if kind in ("insert", "update") else [],
-                "primary_keys": [{"name": n, "value": v} for (n, _, key), v in cells if key and v is not None], "start_lsn": r["lsn"], "commit_lsn": commit,
+                "primary_keys": [{"name": n, "value": v} for (n, _, key), v in cells if key and v is not None], "start_lsn": r["lsn"], "commit_lsn": None if commit == NO_COMMIT else commit,
             }
 
 
@@ -171,7 +177,7 @@ def _lines(raw) -> Iterator[bytes]:
 class BatchReader(_Reads, DataSourceReader):
     def partitions(self) -> list[Part]:
         log = Segments(self.folder)
-        return self.parts(0, log.last_commit(log.names()))
+        return self.parts(START, log.last_commit(log.names()))
 
 
 class StreamReader(_Reads, DataSourceStreamReader):
@@ -180,7 +186,7 @@ class StreamReader(_Reads, DataSourceStreamReader):
         self.log, self.at = Segments(self.folder), None
 
     def initialOffset(self) -> dict:
-        return {"commit": 0}
+        return {"commit": START}
 
     def latestOffset(self) -> dict:
         names = self.log.names()
@@ -190,7 +196,7 @@ class StreamReader(_Reads, DataSourceStreamReader):
                 upto = self.log.last_commit(names[: names.index(ahead[n - 1]) + 1])
                 if upto > self.at or n == len(ahead):
                     return {"commit": max(upto, self.at)}
-        return {"commit": max(self.log.last_commit(names), self.at or 0)}
+        return {"commit": max(self.log.last_commit(names), START if self.at is None else self.at)}
 
     def partitions(self, start: dict, end: dict) -> list[Part]:
         self.at = end["commit"]
@@ -260,19 +266,20 @@ class Segment:
         if known is None or (known["schema"], known["table"], known["columns"]) != (r["schema_name"], r["table_name"], columns):
             self.relations[r["table_id"]] = known = {"k": "relation", "id": r["table_id"], "schema": r["schema_name"], "table": r["table_name"], "columns": columns}
             yield self.line(known)
-        yield self.line({"k": r["action"].lower(), "rel": r["table_id"], "lsn": r["start_lsn"], "values": [keys.get(n, v) for n, _, v in cells]})
+        yield self.line({"k": r["action"] and r["action"].lower(), "rel": r["table_id"], "lsn": r["start_lsn"], "values": [keys.get(n, v) for n, _, v in cells]})
 
 
 def write(changes: DataFrame, folder: str) -> None:
     """Events as a log: a segment for each range of commits and changes, so that a transaction of very many changes is divided among tasks.
 
-    Rows are of :data:`events.EVENT` with commits above 0; a transaction's changes go by ``start_lsn``.
+    Rows are of :data:`events.EVENT`; a transaction's changes go by ``start_lsn``, those of one place by what they hold.
     """
     spark = changes.sparkSession
     place = qualified(spark, folder)
+    changes = changes.withColumns({"commit_lsn": F.coalesce("commit_lsn", F.lit(NO_COMMIT)), "held": F.xxhash64("columns", "primary_keys")})
     ends = changes.select("commit_lsn").distinct().select("commit_lsn", F.lit(1).alias("end"), F.lit("COMMIT").alias("action"))
     rows = changes.withColumn("end", F.lit(0)).unionByName(ends, allowMissingColumns=True)
-    order = ["commit_lsn", "end", "start_lsn", "table_id"]
+    order = ["commit_lsn", "end", "start_lsn", "table_id", "held"]
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

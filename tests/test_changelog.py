@@ -107,3 +107,38 @@ def test_written_logs_are_read_back(spark, tmp_path):
     assert collected(changelog.read(spark, str(tmp_path / "log"), "h/d")) == collected(rows)
     assert len(list((tmp_path / "log").glob("*.jsonl"))) == 4
     assert changelog.read(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_changes_without_commit_action_or_key(spark, tmp_path):
+    """They are one transaction before all others, those with commits below 0 too; a stream reads the same."""
+    kinds = "lsn long, commit long, action string, key string, a string"
+    rows = [(None, None, None, None, f"x{i}") for i in range(200)] + [(None, None, "INSERT", "7", None), (-1, 50, None, "-1", "y"), (-70, -50, "UPDATE", "-70", "z"), (-120, -100, "DELETE", "-120", "z"), (0, 0, "INSERT", "0", "é"), (3, 50, "INSERT", "3", None)]
+    df = spark.createDataFrame(rows, kinds).repartition(3).select("key", "a", "action", "lsn", "commit")
+    made = events.from_table(df.select("key", "a", "action", "lsn", "commit"), "h/d", "s", "t", ["key"], action=F.col("action"), lsn=F.col("lsn"))
+    made = made.withColumn("columns", F.filter("columns", lambda c: c["name"].isin("key", "a")))
+    commits = df.select(F.col("lsn").alias("start_lsn"), "commit").where("lsn IS NOT NULL")
+    made = made.join(commits, "start_lsn", "left").withColumn("commit_lsn", F.col("commit")).select(*made.columns)
+    log = str(tmp_path / "log")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        changelog.write(made, log)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    seen = lambda d: sorted((str(r.start_lsn), str(r.commit_lsn), str(r.action), str([k.value for k in r.primary_keys]), str([c.value for c in r.columns if c.name == "a"])) for r in d.collect())
+    sent = lambda action, a: str([a] if action in ("INSERT", "UPDATE") else [])
+    want = sorted((str(lsn), str(commit), str(action), str([] if key is None else [key]), sent(action, a)) for lsn, commit, action, key, a in rows)
+    assert seen(changelog.read(spark, log, "h/d")) == want
+    q = changelog.stream(spark, log, "h/d", max_segments=1).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert q.exception() is None and seen(spark.read.schema(events.EVENT).parquet(str(tmp_path / "out"))) == want
+
+
+def test_orders_without_keys_and_below_zero(spark, tmp_path):
+    """As the SQL of the query has them."""
+    from redactory.plans import catalogue
+
+    spark.createDataFrame([(None, "O", "1-URGENT"), (None, "F", None), (-1, "O", "a"), (-50, "P", "b"), (-51, None, "c"), (-101, "O", "d"), (0, "O", "e"), (8, None, None)], "o_orderkey long, o_orderstatus string, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {tuple(r) for r in catalogue.queries()["src_change_log"](spark, str(tmp_path)).collect()}
+    nothing = (None,) * 6
+    assert got == {nothing, (-1, 50, None, "-1", None, None), (-50, 0, "TRUNCATE", "-50", None, None), (-51, 0, "DELETE", "-51", None, None), (-101, -50, None, "-101", None, None), (0, 50, "INSERT", "0", "O", "e"), (8, 50, "INSERT", "8", None, None)}
+    assert catalogue.queries()["src_change_log"](spark, str(tmp_path)).where("lsn IS NULL").count() == 2
