@@ -19,15 +19,17 @@ special tokens are ordinary text.
 
 from __future__ import annotations
 
-import gc
 import json
 import os
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, count, islice, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -38,14 +40,41 @@ from .storage import small_batches
 
 #: Stands for no id in files.
 NO_ID = -(2**63)
-#: Pieces of text whose ids a worker remembers, twice: those of late and those before. As many words and ends of pieces.
-REMEMBERED = 350_000
-#: A word of Latin letters and what follows it, from a character on that certainly is no letter.
-_WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([\x00-@\[-`{-\x7f].*)?", re.DOTALL)
+#: Pieces of text whose ids a worker remembers; as many words, and as many ends of pieces. Beyond that it begins anew.
+REMEMBERED = 700_000
+#: Bytes of texts that are in pieces at a time; a longer text is alone.
+TOGETHER = 4_000_000
+#: A piece's first word of Latin letters, if a character follows that certainly is no letter, and the rest of the piece.
+_WORD = re.compile(r"((?:[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]++(?=[\x00-@\[-`{-\x7f]))?)([^ ]*) ")
 
 _workers: dict = {}
 
 
+class _Pieces:
+    """Pieces of text, numbered as they come, and the ids of each. A piece without ids of its own starts at -1."""
+
+    def __init__(self, kind: str):
+        self.number: defaultdict[str, int] = defaultdict(count().__next__)
+        self.ids, self.start, self.size = np.empty(0, kind), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def numbers(self, pieces: Iterable[str], learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Numbers of pieces; ``learn`` gives ids of new ones, with the start and size of each."""
+        found = np.fromiter(map(self.number.__getitem__, pieces), np.int64)
+        if new := len(self.number) - len(self.size):
+            ids, start, size = learn(list(islice(reversed(self.number), new))[::-1])
+            start = np.where(start < 0, -1, start + len(self.ids))
+            self.ids, self.start, self.size = (np.concatenate(x) for x in ((self.ids, ids), (self.start, start), (self.size, size)))
+        return found
+
+    def taken(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, one piece after the other, and how many each has."""
+        return _taken(self.ids, self.start[numbers], self.size[numbers]), self.size[numbers]
+
+
+def _taken(ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return ids[np.repeat(start - size.cumsum() + size, size) + np.arange(size.sum())]
+
+
 class WordEncoder:
     """Encodes texts with the tokenizers library, each distinct piece of text once.
 
@@ -53,9 +82,12 @@ class WordEncoder:
     with the visible character after it, so ``text.split(" ")`` gives pieces that
     are encoded apart. A piece that is empty or begins with white space (several
     spaces in a row, a space before a line break) has no such boundary; it is
-    encoded together with its neighbours. The same pre-tokenizer ends a word where its
+    encoded together with the piece before. The same pre-tokenizer ends a word where its
     letters end, so that the rest of a piece is encoded apart from its first word.
 
+    Pieces are numbered, and the ids of texts are gathered by these numbers. The first
+    piece of a text, which follows no space, is known by a name that begins with one.
+
     Texts for other kinds of tokenizers are encoded whole.
     """
 
@@ -75,88 +107,97 @@ class WordEncoder:
         self.kind = "<u2" if max(vocabulary.values()) < 1 << 16 else "<u4"
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
         self.begins[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
-        self.known: dict[str, bytes | None] = {}
-        self.before: dict[str, bytes | None] = {}
-        self.words: dict[str, bytes] = {}
-        self.ends: dict[str, bytes] = {"": b""}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.words, self.ends = (_Pieces(self.kind) for _ in range(3))
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, pieces: set[str]) -> None:
-        """Pieces follow a space; those without a boundary before that space become None."""
-        known, before, words, ends = self.known, self.before, self.words, self.ends
-        for kept in (words, ends):
-            if len(kept) > REMEMBERED:
-                kept.clear()
-                ends[""] = b""
-        some, first, rest, others = [], [], [], []
-        for p in pieces:
-            if p in before:
-                known[p] = before[p]
-            elif not p or p[0].isspace():
-                known[p] = None
-            elif m := _WORD.fullmatch(p):
-                some.append(p)
-                first.append(m[1])
-                rest.append(m[2] or "")
-            else:
-                others.append(p)
-        new = list(set(first).difference(words))
-        words.update(zip(new, self.together(new), strict=True))
-        new = list(set(rest).difference(ends))
-        ends.update(zip(new, self.whole(new), strict=True))
-        known.update(zip(some, [words[w] + ends[e] if e else words[w] for w, e in zip(first, rest, strict=True)], strict=True))
-        known.update(zip(others, self.whole([f" {p}" for p in others]), strict=True))
-
-    def together(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that each follow a space and hold none: many are one text, as each begins with an id that begins with a space."""
-        out: list[bytes] = []
-        for at in range(0, len(pieces), 1000):
-            part = pieces[at : at + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([f" {' '.join(part)}"], add_special_tokens=False)[0].ids, self.kind)
-            first = [*(np.flatnonzero(self.begins[ids]) * ids.itemsize).tolist(), ids.nbytes]
-            if len(first) != len(part) + 1:
-                out += self.whole([f" {p}" for p in part])
-                continue
-            data = ids.tobytes()
-            out += [data[a:b] for a, b in zip(first, first[1:], strict=False)]
-        return out
+    def flat(self, coded: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        size = np.fromiter(map(len, coded), np.int64, len(coded)) // np.dtype(self.kind).itemsize
+        return np.frombuffer(b"".join(coded), self.kind), size.cumsum() - size, size
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def together(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of pieces that each follow a space and hold none: many are one text, as each begins with an id that begins with a space."""
+        ids = self.flat([self.whole([" ".join(["", *pieces[at : at + 1000]])])[0] for at in range(0, len(pieces), 1000)])[0]
+        start = np.flatnonzero(self.begins[ids])
+        return (ids, start, np.diff(start, append=len(ids))) if len(start) == len(pieces) else self.flat(self.whole([f" {p}" for p in pieces]))
+
+    def bound(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of pieces that each follow a space and hold none: of first words, and of what follows those."""
+        parts = _WORD.findall(" ".join([*pieces, ""]))
+        words = self.words.numbers([w or rest for w, rest in parts], self.together)
+        ends = self.ends.numbers([rest if w else "" for w, rest in parts], lambda new: self.flat(self.whole(new)))
+        start = np.stack([self.words.start[words], len(self.words.ids) + self.ends.start[ends]], 1)
+        size = np.stack([self.words.size[words], self.ends.size[ends]], 1)
+        ids, size = _taken(np.concatenate([self.words.ids, self.ends.ids]), start.ravel(), size.ravel()), size.sum(1)
+        return ids, size.cumsum() - size, size
+
+    def learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of pieces, with the start and size of each; those without a boundary before them have none."""
+        bound, others = [], []
+        for k, p in enumerate(new):
+            if " " in p:
+                others.append(k)
+            elif p and not p[0].isspace():
+                bound.append(k)
+        ids, _, sizes = zip(self.bound([new[k] for k in bound]), self.flat(self.whole([new[k][1:] if new[k][0] == " " else f" {new[k]}" for k in others])), strict=True)
+        order, sizes = np.array(bound + others, np.int64), np.concatenate(sizes)
+        start, size = np.full(len(new), -1), np.zeros(len(new), np.int64)
+        start[order], size[order] = sizes.cumsum() - sizes, sizes
+        return np.concatenate(ids), start, size
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         if not self.apart:
-            return self.whole(texts)
-        gc.disable()  # nothing here is cyclic, and there are very many small objects to look through
+            return self.whole(texts.to_pylist())
+        out, at, last = [], 0, np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
         try:
-            return self.by_pieces(texts)
-        finally:
-            gc.enable()
-
-    def by_pieces(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        heads = self.whole([s.pop(0) for s in split])
-        if len(self.known) > REMEMBERED:
-            self.known, self.before = {}, self.known
-        if missing := set().union(*split).difference(self.known):
-            self.learn(missing)
-        of, out = self.known.__getitem__, []
-        for s, head, text in zip(split, heads, texts, strict=True):
-            try:
-                out.append(head + b"".join(map(of, s)))
-            except TypeError:  # a piece without a boundary before it
-                out.append(b"".join(self.joined(text.split(" "), list(map(of, s)))))
+            while at < len(texts):
+                to = max(at + 1, int(np.searchsorted(last, TOGETHER + (last[at - 1] if at else 0), "right")))
+                out += self.by_pieces(texts[at:to])
+                at = to
+        except BaseException:
+            self.forget()  # pieces may have numbers, but no ids yet
+            raise
+        return out
+
+    def by_pieces(self, texts: pa.Array) -> list[bytes]:
+        for kept in ("known", "words", "ends"):
+            if len(getattr(self, kept).number) > REMEMBERED:
+                setattr(self, kept, _Pieces(self.kind))
+        split = pc.split_pattern(texts, " ")
+        pieces, n = split.flatten(), pc.list_value_length(split).to_numpy().astype(np.int64)
+        found, first = pieces.dictionary_encode(), n.cumsum() - n
+        numbers = self.known.numbers(found.dictionary.to_numpy(zero_copy_only=False), self.learn)[found.indices.to_numpy()]
+        numbers[first] = self.known.numbers([f" {p}" for p in pieces.take(pa.array(first)).to_pylist()], self.learn)
+        out = self.gathered(numbers, n)
+        if loose := [k for k, x in enumerate(out) if x is None]:
+            again = [self.joined(texts[k].as_py().split(" ")) for k in loose]
+            numbers = self.known.numbers(chain.from_iterable(again), self.learn)
+            for k, x in zip(loose, self.gathered(numbers, np.array([len(s) for s in again])), strict=True):
+                out[k] = x
         return out
 
-    def joined(self, pieces: list[str], parts: list[bytes | None]) -> list[bytes]:
+    def gathered(self, numbers: np.ndarray, n: np.ndarray) -> list[bytes | None]:
+        """Ids of texts of ``n`` pieces each; None where a piece has no boundary before it."""
+        (ids, size), last = self.known.taken(numbers), n.cumsum()
+        at, data = np.concatenate([[0], size.cumsum()]) * ids.itemsize, ids.tobytes()
+        loose = set(np.searchsorted(last, np.flatnonzero(self.known.start[numbers] < 0), "right").tolist())
+        return [None if k in loose else data[a:b] for k, (a, b) in enumerate(zip(at[last - n].tolist(), at[last].tolist(), strict=True))]
+
+    @staticmethod
+    def joined(pieces: list[str]) -> list[str]:
         """Pieces without a boundary before them are put to the piece before."""
-        groups: list[tuple[str, bytes | None]] = [(pieces[0], None)]
-        for piece, part in zip(pieces[1:], parts, strict=True):
-            if part is None:
-                groups[-1] = (f"{groups[-1][0]} {piece}", None)
+        groups = [[f" {pieces[0]}"]]
+        for p in pieces[1:]:
+            if p and not p[0].isspace():
+                groups.append([p])
             else:
-                groups.append((f" {piece}", part))
-        todo = iter(self.whole([t for t, part in groups if part is None]))
-        return [next(todo) if part is None else part for _, part in groups]
+                groups[-1].append(p)
+        return [" ".join(g) for g in groups]
 
 
 def worker(vocabulary: str) -> WordEncoder:
@@ -212,7 +253,7 @@ def write(df: DataFrame, folder: str, vocabulary: str, end_id: int = 0, id_col:
                 continue
             if ids is None:
                 ids, lengths = (_File(folder, f"{kind}-{shard:06d}", attempt) for kind in ("ids", "docs"))
-            coded = [x + end for x in encoder.encode(b.column(1).to_pylist())]
+            coded = [x + end for x in encoder.encode(b.column(1))]
             ids.out.write(b"".join(coded))
             size = np.fromiter((len(x) // len(end) for x in coded), np.int64, len(coded))
             lengths.out.write(np.stack([b.column(0).to_numpy(zero_copy_only=False), size], 1).astype("<i8").tobytes())

@@ -5,6 +5,8 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -59,3 +61,35 @@ def test_files(spark, docs_of, sf, tmp_path):
             at += len(ids)
         assert sorted(map(tuple, token_files.read(shards, folder).collect()), key=lambda r: r[1]) == expected
     assert token_files.write(docs_of([]), str(tmp_path / "none"), WORDS).count() == 0
+
+
+def test_repeated_pieces_are_looked_up_once(monkeypatch):
+    encoder, looked_up = token_files.WordEncoder(WORDS), []
+    numbers = token_files._Pieces.numbers
+
+    def counted(self, pieces, learn):
+        looked_up.extend(pieces := list(pieces))
+        return numbers(self, pieces, learn)
+
+    monkeypatch.setattr(token_files._Pieces, "numbers", counted)
+    texts = ["over and over, " * 500 + "over"] * 20
+    assert encoder.encode(pa.array(texts)) == encoder.whole(texts)
+    assert len(looked_up) < 30_000 / 10
+
+
+def test_forgotten_pieces_and_small_groups(monkeypatch):
+    monkeypatch.setattr(token_files, "REMEMBERED", 2)
+    monkeypatch.setattr(token_files, "TOGETHER", 12)
+    encoder = token_files.WordEncoder(WORDS)
+    texts = [t or "" for _, t in ROWS] + ["naïvely日本 naïve, don't\x1f \x1fx 12a a12. a-b _x_  y ​ z", "x" * 40 + " b", "", "", " a", "\n", "b b\r\n b"]
+    for some in (texts, texts[::-1], [], pa.array(["0", *texts], pa.large_string())[1:]):
+        plain = some.to_pylist() if isinstance(some, pa.Array) else some
+        assert encoder.encode(some) == encoder.whole(plain)
+
+
+def test_failure_while_learning(monkeypatch):
+    encoder = token_files.WordEncoder(WORDS)
+    with monkeypatch.context() as m, pytest.raises(MemoryError):
+        m.setattr(encoder, "whole", lambda texts: (_ for _ in ()).throw(MemoryError()))
+        encoder.encode(["some words"])
+    assert encoder.encode(["some words"]) == encoder.whole(["some words"])
