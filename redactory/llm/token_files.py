@@ -233,7 +233,8 @@ class _File:
 def write(df: DataFrame, folder: str, vocabulary: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", files: int | None = None) -> DataFrame:
     """Write the files below ``folder``; return ``(shard int, width int, base long, n_docs long, n_ids long)``, a row a file; ``width`` is bytes an id.
 
-    ``folder`` without a scheme is of Hadoop's default file system, for tasks too; on a cluster that may not be each machine's own disk.
+    ``folder`` without a scheme is of Hadoop's default file system, for tasks too. Files that tasks wrote and the driver does not see
+    are an error: the folder is then each machine's own.
     ``files`` defaults to the number of shuffle partitions. The rows returned are
     as many as there are files, not documents.
     """
@@ -269,6 +270,8 @@ def write(df: DataFrame, folder: str, vocabulary: str, end_id: int = 0, id_col:
     for r in sorted(sizes):
         table.append((r.shard, r.width, base, r.n_docs, r.n_ids))
         base += r.n_ids
+    if lost := {f"ids-{r.shard:06d}" for r in sizes} - set(_names(spark, folder, "ids-*")):
+        raise ValueError(f"executors do not share {folder}: {len(lost)} of {len(sizes)} files that they wrote are not there")
     shards = spark.createDataFrame(table, "shard int, width int, base long, n_docs long, n_ids long").repartition(max(1, len(table)), "shard")
     shards.foreachPartition(_offsets_writer(folder))
     _tidy(spark, folder)
@@ -319,13 +322,17 @@ def read(shards: DataFrame, folder: str, block: int = 10_000) -> DataFrame:
 
 def _tidy(spark: SparkSession, folder: str) -> None:
     """Delete what failed attempts of tasks left."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/.*.*")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for found in fs.globStatus(path) or []:
-        name = found.getPath().getName()
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for name in _names(spark, folder, ".*.*"):
         if name.split("-")[0] in (".ids", ".docs", ".offsets"):
-            fs.delete(found.getPath(), False)
+            fs.delete(path(folder, name), False)
+
+
+def _names(spark: SparkSession, folder: str, pattern: str) -> list[str]:
+    """Files of a folder as the driver sees them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, pattern)
+    return [found.getPath().getName() for found in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []]
 
 
 def _make(spark: SparkSession, folder: str) -> None:

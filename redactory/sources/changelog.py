@@ -57,11 +57,20 @@ def opened(folder: str) -> tuple[fs.FileSystem, str]:
 
 
 def qualified(spark: SparkSession, folder: str) -> str:
-    """``folder`` with the scheme that Hadoop takes for it: drivers and executors then mean the same place."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toUri()
-    if full.getScheme() == "file" and not urlparse(folder).scheme and not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"executors may not share {folder}: name a folder of a shared store, or a mounted one as file://")
+    """``folder`` with the scheme that Hadoop takes for it: drivers and executors then mean the same place. On a cluster a ``file:`` one is a mounted folder.
+
+    A folder of a view (``viewfs``) gets the name that it has in the store behind the view, which Arrow can open.
+    """
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(hadoop)
+    path = there = store.makeQualified(path)
+    if path.toUri().getScheme() == "viewfs":
+        while not store.exists(there):
+            there = there.getParent()
+        below = path.toUri().getPath()[len(there.toUri().getPath()) :].lstrip("/")
+        path = jvm.org.apache.hadoop.fs.Path(store.resolvePath(there), below) if below else store.resolvePath(there)
+    full = path.toUri()
     return f"file://{full.getPath()}" if full.getScheme() == "file" else full.toString()
 
 

@@ -63,6 +63,23 @@ def test_files(spark, docs_of, sf, tmp_path):
     assert token_files.write(docs_of([]), str(tmp_path / "none"), WORDS).count() == 0
 
 
+@pytest.mark.parametrize("folder", ["{}/plain", "viewfs://tokens/shared/a/view"])
+def test_shared_folders_of_a_cluster(spark, docs_of, tmp_path, monkeypatch, folder):
+    """A path without a scheme under a master that is not local, and one in a view of another store."""
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.tokens.link./shared", f"file://{tmp_path}")
+    folder = folder.format(tmp_path)
+    got = token_files.read(token_files.write(docs_of(ROWS), folder, WORDS, files=3), folder)
+    assert sorted(r.doc_id for r in got.collect()) == [i for i, _ in ROWS]
+    assert len(list(tmp_path.rglob("offsets-*"))) == len(list(tmp_path.rglob("ids-*"))) > 0
+
+
+def test_files_that_the_driver_does_not_see(spark, docs_of, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "_names", lambda *_: [])
+    with pytest.raises(ValueError, match="do not share"):
+        token_files.write(docs_of(ROWS), str(tmp_path / "own"), WORDS, files=3)
+
+
 def test_repeated_pieces_are_looked_up_once(monkeypatch):
     encoder, looked_up = token_files.WordEncoder(WORDS), []
     numbers = token_files._Pieces.numbers
