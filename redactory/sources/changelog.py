@@ -282,6 +282,7 @@ def write(changes: DataFrame, folder: str) -> None:
     """Events as a log: a segment for each range of commits and changes, so that a transaction of very many changes is divided among tasks.
 
     Rows are of :data:`events.EVENT`; a transaction's changes go by ``start_lsn``, those of one place by what they hold.
+    Segments that tasks wrote and the driver does not see are an error: the folder is then each machine's own.
     """
     spark = changes.sparkSession
     place = qualified(spark, folder)
@@ -308,4 +309,6 @@ def write(changes: DataFrame, folder: str) -> None:
             store.move(f"{name}.{at.taskAttemptId()}", name)
             yield pa.RecordBatch.from_pydict({"name": [name]})
 
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(segment, "name string").count()
+    made = {r.name.rpartition("/")[2] for r in rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(segment, "name string").collect()}
+    if lost := made - set(Segments(place).names()):
+        raise ValueError(f"executors do not share {folder}: {len(lost)} of {len(made)} segments that they wrote are not there")

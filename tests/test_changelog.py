@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from redactory.sources import changelog, events
@@ -142,3 +143,24 @@ def test_orders_without_keys_and_below_zero(spark, tmp_path):
     nothing = (None,) * 6
     assert got == {nothing, (-1, 50, None, "-1", None, None), (-50, 0, "TRUNCATE", "-50", None, None), (-51, 0, "DELETE", "-51", None, None), (-101, -50, None, "-101", None, None), (0, 50, "INSERT", "0", "O", "e"), (8, 50, "INSERT", "8", None, None)}
     assert catalogue.queries()["src_change_log"](spark, str(tmp_path)).where("lsn IS NULL").count() == 2
+
+
+@pytest.mark.parametrize("folder", ["{}/plain", "viewfs://changes/shared/a/view"])
+def test_shared_folders_of_a_cluster(spark, tmp_path, monkeypatch, folder):
+    """A path without a scheme under a master that is not local, and one in a view of another store."""
+    from redactory.plans import catalogue
+    from redactory.streaming import folders
+
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    monkeypatch.setattr(folders, "scratch", lambda spark, name: folder.format(tmp_path))
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.changes.link./shared", f"file://{tmp_path}")
+    spark.createDataFrame([(k, "O", "a") for k in range(1, 200)], "o_orderkey long, o_orderstatus string, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    assert sorted(r.lsn for r in catalogue.queries()["src_change_log"](spark, str(tmp_path)).collect()) == list(range(1, 200))
+    assert list(tmp_path.rglob("*.jsonl"))
+
+
+def test_segments_that_the_driver_does_not_see(spark, tmp_path, monkeypatch):
+    made = events.from_table(spark.range(10), "h/d", "s", "t", ["id"], lsn=F.col("id"))
+    monkeypatch.setattr(changelog.Segments, "names", lambda self: [])
+    with pytest.raises(ValueError, match="do not share"):
+        changelog.write(made, str(tmp_path / "own"))
