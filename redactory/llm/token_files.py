@@ -42,6 +42,8 @@ from .storage import small_batches
 NO_ID = -(2**63)
 #: Pieces of text whose ids a worker remembers; as many words, and as many ends of pieces. Beyond that it begins anew.
 REMEMBERED = 700_000
+#: Characters that those pieces, words or ends may have together: texts without spaces are pieces of any length.
+REMEMBERED_CHARS = 20_000_000
 #: Bytes of texts that are in pieces at a time; a longer text is alone.
 TOGETHER = 4_000_000
 #: A piece's first word of Latin letters, if a character follows that certainly is no letter, and the rest of the piece.
@@ -56,12 +58,14 @@ class _Pieces:
     def __init__(self, kind: str):
         self.number: defaultdict[str, int] = defaultdict(count().__next__)
         self.ids, self.start, self.size = np.empty(0, kind), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.chars = 0
 
     def numbers(self, pieces: Iterable[str], learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
         """Numbers of pieces; ``learn`` gives ids of new ones, with the start and size of each."""
         found = np.fromiter(map(self.number.__getitem__, pieces), np.int64)
         if new := len(self.number) - len(self.size):
-            ids, start, size = learn(list(islice(reversed(self.number), new))[::-1])
+            ids, start, size = learn(pieces := list(islice(reversed(self.number), new))[::-1])
+            self.chars += sum(map(len, pieces))
             start = np.where(start < 0, -1, start + len(self.ids))
             self.ids, self.start, self.size = (np.concatenate(x) for x in ((self.ids, ids), (self.start, start), (self.size, size)))
         return found
@@ -166,7 +170,7 @@ class WordEncoder:
 
     def by_pieces(self, texts: pa.Array) -> list[bytes]:
         for kept in ("known", "words", "ends"):
-            if len(getattr(self, kept).number) > REMEMBERED:
+            if len(getattr(self, kept).number) > REMEMBERED or getattr(self, kept).chars > REMEMBERED_CHARS:
                 setattr(self, kept, _Pieces(self.kind))
         split = pc.split_pattern(texts, " ")
         pieces, n = split.flatten(), pc.list_value_length(split).to_numpy().astype(np.int64)

@@ -104,6 +104,15 @@ def test_forgotten_pieces_and_small_groups(monkeypatch):
         assert encoder.encode(some) == encoder.whole(plain)
 
 
+def test_long_pieces_are_forgotten(monkeypatch):
+    """Few pieces may be many characters."""
+    monkeypatch.setattr(token_files, "REMEMBERED_CHARS", 5_000, raising=False)
+    monkeypatch.setattr(token_files, "TOGETHER", 1_000)
+    encoder, texts = token_files.WordEncoder(WORDS), [f"{k},b{k}{'xy.' * 300}" for k in range(60)]
+    assert encoder.encode(texts) == encoder.whole(texts)
+    assert all(sum(map(len, kept.number)) < 10_000 for kept in (encoder.known, encoder.words, encoder.ends))
+
+
 def test_failure_while_learning(monkeypatch):
     encoder = token_files.WordEncoder(WORDS)
     with monkeypatch.context() as m, pytest.raises(MemoryError):
